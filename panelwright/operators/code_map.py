@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelwright import constants as C
 from panelwright.functions.codes import use_fallback
-from panelwright.operators.joins import require_unique
 
 ATTRIBUTES = ("acause", "cause_name", "family", "family_name", "icd_name")
 
@@ -36,21 +35,23 @@ def empirical_covid_codes(like: DataFrame) -> DataFrame:
 
 def resolve_systems(dimension: DataFrame, code: str, first: str = "icd10", second: str = "icd9",
                     garbage: str = C.GARBAGE_CAUSE, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """One row per code with the winning system's attributes.
+    """One row per code with the winning system's attributes, and ``n_repeats``, the rows beyond one per system.
 
-    The choice between the systems depends on the code alone, so it is made once in the dimension and facts need a
-    single lookup. The winning row is taken whole. Fails if a code occurs twice within a system.
+    The choice between the systems depends on the code alone, so it is made once in the dimension, by one aggregate,
+    and facts need a single lookup. The winning row is taken whole.
     """
-    require_unique(dimension, ["code_system", "icd_code"])
+    row = F.struct(*attributes)
 
-    def side(system: str, prefix: str) -> DataFrame:
-        rows = dimension.where(F.col("code_system") == system)
-        return rows.select(F.col("icd_code").alias(code), *[F.col(a).alias(prefix + a) for a in attributes])
+    def side(system: str):
+        chosen = F.col("code_system") == system
+        return F.min(F.when(chosen, row)), F.count_if(chosen)
 
-    both = side(first, "a_").join(side(second, "b_"), code, "full_outer")
-    fallback = use_fallback(F.col(f"a_{attributes[0]}"), F.col(f"b_{attributes[0]}"), garbage)
-    return both.select(code, *[F.when(fallback, F.col(f"b_{a}")).otherwise(F.col(f"a_{a}")).alias(a)
-                               for a in attributes])
+    (a, n_a), (b, n_b) = side(first), side(second)
+    both = dimension.groupBy(F.col("icd_code").alias(code)).agg(
+        a.alias("a"), b.alias("b"), (F.greatest(n_a, F.lit(1)) + F.greatest(n_b, F.lit(1)) - 2).alias("n_repeats"))
+    fallback = use_fallback(F.col("a")[attributes[0]], F.col("b")[attributes[0]], garbage)
+    return both.select(code, "n_repeats", F.when(fallback, F.col("b")).otherwise(F.col("a")).alias("row")).select(
+        code, "row.*", "n_repeats")
 
 
 def family_codes(dimension: DataFrame, family: str) -> DataFrame:
@@ -58,6 +59,6 @@ def family_codes(dimension: DataFrame, family: str) -> DataFrame:
     return dimension.where(F.col("family") == family)
 
 
-def drop_header_rows(df: DataFrame, column: str) -> DataFrame:
+def drop_header_rows(df: DataFrame, column: str, header: str) -> DataFrame:
     """Whole-row distinct without header lines that were loaded as data."""
-    return df.distinct().where(F.lower(column) != column)
+    return df.distinct().where(F.col(column) != header)

@@ -62,8 +62,8 @@ def hot_deck(sparse: DataFrame, observed: DataFrame, target: str, strata: Sequen
     anyone = donor_table(observed.withColumn("_all", F.lit(1)), ["_all"], target).select("donors").scalar()
     on = reduce(and_, [F.col(s).eqNullSafe(F.col(f"_s_{s}")) for s in strata])
     draw = draw_int(key, F.coalesce("imp", F.lit(0)), seed)
-    joined = sparse.join(by_stratum, on, "left")
-    filled = F.coalesce(F.col(target), F.coalesce(_pick(F.col("donors"), draw), _pick(anyone, draw)))
+    joined = sparse.join(by_stratum, on, "left").withColumn("donors", F.coalesce("donors", anyone))
+    filled = F.coalesce(F.col(target), _pick(F.col("donors"), draw))
     return joined.withColumn(target, filled).select(*sparse.columns)
 
 

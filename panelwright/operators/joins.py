@@ -49,10 +49,10 @@ def lookup(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataF
 
 def keep_listed(facts: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is listed."""
-    return facts.join(broadcast_if_small(listed.select(*keys).distinct()), list(keys), "left_semi")
+    return facts.join(broadcast_if_small(listed.select(*keys)), list(keys), "left_semi")
 
 
 def drop_listed(facts: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """SQL NOT IN: rows whose key is known and not listed."""
-    codes = broadcast_if_small(listed.select(key).where(F.col(key).isNotNull()).distinct())
+    codes = broadcast_if_small(listed.select(key).where(F.col(key).isNotNull()))
     return facts.where(F.col(key).isNotNull()).join(codes, key, "left_anti")

@@ -81,5 +81,6 @@ def select_versus_other(df: DataFrame, keys: Sequence[str], cause: str, selected
 
 
 def map_codes(df: DataFrame, code: str, resolved: DataFrame) -> DataFrame:
-    """Attach the resolved cause of each code; unknown codes keep NULL causes."""
-    return df.join(broadcast_if_small(resolved), code, "left")
+    """Attach the resolved cause of each code; unknown codes keep NULL causes. Fails on a code listed twice."""
+    checked = broadcast_if_small(resolved, reject=F.col("n_repeats") > 0)
+    return df.join(checked, code, "left").drop("n_repeats")

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.recode import bin_right_closed
+
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     slices: int = 256) -> DataFrame:
@@ -75,8 +77,6 @@ def quantile_bins(df: DataFrame, value: str, bins: int, output: str) -> DataFram
     """
     breaks = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, [i / bins for i in range(bins + 1)])
     ordered = breaks.agg(F.array_sort(F.collect_list(F.struct("prob", "q"))).alias("b"))
-    edges = ordered.select(F.transform("b", lambda s: s["q"])).scalar()
-    x = F.col(value)
-    index = F.size(F.filter(F.slice(edges, 2, bins - 1), lambda cut: x > cut)) + 1
-    inside = (x >= F.element_at(edges, 1)) & (x <= F.element_at(edges, bins + 1))
-    return df.withColumn(output, F.when(inside, index).cast("int"))
+    edges = ordered.select(F.col("b.q")).scalar()
+    at = [F.element_at("_edges", i + 1) for i in range(bins + 1)]
+    return df.withColumn("_edges", edges).withColumn(output, bin_right_closed(F.col(value), at)).drop("_edges")

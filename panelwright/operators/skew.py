@@ -14,11 +14,19 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1e-3
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only after counting rows and text bytes; otherwise Catalyst/AQE picks a shuffle join."""
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
+                       reject: Column | None = None) -> DataFrame:
+    """Broadcast hint only after counting rows and text bytes; otherwise Catalyst/AQE picks a shuffle join.
+
+    The count is one map-side-combined pass over the lookup side, which saves a shuffle of the fact side when it is
+    small. ``reject`` fails the call if any row meets the condition, in the same pass.
+    """
     width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
                                         for c in df.columns])
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    bad = F.lit(0) if reject is None else F.count_if(reject)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"), bad.alias("bad")).first()
+    if size["bad"]:
+        raise ValueError(f"{size['bad']} lookup rows are not unique: a join would multiply fact rows")
     return F.broadcast(df) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else df
 
 

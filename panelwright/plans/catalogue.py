@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from panelwright.plans import q_domain  # noqa: F401
+from panelwright.plans import q_domain, q_scan  # noqa: F401
 from panelwright.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

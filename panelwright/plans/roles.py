@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright import constants as C
 from panelwright.functions.recode import recode
-from panelwright.plans.study import Sources, Study, StudyTables
+from panelwright.plans.study import Study, StudyTables
 from panelwright.sources.readers import inline_rows
 
 STUDY = Study().shifted(-23)
@@ -33,7 +33,18 @@ CAUSES = (
 )
 RACES = {"AUTOMOBILE": "1002-5", "BUILDING": "2028-9", "FURNITURE": "2054-5", "HOUSEHOLD": "2106-3"}
 CPT = {"SMALL": "99213", "MEDIUM": "99214", "PROMO": "90834", "LARGE": "99477", "STANDARD": "99215"}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
 
 
 class Roles:
@@ -41,9 +52,13 @@ class Roles:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """Scan with a declared schema: no job to read footers."""
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
+        return self._scans[name]
 
     @cached_property
     def client_dem(self) -> DataFrame:
@@ -139,5 +154,4 @@ class Roles:
 
     @cached_property
     def study(self) -> StudyTables:
-        return StudyTables(Sources(self.client_dem, self.demographic, self.procedure, self.orig_zips,
-                                   self.inpatient_codes, self.icd_map, self.causelist), STUDY)
+        return StudyTables(self.spark, self, STUDY)

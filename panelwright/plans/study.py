@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import constants as C
@@ -71,9 +71,9 @@ class Sources:
 class StudyTables:
     """Derived tables of a study, each built once as a lazy DataFrame."""
 
-    def __init__(self, sources: Sources, study: Study):
-        self.src, self.study = sources, study
-        self.spark = sources.procedure.sparkSession
+    def __init__(self, spark: SparkSession, sources: Sources, study: Study):
+        """``sources``: a ``Sources``, or any object with the same attributes."""
+        self.spark, self.src, self.study = spark, sources, study
 
     # --- cohort -------------------------------------------------------------------------------------------------
 
@@ -133,7 +133,7 @@ class StudyTables:
     @cached_property
     def excluded_codes(self) -> DataFrame:
         """Inpatient list united with the hospital and emergency codes."""
-        listed = list_to_codes(self.src.inpatient_codes, "hcpcs_code").withColumnRenamed("hcpcs_code", "cpt4_hcpcs_code")
+        listed = list_to_codes(self.src.inpatient_codes, "hcpcs_code", "cpt4_hcpcs_code")
         literals = self.spark.createDataFrame([(c,) for c in C.HOSPITAL_AND_EMERGENCY_CODES], "cpt4_hcpcs_code string")
         return listed.union(literals).distinct()
 

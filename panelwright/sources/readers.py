@@ -69,10 +69,10 @@ def run_sql(spark: SparkSession, text: str, views: Mapping[str, DataFrame], **ar
     return spark.sql(text, args=args or None, **views)
 
 
-def list_to_codes(df: DataFrame, column: str, separator: str = r"\s*,\s*") -> DataFrame:
-    """Distinct codes from a column that may hold delimited lists."""
-    code = F.explode(F.split(F.col(column), separator)).alias(column)
-    return df.select(code).where(F.trim(F.col(column)) != "").distinct()
+def list_to_codes(df: DataFrame, column: str, output: str, separator: str = r"\s*,\s*") -> DataFrame:
+    """Codes, one per row, from a column that may hold delimited lists."""
+    code = F.explode(F.split(F.col(column), separator)).alias(output)
+    return df.select(code).where(F.trim(F.col(output)) != "")
 
 
 def blank_to_null(value: Column, *sentinels: str) -> Column:
