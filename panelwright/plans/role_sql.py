@@ -229,6 +229,9 @@ CTES: dict[str, str] = {
                      CASE WHEN year(visit_date) - birth_year < 18 THEN 1 ELSE 0 END AS below_18,
                      CASE WHEN year(visit_date) - birth_year > 64 THEN 1 ELSE 0 END AS above_65
               FROM visit_days v JOIN patients p USING (client_id, client_patient_id)) GROUP BY ALL""",
+    "network_months": f"""
+        SELECT m.*, c.* EXCLUDE (client_id) FROM measures m LEFT JOIN client_dem c USING (client_id)
+        WHERE month < date '{STUDY.end}'""",
     "assembled": f"""
         SELECT a.* EXCLUDE (mean_size, mean_white),
                CASE WHEN month < date '{STUDY.pandemic_start}' THEN 1 WHEN month < date '{STUDY.pandemic_second}' THEN 2
@@ -282,4 +285,5 @@ def with_roles(body: str) -> str:
         return body
     # An expression may only look back; the dictionary is in dependency order.
     chain = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name].strip()})" for name in CTES if name in needed)
-    return f"WITH {chain}\n{body.strip()}"
+    own = body.strip()
+    return f"WITH {chain},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {chain}\n{own}"

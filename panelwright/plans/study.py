@@ -213,6 +213,12 @@ class StudyTables:
         """(client, month) measures from the non-imputed columns."""
         return panel.client_measures(self.patient_months, self.patients)
 
+    @cached_property
+    def network_months(self) -> DataFrame:
+        """Client x month with areas: the part of the panel that is the same in every copy."""
+        rows = self.measures.where(F.col("month") < F.lit(self.study.end))
+        return joins.natural_left_join(rows, self.src.client_dem, ["client_id"])
+
     @cached_property
     def assembled(self) -> DataFrame:
         """Client x month x imp before baseline ratios."""
