@@ -41,7 +41,7 @@ def quarter_label(run_quarter_index: Column, first_year: int) -> Column:
     """``Q2 2019`` style label of a running quarter."""
     zero_based = run_quarter_index - 1
     return F.concat(
-        F.lit("Q"), (zero_based % 4 + 1).cast("string"), F.lit(" "),
+        F.lit("Q"), (F.pmod(zero_based, F.lit(4)) + 1).cast("string"), F.lit(" "),
         (F.floor(zero_based / 4) + first_year).cast("string"),
     )
 
