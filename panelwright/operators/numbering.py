@@ -6,22 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.skew import broadcast_if_small
-from panelwright.session import ensure_checkpoint_dir
+from panelwright.sources.writers import settle
 
 
 def dense_ids(df: DataFrame, key: str, output: str) -> DataFrame:
     """(key, id) with ids 1..n in key order.
 
-    Ids are range-partitioned and checkpointed, so that the partition an id sits in is settled; each partition is
+    Ids are range-partitioned and written out, so that the partition an id sits in is settled; each partition is
     numbered on its own and shifted by the sizes of the partitions before it (one small row per partition).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (
-        df.select(key).where(F.col(key).isNotNull()).distinct()
-        .repartitionByRange(key)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key)
+    ranged = settle(ids.withColumn("_part", F.spark_partition_id()), "ids")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
     shifts = sizes.select("_part", (F.sum("_m").over(Window.orderBy("_part")) - F.col("_m")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(key))

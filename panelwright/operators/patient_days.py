@@ -43,14 +43,11 @@ def weight_codes(df: DataFrame, keys: Sequence[str], code: str, missing: Column,
     return kept.withColumn(output, F.col("n_rows") / F.coalesce("_ok", "n_rows")).drop("_ok")
 
 
-def cause_share(df: DataFrame, period: str, cause: str, weight: str = "weight",
+def cause_share(df: DataFrame, keys: Sequence[str], cause: str, weight: str = "weight",
                 unmapped: str = C.UNMAPPED) -> DataFrame:
-    """Weight by cause and period and its share of the period; a missing cause is a category of its own."""
-    total = (
-        df.groupBy(F.col(period), F.coalesce(F.col(cause), F.lit(unmapped)).alias(cause))
-        .agg(F.sum(weight).alias("weight"))
-    )
-    within = F.sum("weight").over(Window.partitionBy(period))
+    """Weight by cause within keys (period, care type) and its share there; a missing cause is a category of its own."""
+    total = df.groupBy(*keys, F.coalesce(F.col(cause), F.lit(unmapped)).alias(cause)).agg(F.sum(weight).alias("weight"))
+    within = F.sum("weight").over(Window.partitionBy(*keys))
     return total.withColumn("prop", F.try_divide(F.col("weight"), within))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from panelwright.session import ensure_checkpoint_dir
+from panelwright.sources.writers import settle
 
 
 def _probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -48,9 +48,8 @@ def fit_softmax(df: DataFrame, keys: Sequence[str], x: str, label: str, weight:
     ``x`` is an array<double> column with its own intercept, ``label`` an int in 0..n_classes-1.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = list(keys)
-    rows = df.select(*keys, x, label, weight).checkpoint()
+    rows = settle(df.select(*keys, x, label, weight), "fit")
     widths = rows.groupBy(*keys).agg(F.max(F.size(x)).alias("p")).collect()
     key_fields = [rows.schema[k] for k in keys]
     shape = {tuple(r[k] for k in keys): (n_classes - 1, r["p"]) for r in widths}

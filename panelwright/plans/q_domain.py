@@ -71,7 +71,7 @@ def group_modal_value(t: Roles) -> DataFrame:
     SELECT cast(plot_date AS varchar) AS plot_date, family_name, {r6('weight')} AS weight, {r6('prop')} AS prop
     FROM cause_share WHERE remote""")
 def cause_share_by_month(t: Roles) -> DataFrame:
-    return t.study.cause_shares(t.study.care_rows(True))
+    return t.study.cause_shares(t.study.care_rows(True)).drop("remote")
 
 
 @query("cause_share_in_person", "OP-5", "OP-6", "UDF-1", "FLT-6", sql=f"""
@@ -79,7 +79,7 @@ def cause_share_by_month(t: Roles) -> DataFrame:
     FROM cause_share WHERE NOT remote""")
 def cause_share_in_person(t: Roles) -> DataFrame:
     """All months in one job instead of one call per month."""
-    return t.study.cause_shares(t.study.care_rows(False))
+    return t.study.cause_shares(t.study.care_rows(False)).drop("remote")
 
 
 @query("causes_regrouped", "OP-7", "FN-2", sql=f"""

@@ -142,12 +142,7 @@ def recombine_slices(t: Roles) -> DataFrame:
     """Weights of both care types by the kind of patient-day, in one grouped pass instead of three slices."""
     day = ["client_id", "patient_id", "visit_date"]
     missing = is_missing_code(F.col("dx1_code"), C.REDACTED)
-    sliced = []
-    for remote in (True, False):
-        counted = t.study.care_rows(remote).groupBy(*day).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(~missing).alias("ok"))
-        sliced.append(counted)
-    days = sliced[0].unionByName(sliced[1])
+    days = t.study.care_rows().groupBy("remote", *day).agg(F.count(F.lit(1)).alias("n"), F.count_if(~missing).alias("ok"))
     kind = F.when(F.col("ok") == 0, "all missing").when(F.col("ok") == F.col("n"), "none missing").otherwise(
         "some missing")
     kept = F.when(F.col("ok") == 0, F.col("n")).otherwise(F.col("ok"))

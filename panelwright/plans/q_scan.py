@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,16 +15,9 @@ from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, MISSING_DX, REMOTE, REMOTE_OR_PLACE, VISIT_DATE, YEARS, quote, r6
 from panelwright.plans.roles import STUDY, Roles
 from panelwright.plans.study import MODIFIERS, PATIENT
-from panelwright.session import ensure_checkpoint_dir
 from panelwright.sources import readers, writers
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/panelwright-{name}-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks ----------------------------------------------------------------------------------------------
 
 
@@ -59,7 +50,7 @@ def scan_single_column(t: Roles) -> DataFrame:
 @query("csv_write_and_read", "SRC-4", "SNK-1", sql=f"""
     SELECT client_id, cast(month AS varchar) AS month, mpatients, {r6('telehealth')} AS telehealth FROM measures""")
 def csv_write_and_read(t: Roles) -> DataFrame:
-    path = scratch(t.spark, "csv")
+    path = writers.fresh_path(t.spark, "csv")
     writers.write_csv(t.study.measures.select("client_id", "month", "mpatients", "telehealth"), path)
     schema = StructType.fromDDL("client_id bigint, month date, mpatients bigint, telehealth double")
     return readers.scan_csv(t.spark, path, schema)
@@ -68,7 +59,7 @@ def csv_write_and_read(t: Roles) -> DataFrame:
 @query("parquet_write_and_read", "SRC-5", "SNK-2", sql="""
     SELECT client_id, client_patient_id, visit_count FROM pulled""")
 def parquet_write_and_read(t: Roles) -> DataFrame:
-    path = scratch(t.spark, "parquet")
+    path = writers.fresh_path(t.spark, "parquet")
     writers.write_parquet(t.study.pulled, path)
     return readers.scan_parquet(t.spark, path, [*PATIENT, "visit_count"])
 
@@ -76,7 +67,7 @@ def parquet_write_and_read(t: Roles) -> DataFrame:
 @query("copies_write_and_read_one", "SNK-3", "SRC-6", "FLT-13", "RSH-6", sql="""
     SELECT client_id, client_patient_id, race, hispanic, re, cast(imp AS int) AS imp FROM stacked WHERE imp = 3""")
 def copies_write_and_read_one(t: Roles) -> DataFrame:
-    path = scratch(t.spark, "copies")
+    path = writers.fresh_path(t.spark, "copies")
     stacked = impute.stack_completed(t.study.completed, M)
     writers.write_by_copy(stacked.select(*PATIENT, "race", "hispanic", "re", "imp"), path)
     return readers.scan_copy(t.spark, path, 3)
@@ -85,7 +76,7 @@ def copies_write_and_read_one(t: Roles) -> DataFrame:
 @query("append_batches_repeatably", "SNK-5", "SNK-4", sql="""
     SELECT client_id % 3 AS third, count(*) AS n FROM patients GROUP BY ALL""")
 def append_batches_repeatably(t: Roles) -> DataFrame:
-    path = scratch(t.spark, "append")
+    path = writers.fresh_path(t.spark, "append")
     rows = t.study.patients.select("client_id", "client_patient_id", (F.col("client_id") % 3).alias("third"))
     for third in (0, 1, 2, 1):            # the repeated batch replaces itself
         writers.append_batch(rows.where(F.col("third") == third), path, f"third-{third}")

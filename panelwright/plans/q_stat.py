@@ -17,6 +17,7 @@ from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, r6
 from panelwright.plans.roles import STUDY, Roles
 from panelwright.plans.study import COVARIATES, PATIENT
+from panelwright.sources.writers import settle
 
 LEADS = (0, 3, 6, 9, 12)
 REPLICATES = 100
@@ -259,10 +260,10 @@ def matched_bootstrap_errors(t: Roles) -> DataFrame:
 def pooled_matching(t: Roles, outcome: str, covariates: list[str], drop_wave: bool, first: int | None) -> DataFrame:
     """Propensity-weighted matched effects over all copies, with bootstrap errors, pooled."""
     rows = t.study.matching_panel(drop_wave, first)
-    members = matching.matched_members(rows, unit="client_id", period="run_month", treat="treatment", outcome=outcome,
-                                       leads=LEADS, carry=covariates)
+    members = settle(matching.matched_members(rows, unit="client_id", period="run_month", treat="treatment",
+                                              outcome=outcome, leads=LEADS, carry=covariates), "members")
     weighted = matching.propensity_weights(members, covariates)
-    sums = matching.unit_contributions(weighted, LEADS)
+    sums = settle(matching.unit_contributions(weighted, LEADS), "contributions")
     estimates = matching.att(sums, LEADS)
     errors = matching.bootstrap_se(sums, unit_ids(t, M), LEADS, REPLICATES, STUDY.seed)
     both = estimates.join(errors, ["imp", "lead"])

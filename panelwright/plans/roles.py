@@ -24,8 +24,8 @@ STATES = ("AZ", "AR", "CA", "CO", "GA", "MT", "TN", "OR", "MD", "NV", "OK", "NY"
 CAUSES = (
     ("mental_a", "Depressive disorders", "fam_mental", "Mental disorders"),
     ("sud_a", "Alcohol use", "fam_sud", "Substance use disorders"),
-    ("cvd_a", "Stroke", "fam_cvd", "Cardiovascular diseases"),
-    ("rf_a", "Tobacco intervention", "fam_rf", "Risk factors"),
+    ("mental_b", "Anxiety disorders", "fam_mental", "Mental disorders"),
+    ("mental_c", "Bipolar disorder", "fam_mental", "Mental disorders"),
     ("rf_b", "Well causes", "fam_rf", "Risk factors"),
     ("lri_a", "Pneumonia", "fam_ri", "Respiratory infections and tuberculosis"),
     ("ntd_a", "Malaria", "fam_ntd", "Neglected tropical diseases and malaria"),

@@ -19,6 +19,7 @@ from panelwright.operators import cleaning, code_map, impute, joins, panel, pati
 from panelwright.operators.fixed_effects import EventStudy
 from panelwright.operators.skew import broadcast_if_small
 from panelwright.sources.readers import list_to_codes
+from panelwright.sources.writers import settle
 
 PATIENT = ["client_id", "client_patient_id"]
 MODIFIERS = ["modifier_code1", "modifier_code2", "modifier_code3", "modifier_code4"]
@@ -114,10 +115,11 @@ class StudyTables:
 
     @cached_property
     def patients(self) -> DataFrame:
+        """The cohort, written out: several branches start from it."""
         kept = self.recoded
         for condition in self.eligibility.values():
             kept = kept.where(condition)
-        return kept
+        return settle(kept, "patients")
 
     @cached_property
     def completed(self) -> DataFrame:
@@ -167,39 +169,41 @@ class StudyTables:
 
     @cached_property
     def patient_months(self) -> DataFrame:
-        return self.visit_days.groupBy(*PATIENT, month_start(F.col("visit_date")).alias("month")).agg(
+        """Visit-days added up by patient and month, written out: all panels start from it."""
+        months = self.visit_days.groupBy(*PATIENT, month_start(F.col("visit_date")).alias("month")).agg(
             F.count(F.lit(1)).alias("n_days"), F.sum("telehealth").alias("n_remote"),
             F.sum("mentalhealth").alias("n_mental"),
             F.sum(F.col("telehealth") * F.col("mentalhealth")).alias("n_mental_remote"))
+        return settle(months, "patient-months")
 
     # --- cause shares -------------------------------------------------------------------------------------------
 
-    def care_rows(self, remote: bool) -> DataFrame:
-        """Outpatient rows in the study window by care type; the in-person set is the exact complement."""
+    def care_rows(self, remote: bool | None = None) -> DataFrame:
+        """Outpatient rows in the study window, of one care type or of both; in-person is the exact complement."""
         flag = is_remote([F.col(c) for c in MODIFIERS], C.REMOTE_MODIFIERS, F.col("place_of_service"),
                          C.REMOTE_PLACE_OF_SERVICE)
         inside = (F.col("visit_date") >= F.lit(self.study.start)) & (F.col("visit_date") < F.lit(self.study.end))
-        return self.outpatient.where(inside & (flag if remote else ~flag))
+        rows = self.outpatient.where(inside).withColumn("remote", flag)
+        return rows if remote is None else rows.where(F.col("remote") == remote)
 
     @cached_property
     def resolved_codes(self) -> DataFrame:
         return code_map.resolve_systems(self.code_dimension, "dx")
 
     def cause_shares(self, rows: DataFrame) -> DataFrame:
-        """Patient-days by month and cause family: (plot_date, family_name, weight, prop)."""
-        weights = patient_days.weight_codes(rows, ["client_id", "patient_id", "visit_date"], "dx1_code",
+        """Patient-days by care type, month and cause family: (remote, plot_date, family_name, weight, prop)."""
+        weights = patient_days.weight_codes(rows, ["remote", "client_id", "patient_id", "visit_date"], "dx1_code",
                                             is_missing_code(F.col("dx1_code"), C.REDACTED))
         coded = weights.withColumns({"dx": clean_code(F.col("dx1_code")),
                                      "plot_date": month_start(F.col("visit_date"))})
         mapped = patient_days.map_codes(coded, "dx", self.resolved_codes)
-        return patient_days.cause_share(mapped, "plot_date", "family_name")
+        return patient_days.cause_share(mapped, ["remote", "plot_date"], "family_name")
 
     @cached_property
     def care_comparison(self) -> DataFrame:
-        """Cause shares of both care types in one frame."""
-        remote = self.cause_shares(self.care_rows(True)).withColumn("care_type", F.lit("Telemedicine"))
-        in_person = self.cause_shares(self.care_rows(False)).withColumn("care_type", F.lit("In-Person"))
-        return remote.unionByName(in_person)
+        """Cause shares of both care types, from one pass over the rows."""
+        label = F.when(F.col("remote"), "Telemedicine").otherwise("In-Person")
+        return self.cause_shares(self.care_rows()).withColumn("care_type", label).drop("remote")
 
     # --- panels -------------------------------------------------------------------------------------------------
 
@@ -242,12 +246,12 @@ class StudyTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """The analysis panel: client x month x imp."""
+        """The analysis panel, client x month x imp, written out: every model starts from it."""
         base = self.baseline.select("client_id", "imp", F.col("mpatients").alias("patients_base"),
                                     F.col("wnh").alias("wnh_base"), F.col("bnh").alias("bnh_base"))
         ratios = panel.change_ratios(self.assembled, base, F.col("month") < F.lit(self.study.baseline_end))
-        return policy.attach_stringency(ratios, policy.stringency_table(self.spark), "month",
-                                        self.study.pandemic_start)
+        out = policy.attach_stringency(ratios, policy.stringency_table(self.spark), "month", self.study.pandemic_start)
+        return settle(out, "panel")
 
     @cached_property
     def state_months(self) -> DataFrame:
@@ -282,15 +286,16 @@ class StudyTables:
                  "change_patients", "index", "rural", "small", "poverty", "more_wnh"]
         firsts = ["parity_group", "parity_combined", "pct_rural_2010", "povertyrate"]
         grouped = panel.plain_means(self._quarterly(rows), ["client_id", "quarter", "imp"], means, firsts=firsts)
-        return grouped.withColumn("lpatients", safe_log(F.col("mpatients")))
+        return settle(grouped.withColumn("lpatients", safe_log(F.col("mpatients"))), "client-quarters")
 
     def state_quarters(self, rows: DataFrame) -> DataFrame:
         """State x quarter x imp weighted means for the state-level models."""
         means = ["telehealth", "pct_below18", "pct_65plus", "wnh", "bnh", "hispanic", "change_patients", "index",
                  "pct_rural_2010", "povertyrate"]
-        return panel.weighted_means(
+        grouped = panel.weighted_means(
             self._quarterly(rows), ["state", "quarter", "imp"], means, "mpatients", lenient=True,
             firsts=["parity_group", "parity_combined"], extra=[safe_log(F.sum("mpatients")).alias("lpatients")])
+        return settle(grouped, "state-quarters")
 
     @cached_property
     def early_rows(self) -> DataFrame:

@@ -31,10 +31,10 @@ def build_session(app: str = "panelwright", cores: int | str = "*", **conf: str)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; fall back to a local one only where it is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelwright-"))
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelwright-"))
+    return context.getCheckpointDir()
