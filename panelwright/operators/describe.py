@@ -100,10 +100,15 @@ def stratified_table(df: DataFrame, group: str, categorical: Sequence[str], cont
     return cat.unionByName(cont)
 
 
+def percent_text(percent: Column) -> Column:
+    """``12%``; an exact half goes to the even number."""
+    return F.format_string("%.0f%%", F.bround(percent, 0))
+
+
 def render_table(table: DataFrame) -> DataFrame:
-    """Text cells: ``12%`` for levels, ``3.4 (1.2)`` for continuous variables."""
-    cell = F.when(F.col("percent").isNotNull(), F.format_string("%.0f%%", "percent")).otherwise(
-        F.format_string("%.1f (%.1f)", "mean", "sd"))
+    """Text cells: ``12%`` for levels, ``3.4 (1.2)`` for continuous variables, NULL where the SD is undefined."""
+    mean_sd = F.format_string("%.1f (%.1f)", F.bround("mean", 1), F.bround("sd", 1))
+    cell = F.when(F.col("percent").isNotNull(), percent_text(F.col("percent"))).when(F.col("sd").isNotNull(), mean_sd)
     return table.withColumn("cell", cell)
 
 

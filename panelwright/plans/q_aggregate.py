@@ -234,7 +234,7 @@ _people_sql = f"""
     FROM (SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY g, variable) AS p FROM cat)
     UNION ALL
     SELECT g, 'visit_count', NULL, count(*), NULL, {r6('avg(visit_count)')}, {r6('stddev_samp(visit_count)')},
-           printf('%.1f (%.1f)', avg(visit_count), stddev_samp(visit_count))
+           CASE WHEN count(*) > 1 THEN printf('%.1f (%.1f)', avg(visit_count), stddev_samp(visit_count)) END
     FROM (SELECT parity_group AS g, visit_count FROM people UNION ALL SELECT 'Overall', visit_count FROM people)
     GROUP BY g""")
 def stratified_table(t: Roles) -> DataFrame:

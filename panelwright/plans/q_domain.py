@@ -395,7 +395,8 @@ def age_bands(t: Roles) -> DataFrame:
     age = band(STUDY.age_year - F.col("birth_year"), [15, 65], ["Under 15", "15-64", "65 plus"])
     counted = t.study.patients.groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("n"))
     shared = shares.share_of_all(counted, "n", "share")
-    return shared.select("age", "n", F.format_string("%d (%.0f%%)", "n", 100 * F.col("share")).alias("cell"))
+    return shared.select("age", "n", F.concat(F.col("n").cast("string"), F.lit(" ("), describe.percent_text(
+        100 * F.col("share")), F.lit(")")).alias("cell"))
 
 
 @query("flags_and_powers", "FN-17", "FN-20", "FN-22", sql=f"""
