@@ -133,17 +133,28 @@ def plain_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, f
     )
 
 
-def change_ratios(panel: DataFrame, baseline: DataFrame, before: Column) -> DataFrame:
-    """Patients relative to the baseline year's monthly mean and group shares relative to the baseline share.
+def change_ratios(panel: DataFrame, before: Column) -> DataFrame:
+    """Patients relative to the baseline months' mean per month and group shares relative to the baseline share.
 
-    ``baseline``: client_id, imp, patients_base, wnh_base, bnh_base.
+    Baseline sums are taken in a window over the unit's few months, beside those of ``unit_flags``: no self-join.
+    ``before`` marks the baseline months; a year of them is assumed for the monthly mean.
     """
-    joined = panel.join(baseline, ["client_id", "imp"], "left")
-    return joined.withColumns({
-        "change_patients": ratio_to_baseline(F.col("mpatients"), F.col("patients_base") / 12, before),
-        "change_wnh": ratio_to_baseline(F.col("wnh"), F.col("wnh_base"), before),
-        "change_bnh": ratio_to_baseline(F.col("bnh"), F.col("bnh_base"), before),
-    })
+    w = Window.partitionBy("client_id", "imp")
+    size = F.col("mpatients")
+
+    def base_sum(value: Column) -> Column:
+        return F.sum(F.when(before, value)).over(w)
+
+    def base_share(name: str) -> Column:
+        unknown = F.count_if(before & (F.col(name).isNull() | size.isNull())).over(w)
+        return F.when(unknown == 0, F.try_divide(base_sum(F.col(name) * size), base_sum(size)))
+
+    based = panel.withColumns({"_patients": base_sum(size), "_wnh": base_share("wnh"), "_bnh": base_share("bnh")})
+    return based.withColumns({
+        "change_patients": ratio_to_baseline(size, F.col("_patients") / 12, before),
+        "change_wnh": ratio_to_baseline(F.col("wnh"), F.col("_wnh"), before),
+        "change_bnh": ratio_to_baseline(F.col("bnh"), F.col("_bnh"), before),
+    }).drop("_patients", "_wnh", "_bnh")
 
 
 def group_rates(by_group: DataFrame, keys: Sequence[str] = ("re", "month", "imp")) -> DataFrame:

@@ -99,34 +99,39 @@ class Roles:
 
     @cached_property
     def procedure(self) -> DataFrame:
-        """Line item with its order, patient and part. All joins are plain equi-joins left to AQE (skew join on)."""
-        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
-                                             "o_orderpriority")
-        customers = self.table("customer").select("c_custkey", "c_nationkey")
-        parts = self.table("part").select("p_partkey", "p_brand", "p_type", "p_size")
-        visits = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        rows = lines.join(visits, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            parts, F.col("l_partkey") == F.col("p_partkey"))
-        brand = F.substring("p_brand", 7, 2).cast("int")
+        """Line item with its order, patient and part.
+
+        Role columns are made on the side they depend on, before the joins. All joins are plain equi-joins left to
+        Catalyst and AQE (skew join on).
+        """
         fmt = F.col("o_orderkey") % 20
-        return rows.select(
-            (F.col("c_nationkey") * BRANCHES + F.col("o_custkey") % BRANCHES).cast("bigint").alias("client_id"),
-            F.col("o_custkey").alias("patient_id"),
+        visits = self.table("orders").select(
+            "o_orderkey", F.col("o_custkey").alias("patient_id"),
             F.when(fmt == 0, F.date_format("o_orderdate", "yyyy"))
             .when(fmt < 10, F.date_format("o_orderdate", "yyyy-MM-dd"))
             .otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("date"),
+            F.when(F.col("o_orderstatus") == "P", "76").alias("modifier_code3"),
+            F.when(F.substring("o_orderpriority", 1, 1) == "1", "93").alias("modifier_code4"))
+        patients = self.table("customer").select(
+            F.col("c_custkey").alias("patient_id"),
+            (F.col("c_nationkey") * BRANCHES + F.col("c_custkey") % BRANCHES).cast("bigint").alias("client_id"))
+        brand = F.substring("p_brand", 7, 2).cast("int")
+        codes = self.table("part").select(
+            "p_partkey",
             recode(F.col("p_type"), CPT, F.when(F.col("p_size") % 2 == 1, "99281")).alias("cpt4_hcpcs_code"),
             F.when(brand <= 4, F.lit(None)).when(brand <= 8, C.REDACTED)
             .when(brand % 2 == 0, F.concat(F.lit(" b."), brand.cast("string")))
-            .otherwise(F.concat(F.lit("B"), brand.cast("string"))).alias("dx1_code"),
+            .otherwise(F.concat(F.lit("B"), brand.cast("string"))).alias("dx1_code"))
+        lines = self.table("lineitem").select(
+            F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line_no"), "l_partkey",
             F.when(F.col("l_returnflag") == "R", "GT").when(F.col("l_returnflag") == "A", "25")
             .alias("modifier_code1"),
             F.when(F.col("l_linestatus") == "O", "59").alias("modifier_code2"),
-            F.when(F.col("o_orderstatus") == "P", "76").alias("modifier_code3"),
-            F.when(F.substring("o_orderpriority", 1, 1) == "1", "93").alias("modifier_code4"),
-            F.when(F.col("l_linenumber") % 7 == 2, "2").otherwise("11").alias("place_of_service"),
-            F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line_no"))
+            F.when(F.col("l_linenumber") % 7 == 2, "2").otherwise("11").alias("place_of_service"))
+        rows = lines.join(visits.join(patients, "patient_id"), F.col("claim_id") == F.col("o_orderkey")).join(
+            codes, F.col("l_partkey") == F.col("p_partkey"))
+        return rows.select("client_id", "patient_id", "date", "cpt4_hcpcs_code", "dx1_code", "modifier_code1",
+                           "modifier_code2", "modifier_code3", "modifier_code4", "place_of_service", "claim_id", "line_no")
 
     @cached_property
     def inpatient_codes(self) -> DataFrame:

@@ -247,9 +247,7 @@ class StudyTables:
     @cached_property
     def panel(self) -> DataFrame:
         """The analysis panel, client x month x imp, written out: every model starts from it."""
-        base = self.baseline.select("client_id", "imp", F.col("mpatients").alias("patients_base"),
-                                    F.col("wnh").alias("wnh_base"), F.col("bnh").alias("bnh_base"))
-        ratios = panel.change_ratios(self.assembled, base, F.col("month") < F.lit(self.study.baseline_end))
+        ratios = panel.change_ratios(self.assembled, F.col("month") < F.lit(self.study.baseline_end))
         out = policy.attach_stringency(ratios, policy.stringency_table(self.spark), "month", self.study.pandemic_start)
         return settle(out, "panel")
 

@@ -47,8 +47,7 @@ def skewed(spark):
         F.when(i % 4 == 0, None).when(i % 4 == 1, "[REDACTED]").otherwise(F.concat(F.lit("x"), i % 3)).alias("dx"))
 
 
-def test_weights_sum_to_one_and_agree_between_grains(skewed, monkeypatch):
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)          # force the split into hot and other keys
+def test_weights_sum_to_one_and_agree_between_grains(skewed):
     by_row = patient_days.weight_rows(skewed, DAY, missing())
     coded = F.when(~missing(), F.col("dx")).alias("dx")
     from_rows = by_row.groupBy(*DAY, coded).agg(F.round(F.sum("weight"), 9).alias("w"))
@@ -59,16 +58,22 @@ def test_weights_sum_to_one_and_agree_between_grains(skewed, monkeypatch):
 
 
 def test_hot_keys_are_found(skewed):
-    hot = rows(skew.hot_keys(skewed, DAY, 0.05))
-    assert ("c0", "p0", "d0") in hot and len(hot) <= 60
+    hot = skew.hot_hashes(skewed, DAY, 0.05)
+    assert hot == [skewed.where("client = 'c0' AND patient = 'p0'").select(F.xxhash64(*DAY)).first()[0]]
 
 
-@pytest.mark.parametrize("limit", [10, 500_000])
-def test_group_stats_equal_on_every_path(spark, skewed, monkeypatch, limit):
+@pytest.mark.parametrize("keys", [["client", "patient"], ["client"], ["patient", "day", "dx"]])
+def test_group_stats_equal_on_every_path(skewed, keys):
     with_null = skewed.withColumn("patient", F.when(F.col("patient") != "p3", F.col("patient")))
-    expected = rows(shares.group_size(with_null, ["client", "patient"], "n", bounded=True))
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
-    assert rows(shares.group_size(with_null, ["client", "patient"], "n")) == expected
+    assert skew.hot_hashes(with_null, keys)
+    expected = rows(shares.group_size(with_null, keys, "n", bounded=True))
+    assert rows(shares.group_size(with_null, keys, "n")) == expected
+
+
+def test_hot_rows_are_not_shuffled(skewed, capsys):
+    shares.group_size(skewed, DAY, "n").explain("simple")
+    plan = capsys.readouterr().out
+    assert "Union" in plan and "BroadcastHashJoin" in plan
 
 
 def test_cause_share_counts_missing_as_a_category(spark):
