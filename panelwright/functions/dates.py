@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 
 def parse_visit_date(text: Column) -> Column:
-    """Date from compact or dashed text; anything else, including a bare year, is NULL."""
-    return (
-        F.when(F.length(text) == 8, F.try_to_date(text, "yyyyMMdd"))
-        .when(F.length(text) == 10, F.try_to_date(text, "yyyy-MM-dd"))
-    )
+    """Date from compact or dashed text; anything else, including a bare year, is NULL.
+
+    Compact text is put into dashed form and cast: a cast is much cheaper than a formatter.
+    """
+    dashed = F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2))
+    return F.when(F.length(text) == 8, dashed).when(F.length(text) == 10, text).try_cast("date")
 
 
 def month_start(date: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright import constants as C
 from panelwright.functions.recode import recode
+from panelwright.operators.skew import broadcast_if_small
 
 
 def policy_table(spark: SparkSession) -> DataFrame:
@@ -25,7 +26,7 @@ def attach_policy(panel: DataFrame, policy: DataFrame, run_month: str) -> DataFr
     on_or_after = F.coalesce(F.col(run_month) >= F.col("start_run"), F.lit(True))
     on_or_before = F.coalesce(F.col(run_month) <= F.col("end_run"), F.lit(True))
     ever = F.col("policy_group").isNotNull()
-    joined = panel.join(F.broadcast(policy), "state", "left")
+    joined = panel.join(broadcast_if_small(policy), "state", "left")
     return joined.withColumns({
         "parity": ever,
         "parity_month": ever & on_or_after & on_or_before,
@@ -48,7 +49,7 @@ def stringency_table(spark: SparkSession) -> DataFrame:
 
 def attach_stringency(panel: DataFrame, stringency: DataFrame, month: str, start: dt.date) -> DataFrame:
     """Stringency index, zero before ``start``, NULL for a state not in the table."""
-    joined = panel.join(F.broadcast(stringency), "state", "left")
+    joined = panel.join(broadcast_if_small(stringency), "state", "left")
     return joined.withColumn("index", F.when(F.col(month) < F.lit(start), 0.0).otherwise(F.col("index")))
 
 
