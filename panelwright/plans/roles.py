@@ -105,11 +105,11 @@ class Roles:
         Catalyst and AQE (skew join on).
         """
         fmt = F.col("o_orderkey") % 20
+        dashed = F.col("o_orderdate").cast("date").cast("string")
         visits = self.table("orders").select(
             "o_orderkey", F.col("o_custkey").alias("patient_id"),
-            F.when(fmt == 0, F.date_format("o_orderdate", "yyyy"))
-            .when(fmt < 10, F.date_format("o_orderdate", "yyyy-MM-dd"))
-            .otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("date"),
+            F.when(fmt == 0, F.substring(dashed, 1, 4)).when(fmt < 10, dashed)
+            .otherwise(F.translate(dashed, "-", "")).alias("date"),
             F.when(F.col("o_orderstatus") == "P", "76").alias("modifier_code3"),
             F.when(F.substring("o_orderpriority", 1, 1) == "1", "93").alias("modifier_code4"))
         patients = self.table("customer").select(
