@@ -15,18 +15,27 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every node that has an edge, with one node of its component as common root.
 
     Union-find: each task first joins its own edges into trees, of which only the tree edges go on. Then rounds hook every
-    node to the neighbour of least priority and contract the edges, with a new random order each round, so that long
-    chains shrink by a fixed share per round too. Rounds go on until no edge is left. Rows with a NULL end and loops
-    link nothing.
+    node to the neighbour of least priority and contract the edges. Priorities are the nodes' own order, which ends star
+    shapes at once, and in every other round a new random order, so that long chains shrink by a fixed share too. Rounds
+    go on until no edge is left. Rows with a NULL end and loops link nothing.
     """
     edges = settle(_local_trees(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
     found, turn = None, 0
     while not edges.isEmpty():
         hooks = settle(_hooks(edges, turn), "hooks")
         edges = settle(_contract(edges, hooks), "edges")
-        found = hooks if found is None else _follow(found, hooks)
-        found, turn = settle(found, "roots"), turn + 1
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+        found, turn = hooks if found is None else _follow(found, hooks), turn + 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else settle(found, "roots")
+
+
+def join_components(found: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``found`` with more edges: only edges between different components are worked on."""
+    root_of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).join(root_of("x"), "x", "left").join(root_of("y"), "y", "left")
+    ends = ends.select(F.coalesce("_x", "x").alias("a"), F.coalesce("_y", "y").alias("b"))
+    more = connected_components(ends, "a", "b")
+    merged = _follow(found, more)
+    return merged.unionByName(more.join(found.select("node"), "node", "left_anti")).distinct()
 
 
 def _local_trees(edges: DataFrame) -> DataFrame:
@@ -52,7 +61,8 @@ def _local_trees(edges: DataFrame) -> DataFrame:
 
 
 def _priority(node: Column, turn: int) -> Column:
-    return F.struct(F.xxhash64(node, F.lit(turn)).alias("p"), node.alias("n"))
+    order = F.lit(0).cast("long") if turn % 2 == 0 else F.xxhash64(node, F.lit(turn))
+    return F.struct(order.alias("p"), node.alias("n"))
 
 
 def _hooks(edges: DataFrame, turn: int) -> DataFrame:

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.components import connected_components
+from panelwright.llm.components import connected_components, join_components
 from panelwright.llm.text import WordHasher, mix, row_chunks, shingle_hashes
 from panelwright.operators.skew import broadcast_if_small
 from panelwright.sources.writers import settle
 
 #: 32 bands of 5 ranks: a pair of similarity 0.8 shares no band in 3 of a million cases, one of 0.3 in 92 of 100.
 BANDS, BAND_RANKS = 32, 5
+#: Buckets up to this size are compared as pairs, larger ones in blocks of so many members.
+PAIRED_MEMBERS, BLOCK_MEMBERS = 12, 1024
+
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -143,30 +146,101 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that are not yet in one component and may still be linked.
+def _open_members(members: DataFrame, roots: DataFrame, measured: DataFrame) -> DataFrame:
+    """(bucket, cls, n, root, d, k, main) of the buckets whose members are not all in one component.
 
-    Buckets whose members have all been joined need nothing more. In the others, a pair can be left out only where a bound
-    says so: sizes too far apart, or distances to the bucket's pivot too far apart (the Jaccard distance obeys the
-    triangle inequality), or a pair measured before.
+    d: distance to the bucket's first pivot, where measured. k: members of the bucket. main: its commonest component.
     """
     labels = roots.select(F.col("node").alias("cls"), "root")
     named = members.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
-    named = named.join(mixed.where("r0 <> r1 and k > 2").select("bucket"), "bucket")
+    counts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("bucket").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main"))
+    named = named.join(mixed.where("roots > 1 and k > 2").drop("roots"), "bucket")
     to_pivot = measured.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
     named = named.withColumns(dict(zip(("a", "b"), _ordered("cls", "pivot")))).join(to_pivot, ["a", "b"], "left")
-    named = settle(named.select("bucket", "cls", "n", "root", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open")
-    x = named.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "root", "d")])
-    y = named.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "root", "d")])
-    reach = 1 - percent / 100 + 1e-9
+    d = F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("d"))
+    return named.select("bucket", "cls", "n", "root", d.alias("d"), "k", "main")
+
+
+def _small_bucket_pairs(open_members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """Pairs of buckets of at most ``PAIRED_MEMBERS`` that are in different components and not measured yet.
+
+    A pair is left out only where a bound says that it is no link: sizes too far apart, or distances to the pivot too far
+    apart (the Jaccard distance obeys the triangle inequality).
+    """
+    small = open_members.where(F.col("k") <= PAIRED_MEMBERS)
+    x, y = (small.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "root", "d")]) for side in "xy")
     may_link = ((F.col("x_cls") < F.col("y_cls")) & (F.col("x_root") != F.col("y_root"))
                 & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-                & (F.abs(F.col("x_d") - F.col("y_d")) <= reach))
+                & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9))
     pairs = x.join(y, "bucket").where(may_link).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
     return pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _large_bucket_links(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of larger buckets between members outside the commonest component and members of any other.
+
+    Those outside are compared with all members block by block, each block pair in one call on full sets, so no pair is
+    ever a row; of the links of one member into one component, one is returned.
+    """
+    large = open_members.where(F.col("k") > PAIRED_MEMBERS).join(sets, "cls")
+    outside = large.where("root <> main")
+    few = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("f"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int")
+    own = lambda c: F.pmod(F.hash("cls"), blocks(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    columns = ("bucket", "cls", "n", "root", "d", "items")
+    sided = lambda side, i, j: [*[F.col(c).alias(f"{side}_{c}") for c in columns], i.alias(f"{side}_i"), j.alias(f"{side}_j")]
+    left = outside.join(few, "bucket").select(*sided("x", own("f"), every("k")))
+    right = large.join(few, "bucket").select(*sided("y", every("f"), own("k")))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = _block_links(x.rename_columns([c[2:] for c in x.column_names]), y.rename_columns([c[2:] for c in y.column_names]), percent)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    by = lambda side: [f"{side}_{c}" for c in ("bucket", "i", "j")]
+    return left.groupBy(*by("x")).cogroup(right.groupBy(*by("y"))).applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def _flat(items: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    whole = pa.concat_arrays(items.chunks) if items.num_chunks else pa.array([], pa.list_(pa.int64()))
+    sizes = np.diff(whole.offsets.to_numpy())
+    return whole.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _block_links(x: pa.Table, y: pa.Table, percent: int) -> tuple[list, list]:
+    a, b = [], []
+    if not x.num_rows or not y.num_rows:
+        return a, b
+    xs, x_at = _flat(x["items"])
+    ys, y_at = _flat(y["items"])
+    names, codes = np.unique(ys, return_inverse=True)
+    marked = np.zeros(len(names) + 1, dtype=np.int32)
+    n_y, d_y = np.diff(y_at), y["d"].to_numpy().astype(float)
+    x_cls, y_cls, x_root = x["cls"].to_pylist(), y["cls"].to_pylist(), x["root"].to_pylist()
+    y_root, root_of_y = np.unique(np.array(y["root"].to_pylist(), dtype=object), return_inverse=True)
+    d_x = x["d"].to_numpy().astype(float)
+    for i, (lo, hi) in enumerate(zip(x_at[:-1], x_at[1:])):
+        n = hi - lo
+        apart = np.abs(d_y - d_x[i]) > 1 - percent / 100 + 1e-9  # a distance that is not known is NaN and excludes nothing
+        may = ~apart & (100 * np.minimum(n, n_y) >= percent * np.maximum(n, n_y)) & (y_root[root_of_y] != x_root[i])
+        if not may.any():
+            continue
+        place = np.minimum(np.searchsorted(names, xs[lo:hi]), len(names) - 1)
+        here = place[names[place] == xs[lo:hi]]
+        marked[here] = 1
+        met = np.add.reduceat(marked[codes], y_at[:-1])
+        marked[here] = 0
+        for j in _first_of_each(np.flatnonzero(may & (100 * met >= percent * (n + n_y - met))), root_of_y):
+            a.append(min(x_cls[i], y_cls[j]))
+            b.append(max(x_cls[i], y_cls[j]))
+    return a, b
+
+
+def _first_of_each(places: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return places[np.unique(group[places], return_index=True)[1]]
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                 percent: int = 80) -> DataFrame:
     """(``id_col``, text_key, n_shingles, component_id, kept) of every row.
@@ -174,8 +248,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are linked if their sets of ``shingle``-word runs have 100 * intersection >= ``percent`` * union; groups are
     the components of these links, named by their smallest id, and ``kept`` marks the row that gives the name.
     Candidates come from banded SuperMinHash signatures. Texts of one set are one class from the start, so copies are
-    counted, never paired; classes of one bucket are measured against two pivots, joined, and only what is still apart is
-    measured pair by pair.
+    counted, never paired; classes of one bucket are measured against two pivots and joined; only members that are then still
+    outside a bucket's main component are compared with the others, by pairs in small buckets and by blocks in large ones.
 
     A NULL, empty or blank text has no shingles and is alone. A text with fewer words than ``shingle`` has its whole
     sequence as one shingle. Rows that repeat an id with the same text share a result; repeated ids with different texts
@@ -202,10 +276,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     measured = settle(_verified(stars.select(*_ordered("cls", "pivot")).distinct(), sets), "measured")
     links = measured.where(_linked(percent)).select("a", "b")
     roots = connected_components(links, "a", "b")
-    rest = settle(_verified(_open_pairs(members, roots, measured, percent), sets), "measured")
-    more = rest.where(_linked(percent)).select("a", "b")
+    still = settle(_open_members(members, roots, measured), "open")
+    more = _verified(_small_bucket_pairs(still, measured, percent), sets).where(_linked(percent)).select("a", "b")
+    more = settle(more.unionByName(_large_bucket_links(still, sets, percent)), "links")
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more), "a", "b")
+        roots = settle(join_components(roots, more, "a", "b"), "roots")
 
     named = classes.select("cls", "id").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
