@@ -86,35 +86,53 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return DomainModel(domains, [log((n + 1) / (n_docs.sum() + len(domains))) for n in n_docs], shares)
 
 
+#: A round of the fit counts as progress if it lowers the misfit by this share.
+MIN_GAIN = 0.01
+
+
 def fit_rates(soft: DataFrame, targets: Sequence[float], n_col: str = "n_tokens", p_col: str = "posteriors",
-              tolerance: float = 1e-7) -> Column:
-    """Rate of every document, as a column over ``soft``: projected-gradient least squares.
+              tolerance: float = 1e-7) -> DataFrame:
+    """``soft`` with a column rate, from projected-gradient least squares.
 
     With n_i tokens and posteriors p_i, rates r_i >= 0 are sought whose expected totals sum_i r_i n_i p_i are nearest to
-    ``targets``. From r = 1, every round adds up the totals of the present rates (one job, as many numbers as domains) and
-    takes the step r_i <- max(0, r_i + p_i' H (target - total)), where H inverts sum_i n_i p_i p_i'. This is the gradient
-    in the metric of the documents' sizes; there its Lipschitz constant is 1, so the full step never overshoots. Rounds
-    end when targets are met or the misfit no longer falls, as where a target asks for a domain that no document has.
+    ``targets``. From r = 1, every round takes the step r_i <- max(0, r_i + p_i' H (target - total)): the gradient in the
+    metric of the documents' sizes, scaled by H, the inverse of sum_i n_i p_i p_i'. H is taken over the documents with a
+    positive rate, which ends in few rounds; where that step fails to lower the misfit, H over all documents is used, whose
+    full step never overshoots. Each try is one job that adds up the totals and H's sums, as many numbers as domains and
+    pairs of domains. Rounds end when targets are met or when neither step is progress, as where a target asks for a
+    domain that no document has.
     """
     k = len(targets)
-    p = [F.col(p_col)[i] for i in range(k)]
-    n = F.col(n_col).cast("double")
     target = np.asarray(targets, dtype=float)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = soft.agg(*[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    rate, misfit = F.lit(1.0), np.inf
-    while True:
-        row = soft.select(*[(n * rate * x).alias(f"s{i}") for i, x in enumerate(p)]).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-        gap = target - np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        now = float(gap @ inverse @ gap)
-        if np.abs(gap).max() <= tolerance * max(target.sum(), 1.0) or now > misfit * (1 - 1e-3):
-            return rate
-        misfit, step = now, inverse @ gap
-        rate = F.greatest(F.lit(0.0), rate + reduce(lambda a, b: a + b, [x * float(s) for x, s in zip(p, step)]))
+
+    def measure(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        p, n = [F.col(p_col)[i] for i in range(k)], F.col(n_col).cast("double")
+        totals = [F.sum(n * F.col("rate") * p[i]).alias(f"s{i}") for i in range(k)]
+        grams = [F.sum(F.when(F.col("rate") > 0, n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs]
+        row = df.agg(*totals, *grams).first()
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+        return target - np.array([row[f"s{i}"] or 0.0 for i in range(k)]), np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+
+    now = soft.withColumn("rate", F.lit(1.0))
+    gap, inverse = measure(now)
+    metric, rounds = inverse, 0
+    misfit = lambda g: float(g @ metric @ g)
+    while np.abs(gap).max() > tolerance * max(target.sum(), 1.0):
+        for h in (inverse, metric):
+            push = reduce(lambda a, b: a + b, [F.col(p_col)[i] * float(x) for i, x in enumerate(h @ gap)])
+            after = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + push))
+            new_gap, new_inverse = measure(after)
+            if misfit(new_gap) < (1 - MIN_GAIN) * misfit(gap):
+                break
+        else:
+            return now
+        rounds += 1
+        now = settle(after, "rates") if rounds % 8 == 0 else after
+        gap, inverse = new_gap, new_inverse
+    return now
 
 
 def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float], budget: float | None = None,
@@ -135,8 +153,7 @@ def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float],
     if budget is None:
         sums = soft.agg(*[F.sum(F.col("n_tokens") * F.col("posteriors")[i]).alias(f"s{i}") for i in range(len(wanted))]).first()
         budget = min(((sums[f"s{i}"] or 0.0) / w for i, w in enumerate(wanted) if w > 0), default=0.0)
-    rate = fit_rates(soft, list(wanted * budget))
-    out = soft.withColumn("rate", rate)
+    out = fit_rates(soft, list(wanted * budget))
     chance = F.pmod(F.xxhash64(F.col(id_col), "text_key", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("copies", (F.floor(F.round("rate", 6)) + (chance < F.round("rate", 6) - F.floor(F.round("rate", 6))).cast("int")).cast("long"))
 
