@@ -49,10 +49,5 @@ def weight_se(percent: Column, sum_sq_weight: Column) -> Column:
     return F.when(variance >= 0, F.sqrt(variance))
 
 
-def iqr(x: Column) -> Column:
-    """Inter-quartile range, linear interpolation. For groups with few distinct values; see operators.quantiles."""
-    return F.percentile(x, 0.75) - F.percentile(x, 0.25)
-
-
 def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x))

@@ -113,6 +113,6 @@ def render_table(table: DataFrame) -> DataFrame:
 
 
 def add_zero_states(df: DataFrame, rows: Mapping[str, str]) -> DataFrame:
-    """Append reference states that have no data."""
+    """Append those reference states that have no row yet."""
     extra = df.sparkSession.createDataFrame(list(rows.items()), "state string, clients string")
-    return df.unionByName(extra)
+    return df.unionByName(extra.join(df.select("state"), "state", "left_anti"))

@@ -34,6 +34,13 @@ def coalesce_join(left: DataFrame, right: DataFrame, keys: Sequence[str], column
     return joined.withColumn(column, F.coalesce(column, "_other")).drop("_other")
 
 
+def suffixed_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join where other columns share names: the left's get the suffix ``_x``, the right's ``_y``."""
+    shared = (set(left.columns) & set(right.columns)) - set(keys)
+    renamed = lambda df, end: df.withColumnsRenamed({c: f"{c}{end}" for c in shared})
+    return renamed(left, "_x").join(renamed(right, "_y"), list(keys), "left")
+
+
 def require_unique(dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fail when a lookup key occurs twice: a left join on it would multiply fact rows and their weights."""
     twice = dimension.groupBy(*keys).count().where("count > 1").limit(5).collect()

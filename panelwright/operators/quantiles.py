@@ -2,7 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here equal values are counted first, values
 are cut into slices at approximate quantiles of the whole column, running slice counts tell which slice holds each
-wanted rank, and only those slices are ordered. Any slice of any group holds about 1/``slices`` of the counted rows.
+wanted rank, and only those slices are ordered. There are as many slices as keep each at about ``slice_rows`` distinct values,
+whatever the size of the column.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.recode import bin_right_closed
+from panelwright.sources.writers import settle
+
+SLICE_ROWS = 100_000
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    slices: int = 256) -> DataFrame:
+                    slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Quantiles with linear interpolation between order statistics: rows (keys, prob, q)."""
     keys = list(keys)
     counted = (
@@ -27,7 +31,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         .groupBy(*keys, F.col(value).cast("double").alias("x"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    cuts = counted.approxQuantile("x", [i / slices for i in range(1, slices)], 1 / (4 * slices))
+    counted = settle(counted, "counts")
+    slices = -(-counted.count() // slice_rows)
+    cuts = counted.approxQuantile("x", [i / slices for i in range(1, slices)], 1 / (4 * slices)) if slices > 1 else []
     splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="x", outputCol="slice").transform(counted)
 

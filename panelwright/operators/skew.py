@@ -9,9 +9,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.sources.writers import settle
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 1e-3
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
@@ -30,34 +31,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else df
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Key hashes of every key holding at least ``share`` of the rows; at most 1 / ``share`` numbers.
-
-    One map-side-combined pass of the frequent-items sketch. Its error is about 2e-4 of the rows, so no key at or above
-    1e-3 is missed. Keys listed needlessly do no harm: callers only need one fixed split of the keys.
-    """
-    key = df.select(F.xxhash64(*keys).alias("h"))
-    top = F.expr(f"approx_top_k(h, {int(1 / share)}, 10000)").alias("top")
-    found = key.agg(top, F.count(F.lit(1)).alias("n")).first()
-    return [r["item"] for r in found["top"] if r["count"] >= share * found["n"]]
-
-
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], *,
                        bounded: bool = False) -> DataFrame:
     """Add per-group aggregates to every row.
 
     ``bounded``: the caller's grain limits the rows per key (a panel unit has at most one row per period), so a
-    plain window does. Otherwise rows of hot keys get theirs from a map-side-combined aggregate of at most a thousand
-    groups, broadcast, and never move; only the rows of other keys go through the window's shuffle.
+    plain window does. Otherwise no task ever holds a key's rows: the rows are written once, aggregated with map-side
+    partial results, and joined to their group's row; of a hot key, AQE splits the join.
     """
     keys = list(keys)
-    hot = [] if bounded else hot_hashes(df, keys)
-    if not hot:
+    if bounded:
         return _window_stats(df, keys, stats)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    hot_rows, cold_rows = df.where(is_hot), df.where(~is_hot)
-    hot_stats = F.broadcast(_group_stats(hot_rows, keys, stats))
-    return _join_stats(hot_rows, hot_stats, keys, stats).unionByName(_window_stats(cold_rows, keys, stats))
+    rows = settle(df, "rows")
+    return _join_stats(rows, _group_stats(rows, keys, stats), keys, stats)
 
 
 def _group_stats(df: DataFrame, keys: list[str], stats: Mapping[str, Column]) -> DataFrame:

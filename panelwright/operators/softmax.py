@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from panelwright.sources.writers import settle
 
@@ -42,9 +42,11 @@ def _score(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.
 
 
 def fit_softmax(df: DataFrame, keys: Sequence[str], x: str, label: str, weight: str, n_classes: int,
-                max_passes: int = 30, tolerance: float = 1e-9, ridge: float = 1e-8) -> DataFrame:
-    """(keys, beta): beta flattens a (n_classes - 1) x p matrix against class 0.
+                max_passes: int = 100, tolerance: float = 1e-9, ridge: float = 1e-8) -> DataFrame:
+    """(keys, beta, passes, separable): beta flattens a (n_classes - 1) x p matrix against class 0.
 
+    A fit that has not converged after ``max_passes`` passes is an error. ``separable``: the classes can be told apart
+    without error, so the likelihood has no maximum and the coefficients are only where its growth stopped.
     ``x`` is an array<double> column with its own intercept, ``label`` an int in 0..n_classes-1.
     """
     spark = df.sparkSession
@@ -57,6 +59,7 @@ def fit_softmax(df: DataFrame, keys: Sequence[str], x: str, label: str, weight:
     step = {k: np.zeros(s) for k, s in shape.items()}
     best = {k: -np.inf for k in shape}
     open_keys = set(shape)
+    passes = dict.fromkeys(shape, 0)
     total_schema = StructType([*key_fields, StructField("i", IntegerType()), StructField("v", DoubleType())])
 
     for _ in range(max_passes):
@@ -87,6 +90,7 @@ def fit_softmax(df: DataFrame, keys: Sequence[str], x: str, label: str, weight:
             gradient, hessian = values[1:1 + k * q], values[1 + k * q:].reshape(k * q, k * q)
             scale = np.maximum(np.diag(hessian), 1e-12)
             step[key] = np.linalg.solve(hessian + ridge * np.diag(scale), gradient).reshape(k, q)
+            passes[key] += 1
             if gain < tolerance * (1 + abs(best[key])):
                 open_keys.discard(key)
             else:
@@ -94,5 +98,8 @@ def fit_softmax(df: DataFrame, keys: Sequence[str], x: str, label: str, weight:
         if not open_keys:
             break
 
-    schema = StructType([*key_fields, StructField("beta", ArrayType(DoubleType()))])
-    return spark.createDataFrame([(*k, [float(v) for v in b.ravel()]) for k, b in beta.items()], schema)
+    if open_keys:
+        raise RuntimeError(f"{len(open_keys)} of {len(shape)} fits have not converged after {max_passes} passes")
+    schema = StructType([*key_fields, StructField("beta", ArrayType(DoubleType())), StructField("passes", IntegerType()),
+                         StructField("separable", BooleanType())])
+    return spark.createDataFrame([(*k, [float(v) for v in b.ravel()], passes[k], bool(best[k] > -1e-6)) for k, b in beta.items()], schema)

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from panelwright import constants as C
 from panelwright.functions.codes import is_missing_code
-from panelwright.functions.means import (iqr, percent_se, safe_log, strict_mean, strict_sum, weighted_mean,
+from panelwright.functions.means import (percent_se, safe_log, strict_mean, strict_sum, weighted_mean,
                                          weighted_mean_lenient)
 from panelwright.functions.recode import band
 from panelwright.operators import cleaning, describe, impute, panel, policy, quantiles
+from panelwright.operators.joins import suffixed_left_join
 from panelwright.operators.reshape import lengthen
 from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, MISSING_DX, lenient_wmean, r6, strict_wmean
 from panelwright.plans.role_sql import strict_mean as strict_mean_sql
 from panelwright.plans.roles import STUDY, Roles
-from panelwright.plans.study import weighted_telehealth
 
 POLICY_GROUP_SQL = """
     SELECT c.*, coalesce(p.policy_group, 'Never') AS parity_group FROM client_dem c LEFT JOIN policy p USING (state)"""
@@ -165,7 +165,16 @@ def price_quantiles_by_flag(t: Roles) -> DataFrame:
     SELECT state, {r6('quantile_cont(povertyrate, 0.75) - quantile_cont(povertyrate, 0.25)')} AS iqr FROM client_dem
     GROUP BY ALL""")
 def iqr_of_low_cardinality(t: Roles) -> DataFrame:
-    return t.client_dem.groupBy("state").agg(iqr(F.col("povertyrate")).alias("iqr"))
+    q = quantiles.group_quantiles_wide(t.client_dem, ["state"], "povertyrate", {"q1": 0.25, "q3": 0.75})
+    return t.client_dem.select("state").distinct().join(q, "state", "left").select("state", (F.col("q3") - F.col("q1")).alias("iqr"))
+
+
+@query("iqr_of_all_rows", "AGG-17", sql=f"""
+    SELECT {r6('quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)')} AS iqr FROM lineitem""")
+def iqr_of_all_rows(t: Roles) -> DataFrame:
+    rows = t.table("lineitem").select(F.lit(0).alias("all"), "l_extendedprice")
+    q = quantiles.group_quantiles_wide(rows, ["all"], "l_extendedprice", {"q1": 0.25, "q3": 0.75})
+    return q.select((F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 @query("column_summary", "AGG-18", sql=f"""
@@ -248,11 +257,16 @@ def stratified_table(t: Roles) -> DataFrame:
 
 @query("weighted_table_over_join", "AGG-28", "JN-8", sql=f"""
     SELECT coalesce(policy_group, 'Never') AS parity_group, cast(sum(mpatients) AS bigint) AS tpatients,
-           {r6(strict_wmean('telehealth', 'mpatients'))} AS telehealth
-    FROM network_months LEFT JOIN policy USING (state) GROUP BY ALL""")
+           {r6(strict_wmean('telehealth', 'size'))} AS telehealth
+    FROM network_months LEFT JOIN policy USING (state)
+    LEFT JOIN (SELECT client_id, avg(mpatients) AS size FROM network_months GROUP BY ALL) USING (client_id) GROUP BY ALL""")
 def weighted_table_over_join(t: Roles) -> DataFrame:
+    """Panel rows and client sizes share the column mpatients; the weight is the client's, its mean over the months."""
     groups = grouped_clients(t).select("client_id", "parity_group")
-    return weighted_telehealth("parity_group", t.study.network_months.join(groups, "client_id", "left"))
+    rows = t.study.network_months
+    sizes = rows.groupBy("client_id").agg(F.avg("mpatients").alias("mpatients"))
+    both = suffixed_left_join(rows, sizes, ["client_id"]).join(groups, "client_id", "left")
+    return both.groupBy("parity_group").agg(F.sum("mpatients_x").alias("tpatients"), weighted_mean(F.col("telehealth"), F.col("mpatients_y")).alias("telehealth"))
 
 
 @query("mean_by_unit", "AGG-29", sql=f"""

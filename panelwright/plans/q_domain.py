@@ -351,7 +351,8 @@ def series_by_policy_group(t: Roles) -> DataFrame:
         ELSE coalesce({case('state', C.POLICY_START_LABELS)}, 'Never') END AS parity_date
     FROM (SELECT state, CASE WHEN n < 4 THEN '1-3' WHEN n < 7 THEN '4-6' WHEN n < 15 THEN '7-15' ELSE 'Over 15' END AS clients
           FROM (SELECT state, count(*) AS n FROM client_dem GROUP BY ALL)
-          UNION ALL SELECT unnest([{quote(C.STATES_WITHOUT_NETWORKS)}]), '0')""")
+          UNION ALL SELECT s, '0' FROM (SELECT unnest([{quote(C.STATES_WITHOUT_NETWORKS)}]) AS s)
+          WHERE s NOT IN (SELECT state FROM client_dem WHERE state IS NOT NULL))""")
 def map_of_networks(t: Roles) -> DataFrame:
     buckets = describe.count_buckets(t.client_dem, "state", [(4, "1-3"), (7, "4-6"), (15, "7-15")], "Over 15")
     full = describe.add_zero_states(buckets, {s: "0" for s in C.STATES_WITHOUT_NETWORKS})

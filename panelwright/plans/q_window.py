@@ -133,25 +133,21 @@ def with_policy(t: Roles) -> DataFrame:
     return rows.withColumn("on_now", policy.treatment_indicator(F.col("parity_month"), F.col("run_month")))
 
 
+LEADS = (0, 3, 6, 9, 12)
+RUN_MONTHS_SQL = "(SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months)"
+
+
 @query("leads_against_baseline", "WIN-12", sql=f"""
-    SELECT a.client_id, cast(a.r AS int) AS run_month, {r6('f0.telehealth - b.telehealth')} AS dy_0,
-           {r6('f3.telehealth - b.telehealth')} AS dy_3, {r6('f12.telehealth - b.telehealth')} AS dy_12
-    FROM (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months) a
-    LEFT JOIN (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months) b
-        ON a.client_id = b.client_id AND b.r = a.r - 1
-    LEFT JOIN (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months) f0
-        ON a.client_id = f0.client_id AND f0.r = a.r
-    LEFT JOIN (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months) f3
-        ON a.client_id = f3.client_id AND f3.r = a.r + 3
-    LEFT JOIN (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS r, telehealth FROM network_months) f12
-        ON a.client_id = f12.client_id AND f12.r = a.r + 12""")
+    SELECT a.client_id, cast(a.r AS int) AS run_month, {', '.join(f"{r6(f'f{h}.telehealth - b.telehealth')} AS dy_{h}" for h in LEADS)}
+    FROM {RUN_MONTHS_SQL} a LEFT JOIN {RUN_MONTHS_SQL} b ON a.client_id = b.client_id AND b.r = a.r - 1
+    {' '.join(f'LEFT JOIN {RUN_MONTHS_SQL} f{h} ON a.client_id = f{h}.client_id AND f{h}.r = a.r + {h}' for h in LEADS)}""")
 def leads_against_baseline(t: Roles) -> DataFrame:
     w = Window.partitionBy("client_id").orderBy("run_month")
 
     def at(h: int):
         return F.max("telehealth").over(w.rangeBetween(h, h))
 
-    return with_policy(t).select("client_id", "run_month", *[(at(h) - at(-1)).alias(f"dy_{h}") for h in (0, 3, 12)])
+    return with_policy(t).select("client_id", "run_month", *[(at(h) - at(-1)).alias(f"dy_{h}") for h in LEADS])
 
 
 @query("within_unit_demeaning", "WIN-13", sql=f"""
@@ -163,7 +159,7 @@ def within_unit_demeaning(t: Roles) -> DataFrame:
     return out.select("client_id", "month", "telehealth", "pct_female", F.col("_n").alias("n"))
 
 
-@query("category_order", "SRT-2", "SNK-1", sql="""
+@query("category_order", "SRT-2", sql="""
     SELECT plot_date::varchar AS plot_date, CASE WHEN ord IS NOT NULL THEN family_name END AS family_name,
            cast(ord AS int) AS ord, round(prop, 6) + 0.0 AS prop
     FROM cause_share LEFT JOIN (SELECT unnest([""" + quote(C.FAMILY_ORDER) + """]) AS family_name,
@@ -234,10 +230,10 @@ def stack_of_copies(t: Roles) -> DataFrame:
 
 
 @query("treatment_matrix", "RSH-7", sql="SELECT client_id, " + ", ".join(
-    f"cast(max(on_now) FILTER (WHERE run_month = {p}) AS int) AS t{p}" for p in (1, 13, 16, 26, 40, 51)) + """
+    f"cast(max(on_now) FILTER (WHERE run_month = {p}) AS int) AS t{p}" for p in range(1, 52)) + """
     FROM (SELECT client_id, (year(month) - 1995) * 12 + month(month) - 12 AS run_month,
                 CASE WHEN policy_group IS NOT NULL AND (start_run IS NULL OR run_month >= start_run)
                       AND (end_run IS NULL OR run_month <= end_run) THEN 1 ELSE 0 END AS on_now
           FROM network_months LEFT JOIN policy USING (state)) GROUP BY ALL""")
 def treatment_matrix(t: Roles) -> DataFrame:
-    return reshape.treatment_matrix(with_policy(t), "client_id", "run_month", (1, 13, 16, 26, 40, 51), "on_now")
+    return reshape.treatment_matrix(with_policy(t), "client_id", "run_month", tuple(range(1, 52)), "on_now")

@@ -337,9 +337,3 @@ class StudyTables:
             "telehealth": 100 * F.col("telehealth"), "u65_telehealth": 100 * F.col("u65_telehealth"),
             "mental_telehealth": 100 * F.col("mental_telehealth"), "lpatients": safe_log(F.col("mpatients")),
             "treatment": policy.treatment_indicator(F.col("parity_month"), F.col("run_month"), first_untreated)})
-
-
-def weighted_telehealth(group: str, panel_rows: DataFrame) -> DataFrame:
-    """Total patient-days and weighted rate by an attribute of the panel."""
-    return panel_rows.groupBy(group).agg(
-        F.sum("mpatients").alias("tpatients"), weighted_mean(F.col("telehealth"), F.col("mpatients")).alias("telehealth"))

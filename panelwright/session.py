@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -31,10 +32,21 @@ def build_session(app: str = "panelwright", cores: int | str = "*", **conf: str)
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="panelwright-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would be another disk for every executor,
+    so it is an error. The caller's context is left as it is.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelwright-"))
-    return context.getCheckpointDir()
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if context.master == "local" or context.master.startswith("local["):
+        return _own_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")

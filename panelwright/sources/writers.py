@@ -16,6 +16,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/panelwright-{label}-{uuid.uuid4().hex}"
 
 
+#: Paths written by ``settle`` in this process, oldest first; their owner may remove them when no result is read any more.
+SETTLED: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder once and go on from the files.
 
@@ -23,6 +27,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     and later joins see the true file sizes.
     """
     path = fresh_path(df.sparkSession, label)
+    SETTLED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

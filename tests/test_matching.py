@@ -139,8 +139,12 @@ def test_multinomial_fit_recovers_cell_shares(spark):
     assert np.allclose(beta.sum(axis=1), np.log([5 / 25, 10 / 25]), atol=1e-5)
 
 
-def test_separable_data_stays_finite(spark):
-    df = spark.createDataFrame([(1, [1.0, float(i)], int(i > 5), 1.0) for i in range(10)],
+def test_separable_data_is_reported(spark):
+    df = spark.createDataFrame([(1, [1.0, float(i)], int(i > 5), 1.0) for i in range(10)]
+                               + [(2, [1.0, float(i)], int(i in (2, 7, 8)), 1.0) for i in range(10)],
                                "imp int, x array<double>, y int, w double")
-    beta = fit_softmax(df, ["imp"], "x", "y", "w", 2).first()["beta"]
-    assert np.isfinite(beta).all()
+    found = {r["imp"]: r for r in fit_softmax(df, ["imp"], "x", "y", "w", 2).collect()}
+    assert np.isfinite(found[1]["beta"]).all() and found[1]["separable"] and not found[2]["separable"]
+    assert 1 < found[2]["passes"] < 20
+    with pytest.raises(RuntimeError, match="not converged"):
+        fit_softmax(df, ["imp"], "x", "y", "w", 2, max_passes=3)

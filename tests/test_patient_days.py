@@ -3,7 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from panelwright.functions.codes import is_missing_code
-from panelwright.operators import patient_days, shares, skew
+from panelwright.operators import patient_days, shares
 
 DAY = ["client", "patient", "day"]
 
@@ -57,23 +57,17 @@ def test_weights_sum_to_one_and_agree_between_grains(skewed):
     assert totals.count() == 0
 
 
-def test_hot_keys_are_found(skewed):
-    hot = skew.hot_hashes(skewed, DAY, 0.05)
-    assert hot == [skewed.where("client = 'c0' AND patient = 'p0'").select(F.xxhash64(*DAY)).first()[0]]
-
-
 @pytest.mark.parametrize("keys", [["client", "patient"], ["client"], ["patient", "day", "dx"]])
 def test_group_stats_equal_on_every_path(skewed, keys):
     with_null = skewed.withColumn("patient", F.when(F.col("patient") != "p3", F.col("patient")))
-    assert skew.hot_hashes(with_null, keys)
     expected = rows(shares.group_size(with_null, keys, "n", bounded=True))
     assert rows(shares.group_size(with_null, keys, "n")) == expected
 
 
-def test_hot_rows_are_not_shuffled(skewed, capsys):
+def test_no_window_on_an_unbounded_key(skewed, capsys):
     shares.group_size(skewed, DAY, "n").explain("simple")
     plan = capsys.readouterr().out
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+    assert "Window" not in plan and "Range" not in plan
 
 
 def test_cause_share_counts_missing_as_a_category(spark):
