@@ -89,8 +89,8 @@ def matched_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Da
     rest of the rule is compared there.
     """
     spread = rules.select("tokens", F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
-    filed = rules.select(F.monotonically_increasing_id().alias("r"), "tokens", "confidence", F.explode("tokens").alias("t")).join(spread, "t")
-    filed = filed.groupBy("r").agg(F.min(F.struct("k", "t"))["t"].alias("t"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"))
+    filed = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(spread, "t")
+    filed = filed.groupBy("tokens", "confidence").agg(F.min(F.struct("k", "t"))["t"].alias("t"))
     index = broadcast_if_small(settle(filed.select("t", "tokens", "confidence"), "index"))
     mine = urls.select(F.col(url_col).alias("u")).where("u IS NOT NULL").distinct().select("u", url_tokens(F.col("u")).alias("has"))
     met = mine.select("u", "has", F.explode("has").alias("t")).join(index, "t").where(F.size(F.array_except("tokens", "has")) == 0)
