@@ -202,12 +202,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, i
         dense[s] = n
     lengths = code_lengths(dense)
     codes = canonical_codes(lengths)
-    spark.range(1).select(F.lit(lengths.astype(np.uint8).tobytes()).alias("lengths")).write.mode("overwrite").parquet(f"{path}/codebook")
+    kind = tokens.schema["id"].dataType.simpleString()
+    book = spark.range(1).select(F.lit(lengths.astype(np.uint8).tobytes()).alias("lengths"), F.lit(kind).alias("id_type"))
+    book.write.mode("overwrite").parquet(f"{path}/codebook")
 
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     placed = tokens.join(F.broadcast(offsets), "part").select("part", (F.col("first") + F.col("before")).alias("start"), "id", "n", "ids")
-    kind = tokens.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -242,9 +243,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, i
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, ids) of every document, from the files alone: ``start`` counts the ids of all documents before it, ids
     are little-endian 32-bit numbers. Blocks are decoded independently of each other."""
-    lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first()["lengths"], dtype=np.uint8).astype(np.int64)
-    blocks = spark.read.parquet(f"{path}/blocks").select("start", "ids", "sizes", "lanes", "payload")
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    book = spark.read.parquet(f"{path}/codebook").first()
+    lengths, kind = np.frombuffer(book["lengths"], dtype=np.uint8).astype(np.int64), book["id_type"]
+    blocks = spark.read.schema(f"start bigint, ids array<{kind}>, sizes array<bigint>, lanes binary, payload binary").parquet(f"{path}/blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
