@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +52,14 @@ def shared_folder(spark: SparkSession) -> str:
     if context.master == "local" or context.master.startswith("local["):
         return _own_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Give this package to the Python workers of a cluster that has it only on the driver; returns the archive's path."""
+    root = Path(__file__).resolve().parent
+    archive = Path(_own_folder()) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)

@@ -1,9 +1,13 @@
+import zipfile
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from panelwright.functions.dates import in_years
 from panelwright.operators import describe, reshape
+from panelwright.session import shared_folder, ship_package
 from panelwright.sources import readers, writers
 
 
@@ -78,3 +82,35 @@ def test_percent_interval_ignores_weights_of_missing_rates(spark):
     out = describe.weighted_percent_ci(df, ["m"], "x", "w", lenient=True).first()
     assert out["percent"] == 50.0 and out["uci"] == pytest.approx(50 + 1.96 * (0.2 ** 2 * 50 * 50) ** 0.5)
     assert describe.weighted_percent_ci(df, ["m"], "x", "w").first()["percent"] is None
+
+
+class _Cluster:
+    """As much of a session as ``shared_folder`` looks at."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.master, self.folder, self.conf = master, folder, {}
+
+    def getCheckpointDir(self):
+        return self.folder
+
+
+def test_shared_folder_is_named_or_local():
+    assert shared_folder(_Cluster("spark://host:7077", "hdfs://x/shared")) == "hdfs://x/shared"
+    assert shared_folder(_Cluster("local[4]")) == shared_folder(_Cluster("local"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(_Cluster(master))
+
+
+def test_archive_for_the_workers_holds_the_package(spark):
+    names = zipfile.ZipFile(ship_package(spark)).namelist()
+    assert "panelwright/__init__.py" in names and "panelwright/operators/skew.py" in names
+
+
+def test_year_prefixes_reach_the_scan(spark, tmp_path, capsys):
+    spark.createDataFrame([("20190102",), ("2021-03-04",), (None,), ("2020",)], "date string").write.parquet(str(tmp_path / "p"))
+    found = spark.read.parquet(str(tmp_path / "p")).where(in_years(F.col("date"), (2019, 2020)))
+    found.explain("formatted")
+    assert "PushedFilters: [Or(StringStartsWith(date,2019),StringStartsWith(date,2020))]" in capsys.readouterr().out
+    assert sorted(r["date"] for r in found.collect()) == ["2019" "0102", "2020"]
