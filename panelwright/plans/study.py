@@ -159,7 +159,8 @@ class StudyTables:
         """(client, patient, visit_date) with remote and mental-health flags, within the study years."""
         known = broadcast_if_small(self.mental_codes.select(F.col("icd_code").alias("dx"), F.lit(True).alias("mental")))
         rows = (
-            self.outpatient.where(F.year("visit_date").isin(*self.study.years))
+            self.outpatient.where(in_years(F.col("date"), self.study.years))
+            .where(F.year("visit_date").isin(*self.study.years))
             .withColumn("dx", clean_code(F.col("dx1_code"))).join(known, "dx", "left")
             .withColumnRenamed("patient_id", "client_patient_id")
         )
@@ -183,7 +184,8 @@ class StudyTables:
         flag = is_remote([F.col(c) for c in MODIFIERS], C.REMOTE_MODIFIERS, F.col("place_of_service"),
                          C.REMOTE_PLACE_OF_SERVICE)
         inside = (F.col("visit_date") >= F.lit(self.study.start)) & (F.col("visit_date") < F.lit(self.study.end))
-        rows = self.outpatient.where(inside).withColumn("remote", flag)
+        years = range(self.study.start.year, self.study.end.year + 1)
+        rows = self.outpatient.where(in_years(F.col("date"), years)).where(inside).withColumn("remote", flag)
         return rows if remote is None else rows.where(F.col("remote") == remote)
 
     @cached_property
