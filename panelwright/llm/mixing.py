@@ -140,7 +140,8 @@ def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float],
     """(``id_col``, text_key, n_tokens, posteriors, rate, copies) of every row.
 
     ``weights``: wanted share of the tokens by domain, scaled to add up to 1; domains that are not named get 0. ``budget``:
-    wanted tokens in all; if None, the most that needs no domain repeated. ``copies`` is the rate rounded down or up, up as
+    wanted tokens in all; if None, the domain of the largest weight is used whole and no domain is repeated: one with fewer
+    tokens than its share gives what it has. ``copies`` is the rate rounded down or up, up as
     often as the fraction says, by a hash of id and text: the same on every run, and equal for repeated rows. A NULL or
     empty text has 0 tokens and the priors as posteriors; its rate moves no total. ``text_key`` is ``xxhash64`` of the text.
     """
@@ -152,8 +153,12 @@ def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float],
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
     if budget is None:
         sums = soft.agg(*[F.sum(F.col("n_tokens") * F.col("posteriors")[i]).alias(f"s{i}") for i in range(len(wanted))]).first()
-        budget = min(((sums[f"s{i}"] or 0.0) / w for i, w in enumerate(wanted) if w > 0), default=0.0)
-    out = fit_rates(soft, list(wanted * budget))
+        have = np.array([sums[f"s{i}"] or 0.0 for i in range(len(wanted))])
+        main = int(np.argmax(np.where(have > 0, wanted, -1)))
+        targets = np.minimum(wanted * have[main] / wanted[main], have) if wanted[main] else have
+    else:
+        targets = wanted * budget
+    out = fit_rates(soft, list(targets))
     chance = F.pmod(F.xxhash64(F.col(id_col), "text_key", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("copies", (F.floor(F.round("rate", 6)) + (chance < F.round("rate", 6) - F.floor(F.round("rate", 6))).cast("int")).cast("long"))
 

@@ -46,6 +46,10 @@ def test_default_budget_repeats_nothing_and_mix_takes_effect(spark):
     model = fit_domains(docs, labels)
     rates = mix_rates(docs, model, {"fruit": 0.5, "metal": 0.5})
     assert max(r["rate"] for r in rates.collect()) < 1.2
+    scarce = mix_rates(docs, model, {"fruit": 0.01, "metal": 0.99}).agg(F.min(F.when(F.col("doc_id").between(100, 160), F.col("rate")))).first()[0]
+    assert scarce > 0.95
+    rare = mix_rates(docs, model, {"fruit": 0.7, "metal": 0.3}).agg(F.min(F.when(F.col("doc_id") < 50, F.col("rate"))), F.max("rate")).first()
+    assert rare[0] > 0.95 and rare[1] < 1.2
     out = mix(docs, model, {"fruit": 2, "metal": 1}, budget=3000)
     assert out.columns == docs.columns
     wanted = {(r["doc_id"], r["text_key"]): r["copies"] for r in mix_rates(docs, model, {"fruit": 2, "metal": 1}, budget=3000).collect()}
