@@ -50,24 +50,24 @@ def join_dimension_inner(t: Roles) -> DataFrame:
 
 @query("map_codes_with_fallback", "JN-5", "OP-4", sql="""
     SELECT remote, dx, acause, family_name, count(*) AS n, round(sum(weight), 6) + 0.0 AS weight
-    FROM mapped_rows WHERE remote GROUP BY ALL""")
+    FROM mapped_rows GROUP BY ALL""")
 def map_codes_with_fallback(t: Roles) -> DataFrame:
-    rows = patient_days.weight_rows(t.study.care_rows(True), ["client_id", "patient_id", "visit_date"],
+    rows = patient_days.weight_rows(t.study.care_rows(), ["remote", "client_id", "patient_id", "visit_date"],
                                     is_missing_code(F.col("dx1_code"), C.REDACTED))
     mapped = patient_days.map_codes(rows.withColumn("dx", clean_code(F.col("dx1_code"))), "dx",
                                     t.study.resolved_codes)
-    return mapped.groupBy(F.lit(True).alias("remote"), "dx", "acause", "family_name").agg(
+    return mapped.groupBy("remote", "dx", "acause", "family_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
 
 @query("left_join_renamed_keys", "JN-6", sql="""
-    SELECT s.client_id, s.client_patient_id, s.re, v.visit_date::varchar AS visit_date, v.telehealth
-    FROM (SELECT * FROM stacked WHERE imp = 1) s LEFT JOIN visit_days v USING (client_id, client_patient_id)""")
+    SELECT s.client_id, s.client_patient_id, cast(s.imp AS int) AS imp, s.re, v.visit_date::varchar AS visit_date, v.telehealth
+    FROM stacked s LEFT JOIN visit_days v USING (client_id, client_patient_id)""")
 def left_join_renamed_keys(t: Roles) -> DataFrame:
-    one = impute.stack_completed(t.study.completed, M).where("imp = 1").select(*PATIENT, "re")
+    copies = impute.stack_completed(t.study.completed, M).select(*PATIENT, "imp", "re")
     days = t.study.visit_days.withColumnRenamed("client_patient_id", "patient_id").select(
         "client_id", "patient_id", "visit_date", "telehealth")
-    return joins.renamed_left_join(one, days, {"client_id": "client_id", "client_patient_id": "patient_id"})
+    return joins.renamed_left_join(copies, days, {"client_id": "client_id", "client_patient_id": "patient_id"})
 
 
 @query("natural_left_join", "JN-7", "JN-9", sql=f"""

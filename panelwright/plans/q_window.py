@@ -58,21 +58,23 @@ def group_mean_threshold(t: Roles) -> DataFrame:
 
 
 @query("split_weight_over_rows", "WIN-6", "OP-2", sql=f"""
-    SELECT client_id, patient_id, visit_date::varchar AS visit_date, count(*) AS n_rows,
-           {r6('min(weight)')} AS weight, {r6('sum(weight)')} AS total FROM weighted_rows WHERE remote
+    SELECT remote, client_id, patient_id, visit_date::varchar AS visit_date, count(*) AS n_rows,
+           {r6('min(weight)')} AS weight, {r6('sum(weight)')} AS total FROM weighted_rows
     GROUP BY ALL""")
 def split_weight_over_rows(t: Roles) -> DataFrame:
-    weighted = patient_days.weight_rows(t.study.care_rows(True), DAY, is_missing_code(F.col("dx1_code"), C.REDACTED))
-    return weighted.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_rows"), F.min("weight").alias("weight"),
+    keys = ["remote", *DAY]
+    weighted = patient_days.weight_rows(t.study.care_rows(), keys, is_missing_code(F.col("dx1_code"), C.REDACTED))
+    return weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min("weight").alias("weight"),
                                       F.sum("weight").alias("total"))
 
 
 @query("split_weight_over_codes", "OP-2", sql=f"""
-    SELECT client_id, patient_id, visit_date::varchar AS visit_date, CASE WHEN NOT {MISSING_DX} THEN dx1_code END AS dx1_code,
-           count(*) AS n_rows, {r6('sum(weight)')} AS weight FROM weighted_rows WHERE NOT remote
+    SELECT remote, client_id, patient_id, visit_date::varchar AS visit_date,
+           CASE WHEN NOT {MISSING_DX} THEN dx1_code END AS dx1_code, count(*) AS n_rows, {r6('sum(weight)')} AS weight
+    FROM weighted_rows
     GROUP BY ALL""")
 def split_weight_over_codes(t: Roles) -> DataFrame:
-    return patient_days.weight_codes(t.study.care_rows(False), DAY, "dx1_code",
+    return patient_days.weight_codes(t.study.care_rows(), ["remote", *DAY], "dx1_code",
                                      is_missing_code(F.col("dx1_code"), C.REDACTED))
 
 
@@ -160,14 +162,13 @@ def within_unit_demeaning(t: Roles) -> DataFrame:
 
 
 @query("category_order", "SRT-2", sql="""
-    SELECT plot_date::varchar AS plot_date, CASE WHEN ord IS NOT NULL THEN family_name END AS family_name,
+    SELECT care_type, plot_date::varchar AS plot_date, CASE WHEN ord IS NOT NULL THEN family_name END AS family_name,
            cast(ord AS int) AS ord, round(prop, 6) + 0.0 AS prop
-    FROM cause_share LEFT JOIN (SELECT unnest([""" + quote(C.FAMILY_ORDER) + """]) AS family_name,
-        unnest(range(1, """ + str(len(C.FAMILY_ORDER) + 1) + """)) AS ord) USING (family_name) WHERE remote""")
+    FROM care_comparison LEFT JOIN (SELECT unnest([""" + quote(C.FAMILY_ORDER) + """]) AS family_name,
+        unnest(range(1, """ + str(len(C.FAMILY_ORDER) + 1) + """)) AS ord) USING (family_name)""")
 def category_order(t: Roles) -> DataFrame:
-    remote = t.study.care_comparison.where("care_type = 'Telemedicine'")
-    ordered = patient_days.order_categories(remote, "family_name", C.FAMILY_ORDER)
-    return ordered.select("plot_date", "family_name", "ord", "prop")
+    ordered = patient_days.order_categories(t.study.care_comparison, "family_name", C.FAMILY_ORDER)
+    return ordered.select("care_type", "plot_date", "family_name", "ord", "prop")
 
 
 # --- reshaping ------------------------------------------------------------------------------------------------------
@@ -212,14 +213,14 @@ def split_term_names(t: Roles) -> DataFrame:
 
 
 @query("row_wise_mean_and_squares", "RSH-5", sql=f"""
-    SELECT client_id, month::varchar AS month, {r6('(aian + aapi + bnh + wnh + hispanic) / 5')} AS mean_share,
-           {r6('aian^2 + aapi^2 + bnh^2 + wnh^2 + hispanic^2')} AS concentration FROM shares WHERE imp = 1""")
+    SELECT client_id, month::varchar AS month, cast(imp AS int) AS imp, {r6('(aian + aapi + bnh + wnh + hispanic) / 5')} AS mean_share,
+           {r6('aian^2 + aapi^2 + bnh^2 + wnh^2 + hispanic^2')} AS concentration FROM shares""")
 def row_wise_mean_and_squares(t: Roles) -> DataFrame:
-    wide = panel.group_shares(t.study.by_group.where("imp = 1"))
+    wide = panel.group_shares(t.study.by_group)
     values = F.array(*C.GROUPS)
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
-    return wide.select("client_id", "month", (total / len(C.GROUPS)).alias("mean_share"), squares.alias("concentration"))
+    return wide.select("client_id", "month", "imp", (total / len(C.GROUPS)).alias("mean_share"), squares.alias("concentration"))
 
 
 @query("stack_of_copies", "RSH-6", sql="""
