@@ -29,9 +29,12 @@ from panelwright.llm.text import WordHasher, row_chunks
 from panelwright.sources.writers import settle
 
 DEPTH = 4
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 MAX_RANGES = 4096
 
+#: Counted words and byte runs that a task holds before it passes them on.
+HELD_ROWS = 4_000_000
+
 WORDS, RUNS = 0, 1
 _RUN = DEPTH + 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,23 +78,45 @@ def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    """(block, kind, key, n): words and byte runs that occur in a block, with their times in training texts."""
+    """(block, kind, key, n): words and byte runs that occur in a block, with their times in training texts.
+
+    A task adds up what it meets of a block and passes it on at its end, or when it holds ``HELD_ROWS``.
+    """
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, names = pd.factorize(np.concatenate([k for k, _ in parts]))
+        return names, np.bincount(codes, weights=np.concatenate([n for _, n in parts]), minlength=len(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, held = WordHasher(), {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for (b, kind), parts in held.items():
+                names, n = merged(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(names), b)), pa.array(np.full(len(names), kind, dtype=np.int8)), pa.array(names),
+                     pa.array(n.astype(np.int64))], ["block", "kind", "key", "n"])
+            held.clear()
+
+        rows = 0
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column("block")))
-            for part in row_chunks(batch, "text", 8 << 20):
+            for part in row_chunks(batch, "text"):
                 block, train = part.column("block").to_numpy(), part.column("train").to_numpy(zero_copy_only=False)
                 for kind, (keys, first) in ((WORDS, hasher(part.column("text"))), (RUNS, byte_runs(part.column("text")))):
                     for b in np.unique(block):
-                        rows = np.flatnonzero(block == b)
-                        lo, hi = first[rows[0]], first[rows[-1] + 1]
-                        codes, names = pd.factorize(keys[lo:hi])
-                        weights = np.repeat(train[rows], np.diff(first[rows[0]:rows[-1] + 2])).astype(float)
-                        n = np.bincount(codes, weights=weights, minlength=len(names)).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(names), b)), pa.array(np.full(len(names), kind, dtype=np.int8)),
-                             pa.array(np.asarray(names).view(np.int64)), pa.array(n)], ["block", "kind", "key", "n"])
+                        mine = np.flatnonzero(block == b)
+                        lo, hi = first[mine[0]], first[mine[-1] + 1]
+                        weights = np.repeat(train[mine], np.diff(first[mine[0]:mine[-1] + 2])).astype(float)
+                        held.setdefault((int(b), kind), []).append(merged([(keys[lo:hi].view(np.int64), weights)]))
+                        rows += len(held[int(b), kind][-1][0])
+                if rows > HELD_ROWS:
+                    for k, parts in held.items():
+                        held[k] = [merged(parts)]
+                    rows = sum(len(parts[0][0]) for parts in held.values())
+                    if rows > HELD_ROWS // 2:
+                        yield from passed_on()
+                        rows = 0
+        yield from passed_on()
 
     return docs.select("block", "train", "text").mapInArrow(run, "block bigint, kind tinyint, key bigint, n bigint")
 
@@ -184,10 +209,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     end = log10(ends + 0.1), int(ends > 0)
 
     def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        look_up = [_lookup(model.filter(pc.equal(model["kind"], k))) for k in (WORDS, RUNS)]
+        look_up = [_lookup(model.filter(pc.equal(model["kind"], k)).select(["key", "value"])) for k in (WORDS, RUNS)]
         hasher, out = WordHasher(), []
-        for batch in texts.combine_chunks().to_batches():
-            for part in row_chunks(batch, "text", 8 << 20):
+        for batch in texts.to_batches():
+            for part in row_chunks(batch, "text", 2 << 20):
                 words, first = hasher(part.column("text"))
                 c = look_up[WORDS](words)
                 n = np.diff(first)
