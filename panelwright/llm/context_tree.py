@@ -33,7 +33,7 @@ BLOCK_BYTES = 32 << 20
 MAX_RANGES = 4096
 
 #: Counted words and byte runs that a task holds before it passes them on.
-HELD_ROWS = 4_000_000
+HELD_ROWS = 2_000_000
 
 WORDS, RUNS = 0, 1
 _RUN = DEPTH + 1
