@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,7 +75,7 @@ def copies_write_and_read_one(t: Roles) -> DataFrame:
     return readers.scan_copy(t.spark, path, 3)
 
 
-@query("append_batches_repeatably", "SNK-5", "SNK-4", sql="""
+@query("append_batches_repeatably", "SNK-5", sql="""
     SELECT client_id % 3 AS third, count(*) AS n FROM patients GROUP BY ALL""")
 def append_batches_repeatably(t: Roles) -> DataFrame:
     path = writers.fresh_path(t.spark, "append")
@@ -83,6 +85,16 @@ def append_batches_repeatably(t: Roles) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("third").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("append_to_shared_table", "SNK-4", sql="""
+    SELECT client_id % 3 AS third, count(*) AS n FROM patients GROUP BY ALL""")
+def append_to_shared_table(t: Roles) -> DataFrame:
+    table = f"shared_{uuid.uuid4().hex}"
+    rows = t.study.patients.select(*PATIENT, (F.col("client_id") % 3).alias("third"))
+    for third in (0, 1, 2, 1):            # rows that the table has already are not appended again
+        writers.append_table(rows.where(F.col("third") == third), table, PATIENT)
+    return t.spark.table(table).groupBy("third").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("inline_reference_rows", "SRC-7", "SET-1", sql="""
     SELECT icd_code, code_system, acause, family_name FROM code_dimension WHERE family_name = 'COVID-19'""")
 def inline_reference_rows(t: Roles) -> DataFrame:
