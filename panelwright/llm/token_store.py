@@ -8,6 +8,7 @@ what comes before, so that a block is decoded in all lanes at once from one tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ MAX_BITS = 18
 LANE = 64
 BLOCK_IDS = 1 << 16
 
-#: Encoded words a task remembers at a time.
-CACHED_WORDS = 500_000
+#: Encoded word forms that a task, and stems that a worker, remember at a time; beyond, they start anew.
+CACHED_FORMS, CACHED_STEMS = 300_000, 1_000_000
 
 
 # Huffman code ---------------------------------------------------------------------------------------------------------
@@ -113,33 +114,55 @@ def decode_block(payload: bytes, lane_bits: bytes, n: int, table: tuple[np.ndarr
 
 # Tokenising -----------------------------------------------------------------------------------------------------------
 
+#: Marks that are cut off the end of a word, where they form a token run of their own.
+MARKS = b".,;:!?#$%&*|"
+
+#: Stems met by this Python process, by tokenizer; tasks that follow on the same worker find them.
+_STEMS: dict[str, dict[bytes, bytes]] = {}
+
+
 class _WordEncoder(dict):
-    """Ids of words, as little-endian bytes; words that are new in a batch are encoded in one call.
+    """Ids of words, as little-endian bytes; what is new in a batch is encoded in one call.
 
     Words are split at space and U+0009 to U+000D, where the tokenizer splits as well, so ids of words in a row are the ids
-    of the text.
+    of the text. It also splits between a letter and marks; so a word is put together from its stem and the marks at its end,
+    and only these go through the tokenizer, once each. Words that may hold a special token go whole.
     """
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.stems = _STEMS.setdefault(md5(tokenizer_json.encode()).hexdigest(), {})
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        part = [w.decode() for w in words]
+        begins = np.cumsum([0] + [len(w) + 1 for w in part])
+        e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        raw = np.array(e.ids, dtype="<u4").tobytes()
+        cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), begins)
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def learn(self, found: set[bytes]) -> None:
-        new = [w for w in found if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > CACHED_WORDS:
+        if len(self) > CACHED_FORMS:
             self.clear()
-            new = list(found)
+        if len(self.stems) > CACHED_STEMS:
+            self.stems.clear()
+        pending = []
+        for w in found.difference(self):
+            stem = w.rstrip(MARKS)
+            pending.append((w, stem, w[len(stem):]) if stem[-1:].isalpha() and b"<" not in w else (w, w, b""))
+        stems = self.stems
+        new = list({stem for _, stem, _ in pending}.union(mark for _, _, mark in pending if mark).difference(stems))
         for i in range(0, len(new), 4096):
-            part = [w.decode() for w in new[i:i + 4096]]
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), begins)
-            raw = ids.tobytes()
-            self.update((w, raw[4 * a:4 * b]) for w, a, b in zip(new[i:i + 4096], cuts[:-1].tolist(), cuts[1:].tolist()))
+            stems.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
+        for w, stem, mark in pending:
+            self[w] = stems[stem] + stems[mark] if mark else stems[stem]
+
+    def words(self, text: str) -> list[bytes]:
+        """A-Z in lower case, as the tokenizer has it too, except where a special token may be spelled out."""
+        raw = text.encode("utf-8", "replace")
+        return (raw if b"<|" in raw else raw.lower()).split()
 
 
 def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,11 +181,11 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, before = _WordEncoder(tokenizer_json), 0
         for batch in batches:
-            split = [t.encode("utf-8", "replace").split() for t in batch.column("text").to_pylist()]
             raw = []
-            for i in range(0, len(split), 256):
-                known.learn(set().union(*split[i:i + 256]))
-                raw += [b"".join(map(known.__getitem__, w)) + end for w in split[i:i + 256]]
+            for i in range(0, batch.num_rows, 512):
+                split = [known.words(t) for t in batch.column("text").slice(i, 512).to_pylist()]
+                known.learn(set().union(*split))
+                raw += [b"".join(map(known.__getitem__, w)) + end for w in split]
             n = np.array([len(r) // 4 for r in raw], dtype=np.int64)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
