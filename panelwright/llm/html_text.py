@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no page text.
 SILENT = frozenset("head script style noscript template title textarea iframe object svg math canvas select datalist audio video".split())
+#: Silent elements whose content is plain characters up to their own end tag: no tags, no comments.
+RAW = frozenset("script style noscript title textarea iframe".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr br""".split())
 #: A start tag of the key closes an open element of the values, up to the nearest element of ``SCOPE``.
@@ -37,6 +39,7 @@ KEPT_FRAMES = frozenset("html body main article".split())
 MIN_SHARE = 0.05
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -114,11 +117,16 @@ def blocks(html: str) -> list[Block]:
         del stack[at:]
 
     done = 0
-    for m in _TOKEN.finditer(html):
-        if silent is None:
-            add(html[done:m.start()])
+    while m := _TOKEN.search(html, done):
+        add(html[done:m.start()])
         done = m.end()
         tag = m[2].lower() if m[2] else None
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = _RAW_END[tag].search(html, done)
+            done = end.end() if end else len(html)
+            if silent is None:
+                current = None
+            continue
         if silent is not None:
             if m[1] and tag == silent:
                 silent = None

@@ -40,3 +40,13 @@ def test_rows_nulls_and_clashing_names(spark):
     assert extract_text(df.where("false")).count() == 0
     long = "<p>" + "word, " * 200_000 + "</p>"
     assert extract_text(spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(long).alias("html"))).first()["n_chars"] == len(long) - 8
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<script>for(i=0;i<n;i++){f(i)}</script><article><p>All of it, whole.</p></article><script>g()</script>", "All of it, whole."),
+    ("<p>one.</p><script>var s='<!--';</script><p>two.</p>", "one.\ntwo."),
+    ("<head><title>a<b</title><script>if(a<b){h('</head>')}</SCRIPT ></head><body><p>x.</p>", "x."),
+    ("<style>a<b{}</style><textarea>i<n <!-- </textarea><p>y.</p><noscript><img alt='</p>'></noscript><p>z.</p>", "y.\nz."),
+    ("<svg><script>i<n</script><path></svg><p>x.</p>", "x."), ("<p>x.</p><script>i<n <!-- </scripts>", "x.")])
+def test_silent_elements_end_at_their_own_tag(page, text):
+    assert main_text(page) == text
