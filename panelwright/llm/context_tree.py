@@ -28,8 +28,9 @@ from pyspark.sql.types import NumericType
 from panelwright.llm.text import WordHasher, row_chunks
 from panelwright.sources.writers import settle
 
-DEPTH = 4
-BLOCK_BYTES = 32 << 20
+#: 7 bytes a run leave room in a 64-bit key; every byte of depth multiplies the distinct runs.
+DEPTH = 6
+BLOCK_BYTES = 16 << 20
 MAX_RANGES = 4096
 
 #: Counted words and byte runs that a task holds before it passes them on.

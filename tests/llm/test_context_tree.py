@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.llm.context_tree import DEPTH, byte_runs, run_scores, score_texts
+from panelwright.llm.text import crc_bucket
 
 
 def log_kt(a, b):
@@ -104,3 +105,14 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     out = score_texts(table(spark), F.lit(False)).where("doc_id = 103").first()
     assert out["train_tokens"] == 0 and out["n_known"] == 0 and out["score"] == pytest.approx(16 * log10(0.5))
     assert score_texts(table(spark).where("false"), F.lit(True)).count() == 0
+
+
+def test_held_out_bits_a_byte_are_below_those_of_the_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = docs.select("doc_id", (F.octet_length("text") + 1).alias("bytes"))
+    out = score_texts(docs, crc_bucket(F.col("doc_id"), 10) != 0).where("held_out").join(sizes, "doc_id").collect()
+    total = sum(r["bytes"] for r in out)
+    bits, base = (-sum(r[c] for r in out) / log10(2) / total for c in ("score", "base_score"))
+    better = sum(r["score"] > r["base_score"] for r in out)
+    print(f"held-out bits a byte {bits:.3f}, base {base:.3f}, better on {better} of {len(out)}")
+    assert bits < base - 0.03 and better > 0.7 * len(out)
