@@ -44,20 +44,33 @@ _LOWER[65:91] += 32
 
 # Documents to blocks, words and byte runs -----------------------------------------------------------------------------
 
+def _size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+
+
 def _blocks(docs: DataFrame) -> Column:
     """Block of every row of (id, text): equal ranges of a numeric id, so that tasks meet few blocks, and a split by a hash
-    of the text where a range holds too many bytes, as under one hot id."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    of id and text where a range holds too many bytes, as under one outlier among the ids."""
     numeric = isinstance(docs.schema["id"].dataType, NumericType)
-    whole = docs.agg(F.sum(size).alias("bytes"), *([F.min("id").cast("double").alias("lo"), F.max("id").cast("double").alias("hi")] if numeric else [])).first()
+    whole = docs.agg(F.sum(_size()).alias("bytes"), *([F.min("id").cast("double").alias("lo"), F.max("id").cast("double").alias("hi")] if numeric else [])).first()
     n = min(MAX_RANGES, max(1, ceil((whole["bytes"] or 0) / BLOCK_BYTES)))
     place = F.lit(0)
     if numeric and whole["lo"] is not None and whole["hi"] > whole["lo"]:
         share = (F.col("id").cast("double") - whole["lo"]) / (whole["hi"] - whole["lo"])
         place = F.least(F.coalesce(F.floor(share * n), F.lit(0)), F.lit(n - 1)).cast("int")
-    held = {r["r"]: r["bytes"] for r in docs.groupBy(place.alias("r")).agg(F.sum(size).alias("bytes")).collect()}
+    held = {r["r"]: r["bytes"] for r in docs.groupBy(place.alias("r")).agg(F.sum(_size()).alias("bytes")).collect()}
     splits = F.split(F.lit(",".join(str(max(1, round(held.get(r, 0) / BLOCK_BYTES))) for r in range(n))), ",").cast("array<int>")
-    return place.cast("long") * (1 << 24) + F.pmod(F.xxhash64("text"), splits[place])
+    return place.cast("long") * (1 << 24) + F.pmod(F.xxhash64("id", "text"), splits[place])
+
+
+def _parts(rows: DataFrame) -> Column | None:
+    """Number of tasks that share a row's block: more than one where a block is still too large, as under one row that is
+    repeated very often. Its tasks get the same values, so it does not matter which of them a row goes to. None: one for all."""
+    full = rows.groupBy("block").agg(F.sum(_size()).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).collect()
+    if not full:
+        return None
+    parts = F.create_map(*[F.lit(x) for r in full for x in (r["block"], ceil(r["bytes"] / BLOCK_BYTES))])
+    return F.coalesce(parts[F.col("block")], F.lit(1))
 
 
 def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +207,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     rows = rows.withColumn("block", _blocks(rows))
+    parts = _parts(rows)
     found = settle(_count(rows), "counts")
     totals = settle(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "totals")
     words = totals.where(F.col("kind") == WORDS)
@@ -205,7 +219,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     values = values.unionByName(runs.select(F.lit(RUNS).cast("tinyint").alias("kind"), "key", "value"))
     values = settle(values, "values")
     slices = found.select("block", "kind", "key").join(values, ["kind", "key"])
-    slices = slices.select(F.col("block").alias("of"), "kind", "key", "value")
+    slices = slices.select(F.col("block").alias("of"), (F.lit(0) if parts is None else F.explode(F.sequence(F.lit(0), parts - 1))).alias("of_part"), "kind", "key", "value")
     floor = log10(train_tokens + 0.1 * (distinct + 1))
     end = log10(ends + 0.1), int(ends > 0)
 
@@ -228,7 +242,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    return rows.groupBy("block").cogroup(slices.groupBy("of")).applyInArrow(run, schema)
+    rows = rows.withColumn("part", F.lit(0) if parts is None else F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    return rows.groupBy("block", "part").cogroup(slices.groupBy("of", "of_part")).applyInArrow(run, schema)
 
 
 def _lookup(model: pa.Table):

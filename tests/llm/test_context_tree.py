@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.llm import context_tree
 from panelwright.llm.context_tree import DEPTH, byte_runs, run_scores, score_texts
 from panelwright.llm.text import crc_bucket
 
@@ -116,3 +117,26 @@ def test_held_out_bits_a_byte_are_below_those_of_the_word_counts(spark):
     better = sum(r["score"] > r["base_score"] for r in out)
     print(f"held-out bits a byte {bits:.3f}, base {base:.3f}, better on {better} of {len(out)}")
     assert bits < base - 0.03 and better > 0.7 * len(out)
+
+
+@pytest.mark.parametrize("ids", ["outlier", "text", "repeated"])
+def test_no_task_holds_a_hot_text_or_the_rows_beside_an_outlier_id(spark, monkeypatch, ids):
+    monkeypatch.setattr(context_tree, "DEPTH", 2)
+    monkeypatch.setattr(context_tree, "_RUN", 3)
+    rows = [(9 * 10 ** 18 if i == 0 else i, "the hot text of them all" if i % 3 else f"text {i} of many", i % 5 > 0) for i in range(600)]
+    if ids == "repeated":
+        rows = [(7, t, True) if i % 3 else (i, t, h) for i, t, h in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    if ids == "text":
+        df = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    wanted = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in score_texts(df, F.col("train")).collect())
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 6000)
+    docs = df.select(F.col("doc_id").alias("id"), "text", "train")
+    docs = docs.withColumn("block", context_tree._blocks(docs))
+    parts = context_tree._parts(docs)
+    docs = docs.withColumn("part", F.lit(0) if parts is None else F.pmod(F.monotonically_increasing_id(), parts))
+    assert (parts is not None) == (ids == "repeated")
+    held = [r["bytes"] for r in docs.groupBy("block", "part").agg(F.sum(context_tree._size()).alias("bytes")).collect()]
+    assert max(held) < 3 * 6000
+    found = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in score_texts(df, F.col("train")).collect())
+    assert found == wanted
