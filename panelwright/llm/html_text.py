@@ -32,7 +32,13 @@ cookies consent gdpr notice notices alert popup modal overlay newsletter subscri
 breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar related recommended recommendations widget widgets share sharing social
 comment comments commentlist disqus reply replies respond pagination pager skip""".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored".split())
 KEPT_FRAMES = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Pieces of running text, which in an article only the name of an advert or of readers' comments makes something else.
+RUNNING = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
+#: A name with one of these words before or behind it says how a page looks, not what an element is.
+STATES_BEFORE, STATES_BEHIND = frozenset("has no with without".split()), frozenset("open opened closed enabled disabled".split())
 # ----------------------------------------------------------------------------------------------------------------------
 
 #: A path is content if its fused ratio reaches this share of the page's mean, weighted by text length.
@@ -45,6 +51,13 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+@dataclass
+class _Mark:
+    """An element whose class or id names something other than the article."""
+
+    readers: bool
+
+
 @dataclass
 class _Node:
     """An open element: the path of tags down to it, and whether it is outside the article or inside one."""
@@ -52,21 +65,44 @@ class _Node:
     tag: str
     path: tuple[str, ...]
     aside: bool
-    framed: bool
+    article: int | None
+    main: int | None
+    marks: tuple[_Mark, ...]
+
+    @property
+    def framed(self) -> bool:
+        return self.article is not None or self.main is not None
 
 
 @dataclass
 class Block:
-    """Text between two block boundaries."""
+    """Text between two block boundaries; ``article`` and ``main`` number the elements it lies in."""
 
     path: tuple[str, ...]
     aside: bool
-    framed: bool
+    article: int | None
+    main: int | None
+    marks: tuple[_Mark, ...]
     pieces: list[str] = field(default_factory=list)
     text: str = ""
 
+    @property
+    def framed(self) -> bool:
+        return self.article is not None or self.main is not None
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class or id, without those that only name a state of the page."""
+    found: set[str] = set()
+    for token in value.split():
+        parts = [x.lower() for x in _NAME.findall(token)]
+        if len(parts) < 2 or parts[0] not in STATES_BEFORE and parts[-1] not in STATES_BEHIND:
+            found.update(parts)
+    return found
+
 
 def _is_aside(tag: str, attributes: str, framed: bool) -> bool:
+    """Whether tag, role or visibility put an element outside the article."""
     if tag in ASIDE_TAGS or tag == "header" and not framed:
         return True
     if not attributes or attributes.isspace():
@@ -77,17 +113,63 @@ def _is_aside(tag: str, attributes: str, framed: bool) -> bool:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id"):
-            names = {x.lower() for x in _NAME.findall(value)}
-            if names & (READERS if tag in KEPT_FRAMES else ASIDE_NAMES):
-                return True
     return False
 
 
+def _mark(tag: str, attributes: str, framed: bool) -> _Mark | None:
+    """The mark that the class or id of an element gives it."""
+    if top_is_plain(attributes):
+        return None
+    found: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "class" or name == "id" and tag not in HEADINGS:
+            found |= _names(value)
+    telling = READERS if tag in KEPT_FRAMES else ADVERTS | READERS if framed and tag in RUNNING else ASIDE_NAMES
+    return _Mark(bool(found & READERS)) if found & telling else None
+
+
+def _drop_marked(found: list[Block]) -> None:
+    """Puts blocks under a mark outside the article, unless what the mark names holds the page's article or most of its text.
+
+    The page's article is the longest <article> outside all marks, else the longest under a mark that is not readers', else
+    the longest of all; without any, the longest <main> in the same order. Marks around it, and its own, are void. A mark
+    that holds more than half of the text of a page without an article is void if it is not readers', and the largest is
+    void where nothing is left outside.
+    """
+    ours = [b for b in found if not b.aside]
+    articles = [b for b in ours if b.article is not None]
+    within: dict[tuple, list[Block]] = defaultdict(list)
+    for b in articles or [b for b in ours if b.main is not None]:
+        within[("article", b.article) if articles else ("main", b.main)].append(b)
+    size = lambda of: sum(len(b.text) for b in of)
+    void: set[int] = set()
+    if within:
+        def common(of: list[Block]) -> list[_Mark]:
+            return [m for m in of[0].marks if all(any(m is x for x in b.marks) for b in of)]
+
+        def rank(of: list[Block]) -> tuple[int, int]:
+            around = common(of)
+            return (0 if any(m.readers for m in around) else 1 if around and 2 * size(of) <= size(ours) else 2), size(of)
+
+        void = {id(m) for m in common(max(within.values(), key=rank))}
+    else:
+        held: dict[int, tuple[_Mark, int]] = {}
+        for b in ours:
+            for m in b.marks:
+                held[id(m)] = m, held.get(id(m), (m, 0))[1] + len(b.text)
+        void = {i for i, (m, n) in held.items() if not m.readers and 2 * n > size(ours)}
+        if held and all(any(id(m) not in void for m in b.marks) for b in ours):
+            largest = max(n for _, n in held.values())
+            void |= {i for i, (_, n) in held.items() if n == largest}
+    for b in ours:
+        b.aside = any(id(m) not in void for m in b.marks)
+
+
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order. Tags that are never closed, or closed out of order, are tolerated."""
-    root = _Node("", (), False, False)
-    stack, out = [root], []
+    root = _Node("", (), False, None, None, ())
+    stack, out, frames = [root], [], 0
     current: Block | None = None
     silent = None
 
@@ -96,7 +178,7 @@ def blocks(html: str) -> list[Block]:
         if silent is None and text:
             if current is None:
                 top = stack[-1]
-                current = Block(top.path, top.aside, top.framed)
+                current = Block(top.path, top.aside, top.article, top.main, top.marks)
                 out.append(current)
             current.pieces.append(text)
 
@@ -146,14 +228,19 @@ def blocks(html: str) -> list[Block]:
         elif tag not in VOID and tag not in INLINE:
             close_for(tag)
             top = stack[-1]
-            framed = top.framed or tag in ("article", "main")
-            stack.append(_Node(tag, (*top.path, tag), top.aside or _is_aside(tag, m[3], top.framed), framed))
-        elif tag in INLINE and not top_is_plain(m[3]) and _is_aside(tag, m[3], True):
+            mark = _mark(tag, m[3], top.framed)
+            frames += 1
+            stack.append(_Node(tag, (*top.path, tag), top.aside or _is_aside(tag, m[3], top.framed),
+                               frames if tag == "article" else top.article, frames if tag == "main" else top.main,
+                               top.marks if mark is None else (*top.marks, mark)))
+        elif tag in INLINE and not top_is_plain(m[3]) and (_is_aside(tag, m[3], True) or _mark(tag, m[3], True)):
             silent = tag
     add(html[done:])
     for b in out:
         b.text = " ".join(unescape("".join(b.pieces)).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _drop_marked(out)
+    return out
 
 
 def top_is_plain(attributes: str) -> bool:
@@ -166,7 +253,9 @@ def content(found: list[Block]) -> list[Block]:
     Text length and punctuation are added up by root-to-leaf tag path, and divided by the path's blocks. Along the page
     each ratio is smoothed with those of its neighbours, the two are fused to length * (1 + punctuation), and a path is
     content if the mean over its blocks reaches ``MIN_SHARE`` of the page's mean. Blocks of menus, notices, adverts and
-    the like have ratio 0 and form paths of their own, and so do blocks outside the article where a page marks one.
+    the like have ratio 0 and form paths of their own, and so do blocks outside the article where a page marks one. Inside
+    <article> every other block is content, short ones as in lists and tables too; inside <main> alone, so is every path
+    with a block between two of content.
     """
     framed = any(b.framed and not b.aside for b in found)
     inside = [not b.aside and (b.framed or not framed) for b in found]
@@ -187,7 +276,9 @@ def content(found: list[Block]) -> list[Block]:
             total += value * len(b.text)
             weight += len(b.text)
     limit = MIN_SHARE * total / weight if weight else 0.0
-    return [b for b, ok in zip(found, inside) if ok and fused[b.path] >= limit]
+    chosen = [i for i, (b, ok) in enumerate(zip(found, inside)) if ok and fused[b.path] >= limit]
+    between = {found[i].path for i in range(chosen[0], chosen[-1]) if inside[i] and found[i].framed} if chosen else set()
+    return [b for b, ok in zip(found, inside) if ok and (fused[b.path] >= limit or b.article is not None or b.path in between)]
 
 
 def main_text(html: str | None) -> str:

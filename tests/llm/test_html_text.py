@@ -50,3 +50,28 @@ def test_rows_nulls_and_clashing_names(spark):
     ("<svg><script>i<n</script><path></svg><p>x.</p>", "x."), ("<p>x.</p><script>i<n <!-- </scripts>", "x.")])
 def test_silent_elements_end_at_their_own_tag(page, text):
     assert main_text(page) == text
+
+
+PARAGRAPH = "<p>" + "a, b, c, d, e, f, g, some words. " * 18 + "</p>"
+STORY = "<p>The story, whole and long enough.</p>"
+OTHER = '<div class="comments"><p>' + "Very good, thank you for that. " * 20 + "</p></div>"
+
+
+@pytest.mark.parametrize("page, wanted, dropped", [
+    (f'<div class="content has-sidebar"><article>{STORY}</article></div>{OTHER}', ["The story"], ["Very good"]),
+    (f'<article class="post comments-open">{STORY}</article>{OTHER}', ["The story"], ["Very good"]),
+    (f'<body class="comments-open"><div>{STORY}</div></body>', ["The story"], []),
+    (f'<div class="sidebar wrapper"><article>{STORY}</article><nav>n</nav></div>', ["The story"], ["n\n"]),
+    (f'<div class="widget"><div>{STORY}</div></div><p>x.</p>', ["The story"], []),
+    (f'<article><p class="notice">Take note.</p>{STORY}<h2 id="related-work">Related work</h2>{STORY}<p class="ad">Buy</p></article>',
+     ["Take note.", "Related work"], ["Buy"]),
+    (f"<article>{PARAGRAPH * 5}<ul>" + "".join(f"<li>short item no {i}" for i in range(10)) + f"</ul>{PARAGRAPH * 5}<table><tr><td>4<td>5</table></article>",
+     [f"short item no {i}" for i in range(10)] + ["4", "5"], []),
+    (f"<main>{PARAGRAPH * 5}<ul>" + "".join(f"<li>short item no {i}" for i in range(10)) + f"</ul>{PARAGRAPH * 5}</main>",
+     [f"short item no {i}" for i in range(10)], []),
+    (f'<main><article>{STORY}</article><section class="comments"><article><p>' + "Very good, thank you. " * 30 + "</p></article></section></main>",
+     ["The story"], ["Very good"]),
+    (f'<article>{STORY * 3}</article><div class="related"><article><p>Read this too.</p></article></div>', ["The story"], ["Read this"])])
+def test_names_and_short_blocks_drop_no_article_text(page, wanted, dropped):
+    lines = main_text(page).split("\n")
+    assert all(any(x.startswith(w) for x in lines) for w in wanted) and not any(x.startswith(d) for d in dropped for x in lines)
