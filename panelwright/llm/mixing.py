@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import log
+from warnings import warn
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -137,11 +138,15 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], n_col: str = "n_tokens"
 
 def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float], budget: float | None = None,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, text_key, n_tokens, posteriors, rate, copies) of every row.
+    """(``id_col``, text_key, n_tokens, posteriors, rate, copies, wanted, reached) of every row.
 
     ``weights``: wanted share of the tokens by domain, scaled to add up to 1; domains that are not named get 0. ``budget``:
-    wanted tokens in all; if None, the domain of the largest weight is used whole and no domain is repeated: one with fewer
-    tokens than its share gives what it has. ``copies`` is the rate rounded down or up, up as
+    wanted tokens in all; if None, so many that the domain of the largest weight is used whole: a domain with fewer tokens
+    than its share gets rates above 1. A named domain without tokens cannot be had; a warning names it, and if ``budget`` is
+    None the others keep their shares of each other. ``wanted``, ``reached``: totals by domain (in the order of the model's
+    domains) that were asked for and that the rates give, the same in every row; a warning names domains that miss theirs.
+
+    ``copies`` is the rate rounded down or up, up as
     often as the fraction says, by a hash of id and text: the same on every run, and equal for repeated rows. A NULL or
     empty text has 0 tokens and the priors as posteriors; its rate moves no total. ``text_key`` is ``xxhash64`` of the text.
     """
@@ -149,18 +154,30 @@ def mix_rates(docs: DataFrame, model: DomainModel, weights: Mapping[str, float],
     soft = docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), F.size(words(text)).cast("long").alias("n_tokens"),
                        model.posteriors(text).alias("posteriors"))
     soft = settle(soft, "posteriors")
+    absent = sorted(d for d, w in weights.items() if w > 0 and d not in model.domains)
+    if absent:
+        warn(f"no labelled document of {', '.join(absent)}: the weights of the other domains are scaled up", stacklevel=2)
     wanted = np.array([max(0.0, float(weights.get(d, 0.0))) for d in model.domains])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
     if budget is None:
-        sums = soft.agg(*[F.sum(F.col("n_tokens") * F.col("posteriors")[i]).alias(f"s{i}") for i in range(len(wanted))]).first()
-        have = np.array([sums[f"s{i}"] or 0.0 for i in range(len(wanted))])
+        have = _totals(soft, len(wanted), F.lit(1.0))
         main = int(np.argmax(np.where(have > 0, wanted, -1)))
-        targets = np.minimum(wanted * have[main] / wanted[main], have) if wanted[main] else have
+        targets = np.where(have > 0, wanted * have[main] / wanted[main], 0.0) if wanted[main] else have
     else:
         targets = wanted * budget
     out = fit_rates(soft, list(targets))
+    reached = _totals(out, len(wanted), F.col("rate"))
+    missed = [f"{d} {r:.0f} of {t:.0f}" for d, r, t in zip(model.domains, reached, targets) if abs(r - t) > 0.01 * max(targets.sum() / len(targets), t)]
+    if missed:
+        warn(f"tokens reached of those wanted: {', '.join(missed)}", stacklevel=2)
     chance = F.pmod(F.xxhash64(F.col(id_col), "text_key", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    return out.withColumn("copies", (F.floor(F.round("rate", 6)) + (chance < F.round("rate", 6) - F.floor(F.round("rate", 6))).cast("int")).cast("long"))
+    out = out.withColumn("copies", (F.floor(F.round("rate", 6)) + (chance < F.round("rate", 6) - F.floor(F.round("rate", 6))).cast("int")).cast("long"))
+    return out.withColumns({"wanted": double_array(targets), "reached": double_array(reached)})
+
+
+def _totals(soft: DataFrame, k: int, rate: Column) -> np.ndarray:
+    row = soft.agg(*[F.sum(F.col("n_tokens") * rate * F.col("posteriors")[i]).alias(f"s{i}") for i in range(k)]).first()
+    return np.array([row[f"s{i}"] or 0.0 for i in range(k)])
 
 
 def mix(docs: DataFrame, model: DomainModel, weights: Mapping[str, float], budget: float | None = None,

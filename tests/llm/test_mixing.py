@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.llm.mixing import fit_domains, fit_rates, mix, mix_rates
@@ -68,3 +69,17 @@ def test_no_labels_no_rows_and_absent_domains(spark):
     assert mix_rates(docs.where("false"), known, {"fruit": 1}).count() == 0
     only = mix_rates(docs, known, {"fruit": 1, "glass": 5}).where("doc_id BETWEEN 100 AND 160").agg(F.max("rate")).first()[0]
     assert only < 0.2
+
+
+def test_scarce_domain_reaches_its_share_under_the_default_budget(spark):
+    rows = [(i, "apple pear plum cherry fig " * (3 + i % 4), "fruit") for i in range(196)]
+    rows += [(500 + i, "iron zinc tin lead gold " * 4, "metal") for i in range(4)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = fit_domains(docs, spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, domain string"))
+    with pytest.warns(UserWarning, match="glass"):
+        out = mix_rates(docs, model, {"fruit": 0.9, "metal": 0.1, "glass": 0.2}).collect()
+    total = sum(r["rate"] * r["n_tokens"] * np.array(r["posteriors"]) for r in out)
+    assert np.allclose(total / total.sum(), [0.9, 0.1], atol=1e-4)
+    assert np.allclose(out[0]["reached"], total) and np.allclose(out[0]["wanted"], total, rtol=1e-3)
+    metal = [r for r in out if r["doc_id"] >= 500]
+    assert min(r["rate"] for r in metal) > 2 and all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in metal)
