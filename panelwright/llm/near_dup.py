@@ -256,6 +256,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are judged text by text; a row with a NULL id counts after all others and is kept only if its group has no id at all.
     ``text_key`` is ``xxhash64`` of the text, to join results to such rows. Other columns are not read.
     """
+    return _grouped(docs, id_col, text_col, shingle, percent).drop("_group")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The columns of ``near_copies`` and _group: a name of the row's group that no other group has, NULL without words."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = settle(_sketch(docs.select("id", "text_key", "text"), shingle), "sketch")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -285,16 +290,42 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.select("cls", "id").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
+    named = named.join(least, "root").select("cls", "component_id", F.col("root").alias("_group"))
     out = rows.select("id", "text_key", "n", "cls").join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id",
-                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "_group")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_copies`` keeps, with all their columns; only the rejected keys move."""
-    found = near_copies(docs, id_col, text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_key"))
-    return docs.join(broadcast_if_small(settle(gone, "gone"), max_rows=2_000_000), same, "left_anti")
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_row: bool = False, **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_copies`` keeps, with all their columns; only the rejected keys move.
+
+    Rows that repeat a kept id and text, and the rows of a group without any id, all stay, unless ``one_row`` is set: then
+    one row of each group stays, however often it is repeated. Rows without words are in no group; of those, rows that repeat
+    id and text are one.
+    """
+    found = _grouped(docs, id_col, text_col, **options)
+    if not one_row:
+        return _without(docs, found.where(~F.col("kept")), id_col, text_col)
+    found = settle(found, "found")
+    keys = found.where("kept").groupBy(id_col, "text_key").agg(F.count(F.lit(1)).alias("times"), F.first("_group").alias("_group"))
+    keys = settle(keys, "kept")
+    best = keys.where("_group IS NOT NULL").groupBy("_group").agg(F.min("text_key").alias("best"))
+    second = keys.join(best, "_group").where("text_key <> best")
+    kept = _without(docs, found.where(~F.col("kept")).select(id_col, "text_key").unionByName(second.select(id_col, "text_key")), id_col, text_col)
+    repeated = keys.where("times > 1")
+    if repeated.isEmpty():
+        return kept
+    several = kept.withColumn("_key", F.xxhash64(text_col)).join(*_keys(repeated, id_col, F.col("_key")), "left_semi")
+    return _without(kept, repeated, id_col, text_col).unionByName(several.dropDuplicates([id_col, "_key"]).drop("_key"))
+
+
+def _keys(rows: DataFrame, id_col: str, text_key: Column) -> tuple[DataFrame, Column]:
+    """Distinct ids and text keys of ``rows``, and the condition that a row has one of them."""
+    keys = rows.select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_key == F.col("_gone_key"))
+    return broadcast_if_small(settle(keys, "gone"), max_rows=2_000_000), same
+
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.join(*_keys(gone, id_col, F.xxhash64(text_col)), "left_anti")

@@ -95,3 +95,17 @@ def test_components_of_chains_and_stars(spark):
         joined.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(len, joined.values())) == [2, 501]
     assert connected_components(edges.where("false"), "x", "y").count() == 0
+
+
+def test_one_row_of_each_group_stays_however_often_it_is_repeated(spark):
+    import corpus_pipeline
+    hot, other, near = "one two three four five six seven", "a b c d e f g h", " ".join(f"w{i}" for i in range(60))
+    docs = [(1, hot)] * 300 + [(2, hot)] * 20 + [(None, other)] * 200 + [(None, "x y z x y z")] * 2 + [(5, near)] * 3 + [(6, near + " w60")]
+    docs += [(5, "nothing like the text of the same id above")] * 2 + [(7, near + " w61")] + [(9, "")] * 2 + [(10, "just one of these here")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, line long").repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    wanted = [(1, hot), (None, other), (None, "x y z x y z"), (5, near), (5, "nothing like the text of the same id above"), (9, ""), (10, "just one of these here")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(d), t) for d, t in wanted)
+    both = keep_one_per_group(spark.createDataFrame([(3, near), (3, near + " w60"), (4, "p q r s t")], "doc_id long, text string"), one_row=True)
+    assert sorted(r["doc_id"] for r in both.collect()) == [3, 4]
