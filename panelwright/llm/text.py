@@ -190,3 +190,11 @@ def _sql_finish(h: str, length: str) -> str:
     for s in steps:
         out = f"list_transform({out}, lambda h: {s})"
     return f"({out})[1]::BIGINT"
+
+
+def sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, a number of four bits at a time."""
+    hexed = f"hex(encode({text}))"
+    digits = f"list_transform(range(length({hexed}) // 2 * 2), lambda i: ('0x' || substr({hexed}, i + 2 - 2 * (i % 2), 1))::BIGINT)"
+    steps = "list_reduce([xor(h, k) % 16, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {digits}, lambda h, k: xor(h // 16, {steps})), 4294967295)"
