@@ -26,11 +26,12 @@ def weight_rows(df: DataFrame, keys: Sequence[str], missing: Column, output: str
 
 
 def weight_codes(df: DataFrame, keys: Sequence[str], code: str, missing: Column,
-                 output: str = "weight") -> DataFrame:
+                 output: str = "weight", whole: str | None = None) -> DataFrame:
     """The same weights at (patient-day, code) grain.
 
     Rows are counted per code first, with map-side partial counts, so the window below sees at most one row per
-    distinct code of a patient-day however many rows that day holds.
+    distinct code of a patient-day however many rows that day holds. ``whole`` names a column for the denominator: the
+    weight is n_rows / whole.
     """
     counted = (
         df.select(*keys, F.when(~missing, F.col(code)).alias(code))
@@ -40,15 +41,31 @@ def weight_codes(df: DataFrame, keys: Sequence[str], code: str, missing: Column,
     known = F.sum(F.when(F.col(code).isNotNull(), F.col("n_rows"))).over(Window.partitionBy(*keys))
     total = counted.withColumn("_ok", known)
     kept = total.where(F.col(code).isNotNull() | F.col("_ok").isNull())
-    return kept.withColumn(output, F.col("n_rows") / F.coalesce("_ok", "n_rows")).drop("_ok")
+    parts = F.coalesce("_ok", "n_rows")
+    kept = kept.withColumn(output, F.col("n_rows") / parts)
+    return (kept.withColumn(whole, parts) if whole else kept).drop("_ok")
+
+
+def exact_weights(df: DataFrame, keys: Sequence[str], parts: str, whole: str, output: str = "units") -> DataFrame:
+    """Sum of parts / whole per key, the same in whatever order rows arrive.
+
+    Numerators are whole numbers and are added up by denominator; each denominator is divided once, to 18 places, and the
+    quotients are added as decimals. So a sum that is a short decimal number comes out as just that number.
+    """
+    by_whole = df.groupBy(*keys, whole).agg(F.sum(parts).alias("_n"))
+    quotient = F.col("_n").cast("decimal(20,0)") / F.col(whole).cast("decimal(20,0)")
+    return by_whole.groupBy(*keys).agg(F.sum(quotient.cast("decimal(38,18)")).alias(output))
 
 
 def cause_share(df: DataFrame, keys: Sequence[str], cause: str, weight: str = "weight",
                 unmapped: str = C.UNMAPPED) -> DataFrame:
-    """Weight by cause within keys (period, care type) and its share there; a missing cause is a category of its own."""
-    total = df.groupBy(*keys, F.coalesce(F.col(cause), F.lit(unmapped)).alias(cause)).agg(F.sum(weight).alias("weight"))
-    within = F.sum("weight").over(Window.partitionBy(*keys))
-    return total.withColumn("prop", F.try_divide(F.col("weight"), within))
+    """Weight by cause within keys (period, care type) and its share there; a missing cause is a category of its own.
+
+    Decimal weights are added up exactly, and divided once.
+    """
+    total = df.groupBy(*keys, F.coalesce(F.col(cause), F.lit(unmapped)).alias(cause)).agg(F.sum(weight).alias("_w"))
+    within = F.sum("_w").over(Window.partitionBy(*keys)).cast("double")
+    return total.withColumns({"weight": F.col("_w").cast("double"), "prop": F.try_divide(F.col("_w").cast("double"), within)}).drop("_w")
 
 
 def order_categories(df: DataFrame, category: str, ordered: Sequence[str], output: str = "ord") -> DataFrame:
@@ -74,7 +91,8 @@ def select_versus_other(df: DataFrame, keys: Sequence[str], cause: str, selected
         F.sum(weight).alias("total"), F.sum(F.when(chosen, F.col(weight))).alias("sub"),
         F.count_if(chosen).alias("_n"),
     )
-    return out.where("_n > 0").drop("_n").withColumn("other", F.col("total") - F.col("sub"))
+    parts = {"total": F.col("total"), "sub": F.col("sub"), "other": F.col("total") - F.col("sub")}
+    return out.where("_n > 0").select(*keys, *[c.cast("double").alias(name) for name, c in parts.items()])
 
 
 def map_codes(df: DataFrame, code: str, resolved: DataFrame) -> DataFrame:

@@ -214,10 +214,10 @@ def count_buckets(t: Roles) -> DataFrame:
 
 
 @query("sum_by_cause_and_month", "AGG-24", "FN-4", sql=f"""
-    SELECT family_name, plot_date::varchar AS plot_date, {r6('sum(weight)')} AS weight FROM care_comparison
+    SELECT family_name, plot_date::varchar AS plot_date, {r6('sum(units) / any_value(whole)')} AS weight FROM care_comparison
     GROUP BY ALL""")
 def sum_by_cause_and_month(t: Roles) -> DataFrame:
-    return t.study.care_comparison.groupBy("family_name", "plot_date").agg(F.sum("weight").alias("weight"))
+    return t.study.care_weights.groupBy("family_name", "plot_date").agg(F.sum("units").cast("double").alias("weight"))
 
 
 @query("log_of_group_sum", "AGG-26", "FN-17", sql=f"""

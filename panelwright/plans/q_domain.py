@@ -84,11 +84,15 @@ def cause_share_in_person(t: Roles) -> DataFrame:
 
 @query("causes_regrouped", "OP-7", "FN-2", sql=f"""
     SELECT care_type, plot_date::varchar AS plot_date, coalesce(g, family_name) AS family_name,
-           {r6('sum(weight)')} AS weight, {r6('sum(prop)')} AS prop
-    FROM (SELECT *, {case('family_name', C.FAMILY_REGROUP)} AS g FROM care_comparison) GROUP BY ALL""")
+           {r6('sum(units) / any_value(whole)')} AS weight,
+           {r6('sum(units) / sum(sum(units)) OVER (PARTITION BY care_type, plot_date)')} AS prop
+    FROM (SELECT *, {case('family_name', C.FAMILY_REGROUP)} AS g FROM care_comparison)
+    GROUP BY care_type, plot_date, coalesce(g, family_name)""")
 def causes_regrouped(t: Roles) -> DataFrame:
-    return patient_days.regroup_causes(t.study.care_comparison, ["care_type", "plot_date"], "family_name",
-                                       C.FAMILY_REGROUP, ["weight", "prop"])
+    """Weights are added up exactly and divided once, after the merge."""
+    keys = ["care_type", "plot_date"]
+    merged = patient_days.regroup_causes(t.study.care_weights, keys, "family_name", C.FAMILY_REGROUP, ["units"])
+    return patient_days.cause_share(merged, keys, "family_name", "units")
 
 
 @query("resolved_code_map", "OP-3", "OP-4", sql="""

@@ -13,6 +13,7 @@ from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, MISSING_DX, YEARS, quote, r6
 from panelwright.plans.roles import Roles
 from panelwright.plans.study import PATIENT
+from panelwright.sources.writers import settle
 
 
 @query("join_patients_to_visits", "JN-1", "AGG-1", sql=f"""
@@ -94,23 +95,26 @@ def dimension_lookup(t: Roles) -> DataFrame:
     SELECT count(*) FILTER (WHERE bad) AS rows_on_days_with_missing, count(*) FILTER (WHERE NOT bad) AS rows_on_other_days
     FROM (SELECT bool_or({MISSING_DX}) OVER (PARTITION BY client_id, patient_id, visit_date) AS bad FROM outpatient)""")
 def semi_and_anti_join(t: Roles) -> DataFrame:
+    """The facts are read once, into one row a patient-day and kind of code; the joins start from those."""
     day = ["client_id", "patient_id", "visit_date"]
-    rows = t.study.outpatient
-    missing = rows.where(is_missing_code(F.col("dx1_code"), C.REDACTED)).select(*day).distinct()
-    on_day = rows.join(missing, day, "left_semi").agg(F.count(F.lit(1)).alias("rows_on_days_with_missing"))
-    other = rows.join(missing, day, "left_anti").agg(F.count(F.lit(1)))
+    bad = is_missing_code(F.col("dx1_code"), C.REDACTED)
+    kinds = settle(t.study.outpatient.groupBy(*day, bad.alias("bad")).agg(F.count(F.lit(1)).alias("n")), "day-kinds")
+    missing = kinds.where("bad").select(*day)
+    total = lambda kind: F.coalesce(F.sum("n"), F.lit(0)).alias(kind)
+    on_day = kinds.join(missing, day, "left_semi").agg(total("rows_on_days_with_missing"))
+    other = kinds.join(missing, day, "left_anti").agg(total("rows_on_other_days"))
     return on_day.withColumn("rows_on_other_days", other.scalar())
 
 
 @query("selected_against_other", "JN-12", "AGG-25", "SET-4", "FLT-15", sql=f"""
     SELECT care_type, plot_date::varchar AS plot_date, {r6('total')} AS total, {r6('sub')} AS sub,
            {r6('total - sub')} AS other
-    FROM (SELECT care_type, plot_date, sum(weight) AS total FROM care_comparison GROUP BY ALL)
-    JOIN (SELECT care_type, plot_date, sum(weight) AS sub FROM care_comparison
+    FROM (SELECT care_type, plot_date, sum(units) / any_value(whole) AS total FROM care_comparison GROUP BY ALL)
+    JOIN (SELECT care_type, plot_date, sum(units) / any_value(whole) AS sub FROM care_comparison
           WHERE family_name IN ({quote(C.SELECTED_FAMILIES)}) GROUP BY ALL) USING (care_type, plot_date)""")
 def selected_against_other(t: Roles) -> DataFrame:
-    return patient_days.select_versus_other(t.study.care_comparison, ["care_type", "plot_date"], "family_name",
-                                            C.SELECTED_FAMILIES)
+    return patient_days.select_versus_other(t.study.care_weights, ["care_type", "plot_date"], "family_name",
+                                            C.SELECTED_FAMILIES, "units")
 
 
 @query("unit_to_own_baseline", "JN-14", "OP-16", "FN-21", "FN-13", sql=f"""

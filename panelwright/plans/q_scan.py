@@ -122,10 +122,10 @@ def rename_compute_reorder(t: Roles) -> DataFrame:
 
 
 @query("tag_before_union", "PRJ-4", "SET-4", sql="""
-    SELECT care_type, count(*) AS n, round(sum(weight), 6) + 0.0 AS weight FROM care_comparison GROUP BY ALL""")
+    SELECT care_type, count(*) AS n, round(sum(units) / any_value(whole), 6) + 0.0 AS weight FROM care_comparison GROUP BY ALL""")
 def tag_before_union(t: Roles) -> DataFrame:
-    return t.study.care_comparison.groupBy("care_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return t.study.care_weights.groupBy("care_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("units").cast("double").alias("weight"))
 
 
 @query("conditional_updates", "PRJ-5", "PRJ-6", "FLT-11", "OP-3", "JN-4", "AGG-21", sql="""

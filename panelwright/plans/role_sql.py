@@ -190,7 +190,7 @@ CTES: dict[str, str] = {
         SELECT *, {REMOTE_OR_PLACE} AS remote FROM outpatient
         WHERE visit_date >= date '{STUDY.start}' AND visit_date < date '{STUDY.end}'""",
     "weighted_rows": f"""
-        SELECT * EXCLUDE (n, ok), 1.0 / (CASE WHEN ok > 0 THEN ok ELSE n END) AS weight
+        SELECT * EXCLUDE (n, ok), CASE WHEN ok > 0 THEN ok ELSE n END AS n_parts, 1.0 / n_parts AS weight
         FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE NOT {MISSING_DX}) OVER w AS ok FROM care_rows
               WINDOW w AS (PARTITION BY remote, client_id, patient_id, visit_date))
         WHERE NOT {MISSING_DX} OR ok = 0""",
@@ -203,11 +203,13 @@ CTES: dict[str, str] = {
         LATERAL (SELECT coalesce((t.acause IS NULL AND n.acause IS NOT NULL)
                  OR (t.acause = '{C.GARBAGE_CAUSE}' AND n.acause <> '{C.GARBAGE_CAUSE}'), false) AS b)""",
     "cause_share": """
-        SELECT *, weight / sum(weight) OVER (PARTITION BY remote, plot_date) AS prop
+        SELECT *, units / whole AS weight, units / sum(units) OVER (PARTITION BY remote, plot_date) AS prop
         FROM (SELECT remote, cast(date_trunc('month', visit_date) AS date) AS plot_date,
-                     coalesce(family_name, 'Unmapped') AS family_name, sum(weight) AS weight
-              FROM mapped_rows GROUP BY ALL)""",
-    "care_comparison": "SELECT plot_date, family_name, weight, prop, "
+                     coalesce(family_name, 'Unmapped') AS family_name, sum(whole // n_parts)::HUGEINT AS units,
+                     any_value(whole) AS whole
+              FROM mapped_rows, (SELECT list_reduce(list(DISTINCT n_parts), lambda a, b: lcm(a, b)) AS whole FROM mapped_rows)
+              GROUP BY ALL)""",
+    "care_comparison": "SELECT plot_date, family_name, units, whole, weight, prop, "
                        "CASE WHEN remote THEN 'Telemedicine' ELSE 'In-Person' END AS care_type FROM cause_share",
     # --- panels
     "by_group": """

@@ -192,20 +192,30 @@ class StudyTables:
     def resolved_codes(self) -> DataFrame:
         return code_map.resolve_systems(self.code_dimension, "dx")
 
-    def cause_shares(self, rows: DataFrame) -> DataFrame:
-        """Patient-days by care type, month and cause family: (remote, plot_date, family_name, weight, prop)."""
+    def cause_weights(self, rows: DataFrame) -> DataFrame:
+        """Exact patient-days by care type, month and cause family: (remote, plot_date, family_name, units)."""
         weights = patient_days.weight_codes(rows, ["remote", "client_id", "patient_id", "visit_date"], "dx1_code",
-                                            is_missing_code(F.col("dx1_code"), C.REDACTED))
+                                            is_missing_code(F.col("dx1_code"), C.REDACTED), whole="n_parts")
         coded = weights.withColumns({"dx": clean_code(F.col("dx1_code")),
                                      "plot_date": month_start(F.col("visit_date"))})
         mapped = patient_days.map_codes(coded, "dx", self.resolved_codes)
-        return patient_days.cause_share(mapped, ["remote", "plot_date"], "family_name")
+        named = mapped.withColumn("family_name", F.coalesce("family_name", F.lit(C.UNMAPPED)))
+        return patient_days.exact_weights(named, ["remote", "plot_date", "family_name"], "n_rows", "n_parts")
+
+    def cause_shares(self, rows: DataFrame) -> DataFrame:
+        """Patient-days by care type, month and cause family: (remote, plot_date, family_name, weight, prop)."""
+        return patient_days.cause_share(self.cause_weights(rows), ["remote", "plot_date"], "family_name", "units")
 
     @cached_property
-    def care_comparison(self) -> DataFrame:
-        """Cause shares of both care types, from one pass over the rows."""
+    def care_weights(self) -> DataFrame:
+        """Exact patient-days of both care types, from one pass over the rows: (care_type, plot_date, family_name, units)."""
         label = F.when(F.col("remote"), "Telemedicine").otherwise("In-Person")
-        return self.cause_shares(self.care_rows()).withColumn("care_type", label).drop("remote")
+        return self.cause_weights(self.care_rows()).withColumn("care_type", label).drop("remote")
+
+    @cached_property
+    def care_comparison(self) -> DataFrame:
+        """Cause shares of both care types."""
+        return patient_days.cause_share(self.care_weights, ["care_type", "plot_date"], "family_name", "units")
 
     # --- panels -------------------------------------------------------------------------------------------------
 
