@@ -100,7 +100,8 @@ def client_measures(patient_months: DataFrame, patients: DataFrame) -> DataFrame
     )
 
 
-def unit_flags(panel: DataFrame) -> DataFrame:
+def unit_flags(panel: DataFrame, small_below: float = C.SMALL_NETWORK_PATIENT_DAYS,
+               white_above: float = C.MORE_WHITE_SHARE) -> DataFrame:
     """Area and size flags; a unit's months are few, so its means come from a plain window."""
     keys = ["client_id", "imp"]
     out = group_mean(panel, keys, F.col("mpatients"), "_size", bounded=True)
@@ -108,8 +109,8 @@ def unit_flags(panel: DataFrame) -> DataFrame:
     return out.withColumns({
         "rural": flag(F.col("pct_rural_2010") > C.RURAL_PERCENT),
         "poverty": flag(F.col("povertyrate") > C.POVERTY_PERCENT),
-        "small": flag(F.col("_size") < C.SMALL_NETWORK_PATIENT_DAYS),
-        "more_wnh": flag(F.col("_white") > C.MORE_WHITE_SHARE),
+        "small": flag(F.col("_size") < small_below),
+        "more_wnh": flag(F.col("_white") > white_above),
     }).drop("_size", "_white")
 
 

@@ -10,8 +10,8 @@ from panelwright.functions.dates import quarter_label, run_month, run_quarter
 from panelwright.functions.draws import draw_sql
 from panelwright.operators import fixed_effects, impute, matching, numbering, panel, policy
 from panelwright.operators.fixed_effects import EventStudy, fit_event_study
+from panelwright.operators.gram import Model, fit_models
 from panelwright.operators.pooling import pool
-from panelwright.operators.reshape import stack_copies
 from panelwright.operators.skew import broadcast_if_small
 from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, r6
@@ -72,62 +72,50 @@ def pooled_group_rates(t: Roles) -> DataFrame:
 
 
 def pooled_effects(fits: DataFrame, *keys: str) -> DataFrame:
-    """Pool every effect over the copies and label its quarter."""
-    out = pool(fits.where("quarter > 1"), [*keys, "parity_group", "quarter", "kind"], "coef", "se", M)
+    """Pool every effect over the copies and label its quarter; with the rows, units and left-out columns of its fits."""
+    by = [*keys, "parity_group", "quarter", "kind"]
+    effects = settle(fits.where("quarter > 1"), "fits")
+    counts = effects.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_units", "n_dropped")])
+    out = pool(effects, by, "coef", "se", M).join(counts, by)
     return out.withColumn("label", quarter_label(F.col("quarter"), STUDY.years[0]))
 
 
 @query("effects_early_policies", "ST-2", "ST-4", "ST-5", "OP-19")
 def effects_early_policies(t: Roles) -> DataFrame:
     """Before the wave of policies: early adopters against the rest."""
-    data = t.study.client_quarters(t.study.early_rows)
-    spec = EventStudy("telehealth", "client_id", "quarter", [1, 2, 3, 4, 5, 6], [("Early", F.col("parity_combined"))],
-                      COVARIATES)
-    return pooled_effects(fit_event_study(data, spec))
+    return pooled_effects(t.study.fits(["early"]))
 
 
 @query("effects_state_level", "ST-2", "ST-4", "ST-5", "OP-19")
 def effects_state_level(t: Roles) -> DataFrame:
-    data = t.study.state_quarters(t.study.main_rows)
-    fits = fit_event_study(data, t.study.group_study("state")).unionByName(
-        fit_event_study(data, t.study.combined_study("state")))
-    return pooled_effects(fits)
+    return pooled_effects(t.study.fits(["state_groups", "state_combined"]))
 
 
 @query("effects_client_level", "ST-2", "ST-4", "ST-5", "SET-5", "RSH-4")
 def effects_client_level(t: Roles) -> DataFrame:
-    data = t.study.client_quarters(t.study.main_rows)
-    fits = fit_event_study(data, t.study.group_study()).unionByName(fit_event_study(data, t.study.combined_study()))
-    return pooled_effects(fits)
+    return pooled_effects(t.study.fits(["client_groups", "client_combined"]))
 
 
 @query("effects_under_65", "ST-2", "ST-4", "ST-5")
 def effects_under_65(t: Roles) -> DataFrame:
-    data = t.study.client_quarters(t.study.main_rows)
-    fits = fit_event_study(data, t.study.group_study(outcome="u65_telehealth")).unionByName(
-        fit_event_study(data, t.study.combined_study(outcome="u65_telehealth")))
-    return pooled_effects(fits)
+    return pooled_effects(t.study.fits(["under_65_groups", "under_65_combined"]))
 
 
 @query("effects_by_moderator", "ST-3", "ST-4", "ST-5")
 def effects_by_moderator(t: Roles) -> DataFrame:
-    """Four moderators x all copies in one job: the panel is stacked by moderator and fitted by (moderator, imp)."""
-    data = t.study.client_quarters(t.study.main_rows)
-    pairs = F.array(*[F.struct(F.lit(m).alias("moderator"), F.col(m).alias("value"))
-                      for m in ("rural", "small", "poverty", "more_wnh")])
-    stacked = data.withColumn("_p", F.explode(pairs)).withColumns({
-        "moderator": F.col("_p.moderator"), "value": F.col("_p.value")})
-    fits = fit_event_study(stacked, t.study.combined_study(moderator="value"), ["moderator", "imp"])
-    return pooled_effects(fits, "moderator")
+    """Four moderators x all copies in one job."""
+    return pooled_effects(t.study.fits(["rural", "small", "poverty", "more_wnh"]).withColumnRenamed("model", "moderator"), "moderator")
 
 
 @query("effects_alternative_controls", "ST-11", "ST-2", "ST-4", "ST-5", "OP-20")
 def effects_alternative_controls(t: Roles) -> DataFrame:
-    data = t.study.client_quarters(t.study.alternative_rows)
-    quarters = list(range(1, 11))
-    fits = fit_event_study(data, t.study.group_study(quarters=quarters)).unionByName(
-        fit_event_study(data, t.study.combined_study(quarters=quarters)))
-    return pooled_effects(fits)
+    return pooled_effects(t.study.fits(["alternative_groups", "alternative_combined"]))
+
+
+@query("effects_all_models", "ST-2", "ST-3", "ST-4", "ST-5", "ST-11", "OP-19", "OP-20")
+def effects_all_models(t: Roles) -> DataFrame:
+    """Every model of the study from one pass over the panel."""
+    return pooled_effects(t.study.fits(list(t.study.models())), "model")
 
 
 STATE_CELLS = f"""
@@ -157,9 +145,56 @@ def effects_saturated_balanced(t: Roles) -> DataFrame:
     return fits.select("quarter", "coef")
 
 
+def _two_way(c: str) -> str:
+    return f"{c} - avg({c}) OVER (PARTITION BY state) - avg({c}) OVER (PARTITION BY quarter) + avg({c}) OVER ()"
+
+
+_DID = ("did", "did_m", "x")
+_PAIRS = [(a, b) for i, a in enumerate(_DID) for b in _DID[i:]]
+
+
+@query("effects_with_covariate_and_moderator", "ST-2", "ST-3", "ST-4", sql=f"""
+    WITH cells AS MATERIALIZED (
+      SELECT state, quarter, y, x, g * CASE WHEN quarter > 6 THEN 1 ELSE 0 END AS did, did * m AS did_m
+      FROM (SELECT state, quarter, avg(telehealth) * 100 AS y, avg(pct_female) AS x, max(g) AS g,
+                   max(CASE WHEN ascii(substr(state, 2, 1)) % 2 = 0 THEN 1 ELSE 0 END) AS m
+            FROM (SELECT *, cast(quarter(month) + (year(month) - {STUDY.years[0]}) * 4 AS int) AS quarter,
+                         CASE WHEN policy_group IS NULL THEN 0 ELSE 1 END AS g FROM network_months LEFT JOIN policy USING (state))
+            GROUP BY state, quarter)),
+    w AS (SELECT {_two_way('y')} AS y, {', '.join(f'{_two_way(c)} AS {c}' for c in _DID)} FROM cells),
+    s AS (SELECT sum(y * y) AS yy, {', '.join(f'sum({a} * {b}) AS {a}_{b}' for a, b in _PAIRS)},
+                 {', '.join(f'sum({c} * y) AS y_{c}' for c in _DID)} FROM w),
+    n AS (SELECT count(*) AS n, count(DISTINCT state) AS units, count(DISTINCT quarter) AS periods FROM cells),
+    a AS (SELECT *, did_did AS a, did_did_m AS b, did_x AS c, did_m_did_m AS d, did_m_x AS e, x_x AS f FROM s),
+    i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM a),
+    inv AS (SELECT *, (d * f - e * e) / det AS v11, (c * e - b * f) / det AS v12, (b * e - c * d) / det AS v13, (a * f - c * c) / det AS v22,
+                   (b * c - a * e) / det AS v23, (a * d - b * b) / det AS v33 FROM i),
+    beta AS (SELECT *, v11 * y_did + v12 * y_did_m + v13 * y_x AS b1, v12 * y_did + v22 * y_did_m + v23 * y_x AS b2,
+                    v13 * y_did + v23 * y_did_m + v33 * y_x AS b3 FROM inv),
+    fit AS (SELECT *, (yy - b1 * y_did - b2 * y_did_m - b3 * y_x) / (n - units - (periods - 1) - 3) AS s2 FROM beta, n)
+    SELECT 'did' AS term, {r6('b1')} AS coef, {r6('sqrt(s2 * v11)')} AS se, n AS n_rows, units AS n_units FROM fit
+    UNION ALL SELECT 'did_m', {r6('b2')}, {r6('sqrt(s2 * v22)')}, n, units FROM fit
+    UNION ALL SELECT 'x', {r6('b3')}, {r6('sqrt(s2 * v33)')}, n, units FROM fit""")
+def effects_with_covariate_and_moderator(t: Roles) -> DataFrame:
+    """Treated x later, its product with a moderator, and a covariate, with unit and period effects, coefficients and errors.
+
+    Every state has every quarter, so both effects can be taken out by means, and three normal equations are left to check.
+    """
+    states = policy.policy_table(t.spark).select("state", F.lit(1).alias("g"))
+    rows = t.study.network_months.join(F.broadcast(states), "state", "left").withColumn("quarter", run_quarter(F.col("month"), STUDY.years[0]))
+    cells = rows.groupBy("state", "quarter").agg(F.avg(100 * F.col("telehealth")).alias("y"), F.avg("pct_female").alias("x"),
+                                                 F.coalesce(F.max("g"), F.lit(0)).alias("g"))
+    did = F.col("g") * (F.col("quarter") > 6).cast("int")
+    flag = (F.ascii(F.substring("state", 2, 1)) % 2 == 0).cast("int")
+    cells = cells.withColumns({"did": did, "did_m": did * flag, "imp": F.lit(1), "rows": F.lit("states")})
+    model = Model("did", "states", "y", tuple(t.study.quarters), (), _DID)
+    fits = fit_models(cells, [model], unit="state")
+    return fits.select(F.col("parity_group").alias("term"), "coef", "se", "n_rows", "n_units")
+
+
 @query("cross_products_by_fit", "ST-2", "WIN-13", sql="""
     WITH d AS MATERIALIZED (SELECT m.imp, telehealth - avg(telehealth) OVER w AS x0, pct_female - avg(pct_female) OVER w AS x1,
-                      pct_65plus - avg(pct_65plus) OVER w AS x2 FROM network_months, (SELECT unnest([1, 2]) AS imp) m
+                      pct_65plus - avg(pct_65plus) OVER w AS x2 FROM panel m WHERE m.imp <= 2
                WINDOW w AS (PARTITION BY m.imp, client_id))
     SELECT imp, 0 AS i, 0 AS j, round(sum(x0 * x0), 6) + 0.0 AS v FROM d GROUP BY ALL
     UNION ALL SELECT imp, 0, 1, round(sum(x0 * x1), 6) + 0.0 FROM d GROUP BY ALL
@@ -168,7 +203,7 @@ def effects_saturated_balanced(t: Roles) -> DataFrame:
     UNION ALL SELECT imp, 1, 2, round(sum(x1 * x2), 6) + 0.0 FROM d GROUP BY ALL
     UNION ALL SELECT imp, 2, 2, round(sum(x2 * x2), 6) + 0.0 FROM d GROUP BY ALL""")
 def cross_products_by_fit(t: Roles) -> DataFrame:
-    rows = stack_copies(t.study.network_months, 2)
+    rows = t.study.panel.where("imp <= 2")
     columns = ["telehealth", "pct_female", "pct_65plus"]
     centred = fixed_effects.demean(rows, ["imp", "client_id"], columns)
     return fixed_effects.cross_products(centred.withColumn("x", F.array(*columns)), ["imp"], "x")

@@ -244,8 +244,8 @@ CTES: dict[str, str] = {
                coalesce(p.policy_group, '{C.GROUP_NEVER}') AS parity_group,
                CASE WHEN pct_rural_2010 > {C.RURAL_PERCENT} THEN 1 ELSE 0 END AS rural,
                CASE WHEN povertyrate > {C.POVERTY_PERCENT} THEN 1 ELSE 0 END AS poverty,
-               CASE WHEN mean_size < {C.SMALL_NETWORK_PATIENT_DAYS} THEN 1 ELSE 0 END AS small,
-               CASE WHEN mean_white > {C.MORE_WHITE_SHARE} THEN 1 ELSE 0 END AS more_wnh
+               CASE WHEN mean_size < {STUDY.small_below} THEN 1 ELSE 0 END AS small,
+               CASE WHEN mean_white > {STUDY.white_above} THEN 1 ELSE 0 END AS more_wnh
         FROM (SELECT s.*, c.state, c.zip3, c.pct_rural_2010, c.povertyrate, m.* EXCLUDE (client_id, month),
                      cast((year(month) - {STUDY.anchor.year}) * 12 + month(month) - {STUDY.anchor.month} AS int)
                          AS run_month,

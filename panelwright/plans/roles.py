@@ -17,7 +17,8 @@ from panelwright.functions.recode import recode
 from panelwright.plans.study import Study, StudyTables
 from panelwright.sources.readers import inline_rows
 
-STUDY = Study().shifted(-23)
+#: The test tables have few patients a network, so the size and share that split networks are theirs.
+STUDY = Study(small_below=1.905, white_above=0.2003).shifted(-23)
 BRANCHES = 4
 STATES = ("AZ", "AR", "CA", "CO", "GA", "MT", "TN", "OR", "MD", "NV", "OK", "NY", "WA",
           "KY", "VT", "AL", "FL", "ID", "TX", "PA", "OH", "MI", "UT", "NC", "IN")

@@ -17,6 +17,7 @@ from panelwright.functions.means import safe_log
 from panelwright.functions.recode import recode
 from panelwright.operators import cleaning, code_map, impute, joins, panel, patient_days, policy
 from panelwright.operators.fixed_effects import EventStudy
+from panelwright.operators.gram import Model, fit_models
 from panelwright.operators.skew import broadcast_if_small
 from panelwright.sources.readers import list_to_codes
 from panelwright.sources.writers import settle
@@ -41,6 +42,8 @@ class Study:
     age_year: int = 2020
     m: int = 10
     seed: int = 7
+    small_below: float = C.SMALL_NETWORK_PATIENT_DAYS
+    white_above: float = C.MORE_WHITE_SHARE
 
     @property
     def start(self) -> dt.date:
@@ -53,7 +56,8 @@ class Study:
 
         return Study(move(self.anchor), tuple(y + years for y in self.years), move(self.end), move(self.baseline_end),
                      move(self.pandemic_start), move(self.pandemic_second), move(self.early_end),
-                     move(self.alternative_end), self.age_year + years, self.m, self.seed)
+                     move(self.alternative_end), self.age_year + years, self.m, self.seed,
+                     self.small_below, self.white_above)
 
 
 @dataclass(frozen=True)
@@ -245,7 +249,8 @@ class StudyTables:
         cut = wide.where(F.col("month") < F.lit(self.study.end)).withColumns({
             "period": policy.pandemic_period(F.col("month"), self.study.pandemic_start, self.study.pandemic_second),
             "run_month": run_month(F.col("month"), self.study.anchor)})
-        return panel.unit_flags(policy.attach_policy(cut, policy.policy_table(self.spark), "run_month"))
+        flags = {"small_below": self.study.small_below, "white_above": self.study.white_above}
+        return panel.unit_flags(policy.attach_policy(cut, policy.policy_table(self.spark), "run_month"), **flags)
 
     @cached_property
     def baseline(self) -> DataFrame:
@@ -329,6 +334,55 @@ class StudyTables:
         return moved.where((F.col("parity_group") != C.GROUP_OTHER)
                            & (F.col("month") < F.lit(self.study.alternative_end)))
 
+    def _row_sets(self) -> dict[str, tuple[Column, Column]]:
+        """Rows of the models by name: (kept, policy group), the groups as in the ``*_rows`` tables."""
+        group, state, month = F.col("parity_group"), F.col("state"), F.col("month")
+        late = {s: C.GROUP_NEVER for s in ("NY", "MD", "OK", "OR")}
+        main = recode(state, {"GA": C.GROUP_WAVE}, group)
+        moved = recode(state, {**late, "GA": C.GROUP_WAVE}, group)
+        early = F.when((group == C.GROUP_BEFORE) | (state == "GA"), C.GROUP_BEFORE).otherwise(C.GROUP_NEVER)
+        return {"main": (main != C.GROUP_OTHER, main),
+                "alternative": ((moved != C.GROUP_OTHER) & (month < F.lit(self.study.alternative_end)), moved),
+                "early": ((group != C.GROUP_WAVE) & (month < F.lit(self.study.early_end)), early)}
+
+    def model_panel(self, sets: Sequence[str], states: bool = False) -> DataFrame:
+        """(rows, unit, quarter, imp, means, treatments) for all models over the named row sets, from one read of the panel.
+
+        A panel row is carried once for each of its row sets, then averaged by quarter. ``states`` adds the state-level means
+        of the main rows as row set ``state``.
+        """
+        chosen = {name: self._row_sets()[name] for name in sets}
+        copies = F.array(*[F.when(kept, F.struct(F.lit(name).alias("rows"), group.alias("parity_group"))) for name, (kept, group) in chosen.items()])
+        rows = self.panel.withColumn("_s", F.explode(F.array_compact(copies))).withColumns({"rows": F.col("_s.rows"), "parity_group": F.col("_s.parity_group")})
+        means = ["telehealth", "u65_telehealth", "mpatients", "pct_below18", "pct_65plus", "wnh", "bnh", "hispanic",
+                 "change_patients", "index", "rural", "small", "poverty", "more_wnh"]
+        out = panel.plain_means(self._quarterly(rows.drop("_s")), ["rows", "client_id", "quarter", "imp"], means, firsts=["parity_group"])
+        out = out.withColumns({"unit": F.col("client_id").cast("string"), "lpatients": safe_log(F.col("mpatients"))}).drop("client_id")
+        if states:
+            by_state = self.state_quarters(self.main_rows).withColumns({"rows": F.lit("state"), "unit": F.col("state")})
+            out = out.unionByName(by_state.select([c for c in out.columns if c in by_state.columns]), allowMissingColumns=True)
+        is_group = lambda g: (F.col("parity_group") == g).cast("int")
+        return out.withColumns({C.GROUP_BEFORE: is_group(C.GROUP_BEFORE), C.GROUP_WAVE: is_group(C.GROUP_WAVE),
+                                C.GROUP_EARLY_OR_WAVE: 1 - is_group(C.GROUP_NEVER)})
+
+    def models(self) -> dict[str, Model]:
+        """All fixed-effects models of the study by name: per policy group and for all treated groups together."""
+        quarters, covariates = tuple(self.quarters), (*COVARIATES, "index")
+        groups, combined = (C.GROUP_BEFORE, C.GROUP_WAVE), (C.GROUP_EARLY_OR_WAVE,)
+        out = [Model("early", "early", "telehealth", (1, 2, 3, 4, 5, 6), (C.GROUP_BEFORE,), tuple(COVARIATES))]
+        for name, rows, outcome, periods in (("client", "main", "telehealth", quarters), ("state", "state", "telehealth", quarters),
+                                             ("under_65", "main", "u65_telehealth", quarters),
+                                             ("alternative", "alternative", "telehealth", tuple(range(1, 11)))):
+            out += [Model(f"{name}_groups", rows, outcome, periods, groups, covariates), Model(f"{name}_combined", rows, outcome, periods, combined, covariates)]
+        out += [Model(m, "main", "telehealth", quarters, combined, covariates, m) for m in ("rural", "small", "poverty", "more_wnh")]
+        return {m.name: m for m in out}
+
+    def fits(self, names: Sequence[str]) -> DataFrame:
+        """Coefficients of the named models, all from one pass (see ``gram.fit_models``)."""
+        models = [self.models()[n] for n in names]
+        sets = [s for s in self._row_sets() if any(m.rows == s for m in models)]
+        return fit_models(self.model_panel(sets or ["main"], any(m.rows == "state" for m in models)), models)
+
     def group_study(self, unit: str = "client_id", outcome: str = "telehealth", quarters: Sequence[int] | None = None,
                     covariates: Sequence[str] = (*COVARIATES, "index")) -> EventStudy:
         """One effect per policy group and quarter."""
