@@ -33,24 +33,70 @@ def impute_by_hot_deck(t: Roles) -> DataFrame:
 
 @query("impute_by_model", "ST-1")
 def impute_by_model(t: Roles) -> DataFrame:
-    """One chained pass: race from a multinomial model, then ethnicity from a logit that sees the filled race."""
+    """One chained pass: race from a multinomial model that sees ethnicity, then ethnicity from a logit that sees race."""
     people = t.study.patients.join(broadcast_if_small(t.client_dem.select("client_id", "pct_rural_2010", "povertyrate")),
                                    "client_id")
-    races = sorted(set(C.RACE_CODES.values()))
-    basic = [(STUDY.age_year - F.col("birth_year")) / 100, F.when(F.col("gender") == "F", 1).otherwise(0),
-             F.col("lang_eng").cast("int"), F.col("lang_spa").cast("int"), F.col("pct_rural_2010") / 100,
-             F.col("povertyrate") / 100]
-    key = F.col("client_patient_id")
-    sparse = impute.open_copies(people, ["race", "hispanic"], M)
-    raced = impute.model_based(sparse, people, "race", races, basic, key, M, STUDY.seed)
-    seen = [*basic, *[F.when(F.col("race") == r, 1).otherwise(0) for r in races[1:]]]
-    both = impute.model_based(raced, people.where(F.col("race").isNotNull()), "hispanic", [0, 1], seen, key, M,
-                              STUDY.seed + 50)
+    features = {"age": (STUDY.age_year - F.col("birth_year")) / 100, "female": F.when(F.col("gender") == "F", 1).otherwise(0),
+                "eng": F.col("lang_eng").cast("int"), "spa": F.col("lang_spa").cast("int"), "rural": F.col("pct_rural_2010") / 100,
+                "poor": F.col("povertyrate") / 100}
+    targets = [impute.Target("race", tuple(sorted(set(C.RACE_CODES.values()))), (*features, "hispanic")),
+               impute.Target("hispanic", (0, 1), (*features, "race"))]
+    both = impute.chained(people, targets, features, F.col("client_patient_id"), M, 1, STUDY.seed)
     stacked = impute.stack_completed(both, M)
     return stacked.withColumn("re", panel.combine_race(F.col("race"), F.col("hispanic"))).select(
         *PATIENT, "imp", "race", "hispanic", "re")
 
 
+#: (target, what it sees) of a chain of three columns, and its passes.
+DECK_CHAIN = (("race", ("speaks",)), ("hispanic", ("race",)), ("speaks", ("race", "hispanic")))
+DECK_PASSES = 2
+
+
+def _deck_chain_sql() -> str:
+    """The chain step by step: donors of a step are all rows of a copy in which its target was observed."""
+    names = [n for n, _ in DECK_CHAIN]
+    steps = [f"""
+    chain_0 AS MATERIALIZED (
+      SELECT client_id, client_patient_id, i.imp, {', '.join(f'{n} IS NULL AS gap_{n}' for n in names)}, {', '.join(
+          f"coalesce({n}, (SELECT min(class) FROM first_{n} d WHERE d.upto > {draw_sql('client_patient_id', 'i.imp', STUDY.seed + j)} % d.total)) AS {n}"
+          for j, n in enumerate(names))}
+      FROM speakers, range(1, {M + 1}) i(imp))"""]
+    first = [f"""
+    first_{n} AS MATERIALIZED (SELECT {n} AS class, sum(count(*)) OVER (ORDER BY {n}) AS upto, sum(count(*)) OVER () AS total
+                               FROM speakers WHERE {n} IS NOT NULL GROUP BY {n})""" for n in names]
+    for k in range(DECK_PASSES * len(names)):
+        n, sees = DECK_CHAIN[k % len(names)]
+        draw = draw_sql("c.client_patient_id", "c.imp", STUDY.seed + 10 * (k + 1) + len(names))
+        by = ", ".join(("imp", *sees))
+        same = " AND ".join(f"d.{s} = c.{s}" for s in ("imp", *sees))
+        keep = ", ".join(x for x in names if x != n)
+        steps.append(f"""
+    near_{k} AS MATERIALIZED (SELECT {by}, {n} AS class, sum(count(*)) OVER (PARTITION BY {by} ORDER BY {n}) AS upto,
+                                     sum(count(*)) OVER (PARTITION BY {by}) AS total FROM chain_{k} WHERE NOT gap_{n} GROUP BY {by}, {n}),
+    any_{k} AS MATERIALIZED (SELECT {n} AS class, sum(count(*)) OVER (ORDER BY {n}) AS upto, sum(count(*)) OVER () AS total
+                             FROM chain_{k} WHERE NOT gap_{n} GROUP BY {n}),
+    chain_{k + 1} AS MATERIALIZED (
+      SELECT client_id, client_patient_id, imp, {', '.join(f'gap_{x}' for x in names)}, {keep}, CASE WHEN NOT gap_{n} THEN {n} ELSE coalesce(
+        (SELECT min(class) FROM near_{k} d WHERE {same} AND d.upto > {draw} % d.total),
+        (SELECT min(class) FROM any_{k} d WHERE d.upto > {draw} % d.total)) END AS {n}
+      FROM chain_{k} c)""")
+    return f"""WITH speakers AS MATERIALIZED (
+      SELECT *, CASE WHEN lang_eng THEN 'eng' WHEN lang_spa THEN 'spa' WHEN lang_asi THEN 'asi' END AS speaks FROM patients),
+    {','.join(first)}, {','.join(steps)}
+    SELECT client_id, client_patient_id, imp::int AS imp, race, hispanic::int AS hispanic, speaks FROM chain_{DECK_PASSES * len(names)}"""
+
+
+@query("impute_chained_decks", "ST-1", "RSH-6", sql=_deck_chain_sql())
+def impute_chained_decks(t: Roles) -> DataFrame:
+    """Three columns with gaps, two passes; each is drawn within strata of the others as they stand."""
+    speaks = F.when(F.col("lang_eng"), "eng").when(F.col("lang_spa"), "spa").when(F.col("lang_asi"), "asi")
+    classes = {"race": tuple(sorted(set(C.RACE_CODES.values()))), "hispanic": (0, 1), "speaks": ("asi", "eng", "spa")}
+    targets = [impute.Target(n, classes[n], sees, "deck") for n, sees in DECK_CHAIN]
+    people = t.study.patients.withColumn("speaks", speaks)
+    filled = impute.chained(people, targets, {}, F.col("client_patient_id"), M, DECK_PASSES, STUDY.seed)
+    return impute.stack_completed(filled, M).select(*PATIENT, "imp", "race", "hispanic", "speaks")
+
+
 # --- pooling --------------------------------------------------------------------------------------------------------
 
 
