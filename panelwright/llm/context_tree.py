@@ -6,16 +6,19 @@ against those of its longer contexts by how well each would have coded the train
 With the counts fixed, a bit's probability is the mixture along its contexts, so a byte's probability depends on the byte
 and the ``DEPTH`` bytes before it alone: one number for each run of ``DEPTH`` + 1 bytes.
 
-The work. Documents form blocks of bounded size. Tasks count the words and byte runs of the blocks they meet; sums over
-blocks are the training counts; the tree is built level by level with grouped sums and read from the root down with joins.
-Each block then gets the values of the words and byte runs that occur in it, and no task holds the whole model.
+The work. Documents form blocks of bounded size. Tasks count the words and byte runs of the blocks they meet and pass them on
+as sorted, compressed pieces, cut by a hash of the last ``ROOT`` context bytes. So one task has all runs of a subtree: it adds
+up the blocks' counts and builds the subtree's levels in memory, from sorted arrays. Only the sums at the subtrees' roots leave the
+task; from them Spark builds the few levels above. A second pass over the pieces goes down again, from what those levels say to
+the value of every run, and gives each block the values of the runs and words that occur in it. No task holds the whole model,
+and no level below the roots is ever written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, log, log10
+from math import ceil, lgamma, log, log10
 
 import numpy as np
 import pandas as pd
@@ -30,9 +33,13 @@ from panelwright.sources.writers import settle
 
 #: 7 bytes a run leave room in a 64-bit key; every byte of depth multiplies the distinct runs.
 DEPTH = 6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 MAX_RANGES = 4096
 
+#: Context bytes that name a subtree, and bytes of text for each part that subtrees and words are dealt to.
+ROOT = 3
+PART_BYTES = 32 << 20
+
 #: Counted words and byte runs that a task holds before it passes them on.
 HELD_ROWS = 2_000_000
 
@@ -91,24 +98,22 @@ def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return runs[real[DEPTH:]], np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
-def _count(docs: DataFrame) -> DataFrame:
-    """(block, kind, key, n): words and byte runs that occur in a block, with their times in training texts.
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, names = pd.factorize(np.concatenate([k for k, _ in parts]))
+    return names, np.bincount(codes, weights=np.concatenate([n for _, n in parts]), minlength=len(names))
+
+
+def _count(docs: DataFrame, n_parts: int) -> DataFrame:
+    """Pieces (block, kind, part, keys, n): words and byte runs that occur in a block, with their times in training texts.
 
     A task adds up what it meets of a block and passes it on at its end, or when it holds ``HELD_ROWS``.
     """
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, names = pd.factorize(np.concatenate([k for k, _ in parts]))
-        return names, np.bincount(codes, weights=np.concatenate([n for _, n in parts]), minlength=len(names))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = WordHasher(), {}
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for (b, kind), parts in held.items():
-                names, n = merged(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(names), b)), pa.array(np.full(len(names), kind, dtype=np.int8)), pa.array(names),
-                     pa.array(n.astype(np.int64))], ["block", "kind", "key", "n"])
+                yield _pieces(b, kind, *_merged(parts), n_parts)
             held.clear()
 
         rows = 0
@@ -121,18 +126,67 @@ def _count(docs: DataFrame) -> DataFrame:
                         mine = np.flatnonzero(block == b)
                         lo, hi = first[mine[0]], first[mine[-1] + 1]
                         weights = np.repeat(train[mine], np.diff(first[mine[0]:mine[-1] + 2])).astype(float)
-                        held.setdefault((int(b), kind), []).append(merged([(keys[lo:hi].view(np.int64), weights)]))
+                        held.setdefault((int(b), kind), []).append(_merged([(keys[lo:hi].view(np.int64), weights)]))
                         rows += len(held[int(b), kind][-1][0])
                 if rows > HELD_ROWS:
                     for k, parts in held.items():
-                        held[k] = [merged(parts)]
+                        held[k] = [_merged(parts)]
                     rows = sum(len(parts[0][0]) for parts in held.values())
                     if rows > HELD_ROWS // 2:
                         yield from passed_on()
                         rows = 0
         yield from passed_on()
 
-    return docs.select("block", "train", "text").mapInArrow(run, "block bigint, kind tinyint, key bigint, n bigint")
+    return docs.select("block", "train", "text").mapInArrow(run, _PIECE)
+
+
+_PIECE = "block bigint, kind tinyint, part int, keys binary, n binary"
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: of sorted or small ones the high bytes take next to no room."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd"), dtype=np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(size)
+
+
+def _stored(values: np.ndarray) -> bytes:
+    """Length and packed numbers."""
+    return len(values).to_bytes(8, "little") + (_pack(values) if len(values) else b"")
+
+
+def _loaded(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return _unpack(data[8:], size, kind) if size else np.zeros(0, dtype=kind)
+
+
+def _root(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 8) & ((1 << (8 * min(ROOT, DEPTH))) - 1)
+
+
+def _pieces(block: int, kind: int, keys: np.ndarray, n: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """One row for each part that the keys fall into."""
+    h = ((_root(keys) if kind == RUNS else keys).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    part = (h % np.uint64(n_parts)).astype(np.int64)
+    order = np.lexsort((keys, part))
+    keys, n, part = keys[order], n[order].astype(np.int64), part[order]
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    cuts = list(zip(at, [*at[1:], len(part)]))
+    columns = [pa.array([block] * len(at), pa.int64()), pa.array([kind] * len(at), pa.int8()), pa.array(part[at], pa.int32()),
+               pa.array([_stored(keys[i:j]) for i, j in cuts], pa.binary()), pa.array([_stored(n[i:j]) for i, j in cuts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "kind", "part", "keys", "n"])
+
+
+def _added_up(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys in order, their counts, place of each piece's keys among them)."""
+    keys = [_loaded(k.as_py(), np.int64) for k in pieces["keys"]]
+    names, codes = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(codes, weights=np.concatenate([_loaded(x.as_py(), np.int64) for x in pieces["n"]]), minlength=len(names))
+    return names, n.astype(np.int64), np.split(codes, np.cumsum([len(k) for k in keys])[:-1])
 
 
 # The context tree -----------------------------------------------------------------------------------------------------
@@ -150,47 +204,158 @@ def _log_kt(a: Column, b: Column) -> Column:
     return F.when(a + b == 0, F.lit(0.0)).otherwise(value)
 
 
-def _decisions(runs: DataFrame) -> DataFrame:
-    """(run, n, node, bit): the eight decisions of a run's last byte; node = context, then the bits known so far."""
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    steps = [F.struct((F.shiftleft(F.shiftright("key", 8), 8) + F.lit(1 << i) + F.shiftright(byte, 8 - i)).alias("node"),
-                      F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).cast("int").alias("bit")) for i in range(8)]
-    return runs.select(F.col("key").alias("run"), "n", F.explode(F.array(*steps)).alias("s")).select("run", "n", "s.node", "s.bit")
+_TABLED = 1 << 14
+_HALF = np.array([lgamma(k + 0.5) for k in range(_TABLED)])
+_WHOLE = np.array([lgamma(k + 1.0) for k in range(_TABLED)])
+
 
+def _stirling(x: np.ndarray) -> np.ndarray:
+    return (x - 0.5) * np.log(x) - x + 0.5 * log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x ** 3)
 
-def _parent(depth: int) -> Column:
-    """The node with the context cut to ``depth`` bytes."""
-    return F.col("node").bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1).cast("long"))
 
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of sequences with a zeros and b ones."""
+    half = lambda x: np.where(x < _TABLED, _HALF[np.minimum(x, _TABLED - 1)], _stirling(x + 0.5))
+    n = a + b
+    return half(a) + half(b) - log(np.pi) - np.where(n < _TABLED, _WHOLE[np.minimum(n, _TABLED - 1)], _stirling(n + 1.0))
+
+
+class Subtrees:
+    """Context trees of one of the eight decisions, from the runs' whole contexts up to their last ``ROOT`` bytes.
+
+    Runs are put in the order of (bits known, nearest context byte, next nearest, ...), in which the runs of every node of every
+    level are next to each other. ``first[d]`` is where the nodes of depth d begin among those of depth d + 1 (for the
+    deepest: among the runs).
+    """
 
-def _levels(decisions: DataFrame) -> list[DataFrame]:
-    """(node, one, beta) by depth: the node's estimate of a one, and the weight of that estimate against longer contexts."""
-    count = lambda bit: F.sum(F.when(F.col("bit") == bit, F.col("n")).otherwise(0)).alias(f"n{bit}")
-    level = decisions.groupBy("node").agg(count(0), count(1)).withColumn("weighted", _log_kt(F.col("n0"), F.col("n1"))).withColumn("beta", F.lit(1.0))
-    out = [settle(level, "tree")]
-    for depth in range(DEPTH - 1, -1, -1):
-        summed = out[0].groupBy(_parent(depth).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-        own = summed.withColumn("own", _log_kt(F.col("n0"), F.col("n1")))
+    def __init__(self, keys: np.ndarray, n: np.ndarray, decision: int):
+        byte, context = keys & 255, keys >> 8
+        near = np.zeros_like(keys)
+        for j in range(DEPTH):
+            near = (near << 8) | ((context >> (8 * j)) & 255)
+        place = ((1 << decision) | (byte >> (8 - decision))) << (8 * DEPTH) | near
+        self.order = np.argsort(place, kind="stable")
+        self.bit = ((byte >> (7 - decision)) & 1)[self.order]
+        self.top = min(ROOT, DEPTH)
+        ids, counted = place[self.order], n[self.order]
+        n0, n1 = np.where(self.bit == 0, counted, 0), np.where(self.bit == 1, counted, 0)
+        self.first, self.one, self.beta, below = {}, {}, {}, None
+        for d in range(DEPTH, self.top - 1, -1):
+            at = np.flatnonzero(np.diff(ids, prepend=-1))
+            n0, n1 = np.add.reduceat(n0, at), np.add.reduceat(n1, at)
+            own = log_kt(n0, n1)
+            if below is None:
+                weighted, beta = own, np.ones(len(at))
+            else:
+                weighted = np.logaddexp(own, np.add.reduceat(below, at)) - log(2)
+                beta = np.exp(own - log(2) - weighted)
+            self.first[d], self.one[d], self.beta[d] = at, (n1 + 0.5) / (n0 + n1 + 1), beta
+            self.nodes, self.n0, self.n1, self.weighted = ids[at], n0, n1, weighted
+            ids, below = ids[at] >> 8, weighted
+
+    def chances(self, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Probability of the bit of every run, in the runs' own order. (p, rest): for each of ``nodes``, the mixture of the levels
+        above and the weight that is left."""
+        size = len(self.order)
+        for d in range(self.top, DEPTH + 1):
+            if d > self.top:
+                spread = np.diff(np.append(self.first[d - 1], len(self.first[d])))
+                p, rest = np.repeat(p, spread), np.repeat(rest, spread)
+            p, rest = p + rest * self.beta[d] * self.one[d], rest * (1 - self.beta[d])
+        p = np.repeat(p, np.diff(np.append(self.first[DEPTH], size)))
+        out = np.empty(size)
+        out[self.order] = np.where(self.bit == 1, p, 1 - p)
+        return out
+
+
+def _roots(pieces: DataFrame) -> DataFrame:
+    """(part, node, n0, n1, weighted) of the roots of all subtrees; of the words of a part one row with node -1, n0 their
+    times in training and n1 how many of them are known."""
+    def up(key: tuple, table: pa.Table) -> pa.Table:
+        kind, part = (x.as_py() for x in key)
+        names, n, _ = _added_up(table)
+        if kind == WORDS:
+            found = [(np.array([-1]), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1))]
+        else:
+            trees = (Subtrees(names, n, i) for i in range(8))
+            found = [(t.nodes, t.n0, t.n1, t.weighted) for t in trees]
+        node, n0, n1, w = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"part": pa.array(np.full(len(node), part), pa.int32()), "node": pa.array(node, pa.int64()), "n0": pa.array(n0, pa.int64()),
+                         "n1": pa.array(n1, pa.int64()), "weighted": pa.array(w, pa.float64())})
+
+    return pieces.groupBy("kind", "part").applyInArrow(up, "part int, node bigint, n0 bigint, n1 bigint, weighted double")
+
+
+def _above(roots: DataFrame) -> DataFrame:
+    """(part, node, p, rest) for the roots of all subtrees: the mixture of the levels above them, built with grouped sums and
+    read from the top down with joins; a level above the roots has at most 255 * 256 ** depth nodes."""
+    top = min(ROOT, DEPTH)
+    own, levels = roots.select("node", "n0", "n1", "weighted"), []
+    for _ in range(top):
+        summed = own.groupBy(F.shiftright("node", 8).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+        kt = _log_kt(F.col("n0"), F.col("n1"))
         both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - log(2)
-        level = own.withColumn("weighted", both).withColumn("beta", F.exp(F.col("own") - log(2) - F.col("weighted")))
-        out.insert(0, settle(level.select("node", "n0", "n1", "weighted", "beta"), "tree"))
-    return [x.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("one"), "beta") for x in out]
+        own = settle(summed.withColumn("own", kt).withColumn("weighted", both).withColumn("beta", F.exp(F.col("own") - log(2) - F.col("weighted"))), "level")
+        levels.insert(0, own.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("one"), "beta"))
+    if not levels:
+        return roots.select("part", "node", F.lit(0.0).alias("p"), F.lit(1.0).alias("rest"))
+    mixed = levels[0].select("node", (F.col("beta") * F.col("one")).alias("p"), (1 - F.col("beta")).alias("rest"))
+    for level in levels[1:]:
+        joined = level.withColumn("up", F.shiftright("node", 8)).join(mixed.withColumnRenamed("node", "up"), "up")
+        mixed = joined.select("node", (F.col("p") + F.col("rest") * F.col("beta") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("beta"))).alias("rest"))
+    joined = roots.select("part", "node", F.shiftright("node", 8).alias("up")).join(mixed.withColumnRenamed("node", "up"), "up")
+    return joined.select("part", "node", "p", "rest")
+
+
+def _values(pieces: DataFrame, roots: DataFrame, run_kind: type) -> DataFrame:
+    """(block, kind, keys, v): the pieces with values in place of counts; of a run the log10 probability of its last byte as
+    ``run_kind``, of a word its times in training."""
+    above = _above(roots.where("node >= 0"))
+
+    def down(table: pa.Table, upper: pa.Table) -> pa.Table:
+        out = []
+        for kind in (WORDS, RUNS):
+            mine = table.filter(pc.equal(table["kind"], kind))
+            if not mine.num_rows:
+                continue
+            names, n, places = _added_up(mine)
+            value = n.astype(float) if kind == WORDS else _log_chances(names, n, upper)
+            kept = [_stored(value[at].astype(np.float64 if kind == WORDS else run_kind)) for at in places]
+            out.append(mine.select(["block", "kind", "keys"]).append_column("v", pa.array(kept, pa.binary())))
+        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int8()), "keys": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+
+    return pieces.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(down, "block bigint, kind tinyint, keys binary, v binary")
+
+
+def _log_chances(keys: np.ndarray, n: np.ndarray, upper: pa.Table) -> np.ndarray:
+    node, p, rest = (upper[c].to_numpy() for c in ("node", "p", "rest"))
+    order = np.argsort(node)
+    node, p, rest = node[order], p[order], rest[order]
+    value = np.zeros(len(keys))
+    for i in range(8):
+        tree = Subtrees(keys, n, i)
+        at = np.searchsorted(node, tree.nodes)
+        value += np.log10(tree.chances(p[at], rest[at]))
+    return value
 
 
 def run_scores(runs: DataFrame) -> DataFrame:
     """(key, value): log10 probability of the last byte of every run, given the bytes before; ``runs``: (key, n in training).
 
     Runs that training lacks are nodes without counts, which leave all weights as they are."""
-    decisions = _decisions(runs)
-    levels = _levels(decisions)
-    mixed = levels[0].select("node", (F.col("beta") * F.col("one")).alias("p"), (1 - F.col("beta")).alias("rest"))
-    for depth in range(1, DEPTH + 1):
-        upper = mixed.withColumnRenamed("node", "up")
-        joined = levels[depth].withColumn("up", _parent(depth - 1)).join(upper, "up")
-        mixed = joined.select("node", (F.col("p") + F.col("rest") * F.col("beta") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("beta"))).alias("rest"))
-    chance = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    met = decisions.join(mixed.select("node", "p"), "node")
-    return met.groupBy(F.col("run").alias("key")).agg(F.sum(F.log10(chance)).alias("value"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _pieces(0, RUNS, *_merged([(batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(float))]), 1)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, v in zip(batch.column("keys"), batch.column("v")):
+                yield pa.RecordBatch.from_arrays([pa.array(_loaded(k.as_py(), np.int64)), pa.array(_loaded(v.as_py(), np.float64))], ["key", "value"])
+
+    pieces = settle(runs.select("key", "n").mapInArrow(pack, _PIECE), "pieces")
+    found = _values(pieces, settle(_roots(pieces), "roots"), np.float64)
+    return found.select("keys", "v").mapInArrow(unpack, "key bigint, value double").distinct()
 
 
 # Scores ---------------------------------------------------------------------------------------------------------------
@@ -199,7 +364,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """(``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     Learns from the rows that meet ``train`` (NULL: no), over whole texts with A-Z in lower case. score: log10 probability
-    of the text and its end under the context trees; bits_per_byte: the same as code length. base_score: sum over words and
+    of the text and its end under the context trees, added up from bytes' values of seven digits; bits_per_byte: the same as code length. base_score: sum over words and
     one end of log10((c + 0.1) / (N + 0.1 (V + 1))), with c, N and V as counted in training; n_known: tokens with c > 0.
 
     A NULL or empty text is its end alone. Repeated rows are learned as often as they come and scored alike. Without
@@ -208,23 +373,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     rows = rows.withColumn("block", _blocks(rows))
     parts = _parts(rows)
-    found = settle(_count(rows), "counts")
-    totals = settle(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "totals")
-    words = totals.where(F.col("kind") == WORDS)
-    seen = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    bytes_in_all = rows.agg(F.sum(_size()).alias("n")).first()["n"] or 0
+    pieces = settle(_count(rows, max(1, ceil(bytes_in_all / PART_BYTES))), "pieces")
+    roots = settle(_roots(pieces), "roots")
+    seen = roots.where("node = -1").agg(F.sum("n0").alias("n"), F.sum("n1").alias("v")).first()
     ends = rows.where("train").count()
-    train_tokens, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value"))
-    runs = run_scores(totals.where(F.col("kind") == RUNS).select("key", "n"))
-    values = values.unionByName(runs.select(F.lit(RUNS).cast("tinyint").alias("kind"), "key", "value"))
-    values = settle(values, "values")
-    slices = found.select("block", "kind", "key").join(values, ["kind", "key"])
-    slices = slices.select(F.col("block").alias("of"), (F.lit(0) if parts is None else F.explode(F.sequence(F.lit(0), parts - 1))).alias("of_part"), "kind", "key", "value")
+    train_tokens, distinct = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)
+    every = F.lit(0) if parts is None else F.explode(F.sequence(F.lit(0), parts - 1))
+    slices = _values(pieces, roots, np.float32).select("block", every.alias("of_part"), "kind", "keys", "v").withColumnRenamed("block", "of")
     floor = log10(train_tokens + 0.1 * (distinct + 1))
     end = log10(ends + 0.1), int(ends > 0)
 
     def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        look_up = [_lookup(model.filter(pc.equal(model["kind"], k)).select(["key", "value"])) for k in (WORDS, RUNS)]
+        look_up = [_lookup(model.filter(pc.equal(model["kind"], k)), np.float64 if k == WORDS else np.float32) for k in (WORDS, RUNS)]
         hasher, out = WordHasher(), []
         for batch in texts.to_batches():
             for part in row_chunks(batch, "text", 2 << 20):
@@ -246,9 +407,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     return rows.groupBy("block", "part").cogroup(slices.groupBy("of", "of_part")).applyInArrow(run, schema)
 
 
-def _lookup(model: pa.Table):
+def _lookup(model: pa.Table, value: type):
     """Function from keys to values; every key that is asked for is in the table."""
-    keys, values = model["key"].to_numpy(), model["value"].to_numpy()
+    keys = np.concatenate([np.zeros(0, dtype=np.int64), *[_loaded(k.as_py(), np.int64) for k in model["keys"]]])
+    values = np.concatenate([np.zeros(0), *[_loaded(v.as_py(), value).astype(float) for v in model["v"]]])
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
 
