@@ -43,6 +43,9 @@ PART_BYTES = 32 << 20
 #: Counted words and byte runs that a task holds before it passes them on.
 HELD_ROWS = 2_000_000
 
+#: Bytes of text whose words and runs are looked up at a time.
+CHUNK_BYTES = 4 << 20
+
 WORDS, RUNS = 0, 1
 _RUN = DEPTH + 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -154,6 +157,14 @@ def _unpack(data: bytes, size: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(size)
 
 
+def _near_first(keys: np.ndarray) -> np.ndarray:
+    """Runs with the nearest context byte in the highest place: in that order neighbours share more, and they pack better."""
+    near = np.zeros_like(keys)
+    for j in range(DEPTH):
+        near = (near << 8) | ((keys >> (8 + 8 * j)) & 255)
+    return (near << 8) | (keys & 255)
+
+
 def _stored(values: np.ndarray) -> bytes:
     """Length and packed numbers."""
     return len(values).to_bytes(8, "little") + (_pack(values) if len(values) else b"")
@@ -168,10 +179,15 @@ def _root(keys: np.ndarray) -> np.ndarray:
     return (keys >> 8) & ((1 << (8 * min(ROOT, DEPTH))) - 1)
 
 
-def _pieces(block: int, kind: int, keys: np.ndarray, n: np.ndarray, n_parts: int) -> pa.RecordBatch:
-    """One row for each part that the keys fall into."""
+def _part(kind: int, keys: np.ndarray, n_parts: int) -> np.ndarray:
     h = ((_root(keys) if kind == RUNS else keys).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    part = (h % np.uint64(n_parts)).astype(np.int64)
+    return (h % np.uint64(n_parts)).astype(np.int64)
+
+
+def _pieces(block: int, kind: int, keys: np.ndarray, n: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """One row for each part that the keys fall into. Runs are stored nearest byte first (``_near_first`` undoes itself)."""
+    part = _part(kind, keys, n_parts)
+    keys = _near_first(keys) if kind == RUNS else keys
     order = np.lexsort((keys, part))
     keys, n, part = keys[order], n[order].astype(np.int64), part[order]
     at = np.flatnonzero(np.diff(part, prepend=-1))
@@ -268,22 +284,33 @@ class Subtrees:
         return out
 
 
-def _roots(pieces: DataFrame) -> DataFrame:
+_ROOT = "part int, node bigint, n0 bigint, n1 bigint, weighted double, block bigint, keys binary, v binary"
+
+
+def _roots(pieces: DataFrame, with_keys: bool = True) -> DataFrame:
     """(part, node, n0, n1, weighted) of the roots of all subtrees; of the words of a part one row with node -1, n0 their
-    times in training and n1 how many of them are known."""
+    times in training and n1 how many of them are known, and a row with node -2 for each block: v holds the training counts of
+    the block's words of this part, in order of ``keys``, which are left out unless ``with_keys``."""
     def up(key: tuple, table: pa.Table) -> pa.Table:
         kind, part = (x.as_py() for x in key)
-        names, n, _ = _added_up(table)
-        if kind == WORDS:
-            found = [(np.array([-1]), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1))]
+        names, n, places = _added_up(table)
+        if kind == RUNS:
+            trees = (Subtrees(_near_first(names), n, i) for i in range(8))
+            node, n0, n1, w = (np.concatenate(c) for c in zip(*((t.nodes, t.n0, t.n1, t.weighted) for t in trees)))
+            none = [pa.nulls(len(node), t) for t in (pa.int64(), pa.binary(), pa.binary())]
         else:
-            trees = (Subtrees(names, n, i) for i in range(8))
-            found = [(t.nodes, t.n0, t.n1, t.weighted) for t in trees]
-        node, n0, n1, w = (np.concatenate(c) for c in zip(*found))
-        return pa.table({"part": pa.array(np.full(len(node), part), pa.int32()), "node": pa.array(node, pa.int64()), "n0": pa.array(n0, pa.int64()),
-                         "n1": pa.array(n1, pa.int64()), "weighted": pa.array(w, pa.float64())})
+            met: dict[int, list[np.ndarray]] = {}
+            for block, at in zip(table["block"].to_pylist(), places):
+                met.setdefault(block, []).append(at)
+            mine = {block: np.unique(np.concatenate(at)) for block, at in met.items()}
+            node, n0, n1, w = np.array([-1] + [-2] * len(mine)), np.zeros(len(mine) + 1), np.zeros(len(mine) + 1), np.zeros(len(mine) + 1)
+            n0[0], n1[0] = n.sum(), (n > 0).sum()
+            none = [pa.array([None, *mine], pa.int64()), pa.array([None, *(_stored(names[at]) if with_keys else None for at in mine.values())], pa.binary()),
+                    pa.array([None, *(_stored(n[at]) for at in mine.values())], pa.binary())]
+        columns = [pa.array(np.full(len(node), part), pa.int32()), pa.array(node, pa.int64()), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64)), pa.array(w)]
+        return pa.Table.from_arrays([*columns, *none], names=["part", "node", "n0", "n1", "weighted", "block", "keys", "v"])
 
-    return pieces.groupBy("kind", "part").applyInArrow(up, "part int, node bigint, n0 bigint, n1 bigint, weighted double")
+    return pieces.groupBy("kind", "part").applyInArrow(up, _ROOT)
 
 
 def _above(roots: DataFrame) -> DataFrame:
@@ -307,24 +334,20 @@ def _above(roots: DataFrame) -> DataFrame:
     return joined.select("part", "node", "p", "rest")
 
 
-def _values(pieces: DataFrame, roots: DataFrame, run_kind: type) -> DataFrame:
-    """(block, kind, keys, v): the pieces with values in place of counts; of a run the log10 probability of its last byte as
-    ``run_kind``, of a word its times in training."""
+def _values(pieces: DataFrame, roots: DataFrame, value: type) -> DataFrame:
+    """(block, part, keys, v): the runs' pieces with values in place of counts: of a run the log10 probability of its last byte."""
     above = _above(roots.where("node >= 0"))
 
     def down(table: pa.Table, upper: pa.Table) -> pa.Table:
-        out = []
-        for kind in (WORDS, RUNS):
-            mine = table.filter(pc.equal(table["kind"], kind))
-            if not mine.num_rows:
-                continue
-            names, n, places = _added_up(mine)
-            value = n.astype(float) if kind == WORDS else _log_chances(names, n, upper)
-            kept = [_stored(value[at].astype(np.float64 if kind == WORDS else run_kind)) for at in places]
-            out.append(mine.select(["block", "kind", "keys"]).append_column("v", pa.array(kept, pa.binary())))
-        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int8()), "keys": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+        if not table.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+        names, n, places = _added_up(table)
+        chances = _log_chances(_near_first(names), n, upper)
+        kept = [_stored(chances[at].astype(value)) for at in places]
+        return table.select(["block", "part", "keys"]).append_column("v", pa.array(kept, pa.binary()))
 
-    return pieces.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(down, "block bigint, kind tinyint, keys binary, v binary")
+    runs = pieces.where(F.col("kind") == RUNS).select("block", "part", "keys", "n")
+    return runs.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(down, "block bigint, part int, keys binary, v binary")
 
 
 def _log_chances(keys: np.ndarray, n: np.ndarray, upper: pa.Table) -> np.ndarray:
@@ -351,7 +374,7 @@ def run_scores(runs: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, v in zip(batch.column("keys"), batch.column("v")):
-                yield pa.RecordBatch.from_arrays([pa.array(_loaded(k.as_py(), np.int64)), pa.array(_loaded(v.as_py(), np.float64))], ["key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(_near_first(_loaded(k.as_py(), np.int64))), pa.array(_loaded(v.as_py(), np.float64))], ["key", "value"])
 
     pieces = settle(runs.select("key", "n").mapInArrow(pack, _PIECE), "pieces")
     found = _values(pieces, settle(_roots(pieces), "roots"), np.float64)
@@ -374,30 +397,36 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows = rows.withColumn("block", _blocks(rows))
     parts = _parts(rows)
     bytes_in_all = rows.agg(F.sum(_size()).alias("n")).first()["n"] or 0
-    pieces = settle(_count(rows, max(1, ceil(bytes_in_all / PART_BYTES))), "pieces")
-    roots = settle(_roots(pieces), "roots")
+    n_parts = max(1, ceil(bytes_in_all / PART_BYTES))
+    pieces = settle(_count(rows, n_parts), "pieces")
+    roots = settle(_roots(pieces, parts is not None), "roots")
     seen = roots.where("node = -1").agg(F.sum("n0").alias("n"), F.sum("n1").alias("v")).first()
     ends = rows.where("train").count()
     train_tokens, distinct = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)
     every = F.lit(0) if parts is None else F.explode(F.sequence(F.lit(0), parts - 1))
-    slices = _values(pieces, roots, np.float32).select("block", every.alias("of_part"), "kind", "keys", "v").withColumnRenamed("block", "of")
+    slices = _values(pieces, roots, np.float32).withColumn("kind", F.lit(RUNS)).unionByName(
+        roots.where("node = -2").select("block", "part", "keys", "v", F.lit(WORDS).alias("kind")))
+    slices = slices.select(F.col("block").alias("of"), every.alias("of_part"), "kind", "part", "keys", "v")
     floor = log10(train_tokens + 0.1 * (distinct + 1))
     end = log10(ends + 0.1), int(ends > 0)
 
     def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        look_up = [_lookup(model.filter(pc.equal(model["kind"], k)), np.float64 if k == WORDS else np.float32) for k in (WORDS, RUNS)]
+        if not texts.num_rows:
+            kinds = [texts.schema.field("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+            return pa.schema(list(zip(names, kinds))).empty_table()
         hasher, out = WordHasher(), []
-        for batch in texts.to_batches():
-            for part in row_chunks(batch, "text", 2 << 20):
-                words, first = hasher(part.column("text"))
-                c = look_up[WORDS](words)
-                n = np.diff(first)
-                base = _sums(np.log10(c + 0.1), first) + end[0] - (n + 1) * floor
-                runs, at = byte_runs(part.column("text"))
-                score = _sums(look_up[RUNS](runs), at)
-                out.append(pa.RecordBatch.from_arrays(
-                    [part.column("id"), pc.invert(part.column("train")), pa.array(n + 1), pa.array(_sums(c > 0, first).astype(np.int64) + end[1]),
-                     pa.array(np.full(len(n), train_tokens)), pa.array(base), pa.array(score), pa.array(-score / log10(2) / np.diff(at))], names))
+        chunks = [part for batch in texts.to_batches() for part in row_chunks(batch, "text", CHUNK_BYTES)]
+        hashed = [hasher(part.column("text")) for part in chunks]
+        counts = _word_counts([h for h, _ in hashed], model.filter(pc.equal(model["kind"], WORDS)), n_parts)
+        value_of = _run_values(model.filter(pc.equal(model["kind"], RUNS)))
+        for part, (_, first), c in zip(chunks, hashed, counts):
+            n = np.diff(first)
+            base = _sums(np.log10(c + 0.1), first) + end[0] - (n + 1) * floor
+            runs, at = byte_runs(part.column("text"))
+            score = _sums(value_of(runs), at)
+            out.append(pa.RecordBatch.from_arrays(
+                [part.column("id"), pc.invert(part.column("train")), pa.array(n + 1), pa.array(_sums(c > 0, first).astype(np.int64) + end[1]),
+                 pa.array(np.full(len(n), train_tokens)), pa.array(base), pa.array(score), pa.array(-score / log10(2) / np.diff(at))], names))
         return pa.Table.from_batches(out)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -407,16 +436,39 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     return rows.groupBy("block", "part").cogroup(slices.groupBy("of", "of_part")).applyInArrow(run, schema)
 
 
-def _lookup(model: pa.Table, value: type):
-    """Function from keys to values; every key that is asked for is in the table."""
-    keys = np.concatenate([np.zeros(0, dtype=np.int64), *[_loaded(k.as_py(), np.int64) for k in model["keys"]]])
-    values = np.concatenate([np.zeros(0), *[_loaded(v.as_py(), value).astype(float) for v in model["v"]]])
-    order = np.argsort(keys, kind="stable")
+def _word_counts(hashed: list[np.ndarray], model: pa.Table, n_parts: int) -> list[np.ndarray]:
+    """Training count of every word of a block's chunks.
+
+    Without keys the counts are those of all distinct words of the block, by part and key, which its texts give again.
+    """
+    codes, names = pd.factorize(np.concatenate(hashed).view(np.int64))
+    model = model.sort_by("part")
+    values = [_loaded(v.as_py(), np.int64) for v in model["v"]]
+    if model.num_rows and model["keys"][0].is_valid:
+        keys, counts = np.concatenate([_loaded(k.as_py(), np.int64) for k in model["keys"]]), np.concatenate(values)
+        order = np.argsort(keys, kind="stable")
+        found = counts[order][np.searchsorted(keys[order], names)]
+    else:
+        found = np.empty(len(names), dtype=np.int64)
+        found[np.lexsort((names, _part(WORDS, names, n_parts)))] = np.concatenate([np.zeros(0, dtype=np.int64), *values])
+    return np.split(found[codes], np.cumsum([len(h) for h in hashed])[:-1])
+
+
+def _run_values(model: pa.Table):
+    """Function from runs to values; every run that is asked for is in the table."""
+    keys = np.concatenate([np.zeros(0, dtype=np.int64), *[_near_first(_loaded(k.as_py(), np.int64)) for k in model["keys"]]])
+    values = np.concatenate([np.zeros(0, dtype=np.float32), *[_loaded(v.as_py(), np.float32) for v in model["v"]]])
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
 
     def find(wanted: np.ndarray) -> np.ndarray:
-        codes, names = pd.factorize(wanted.view(np.int64))
-        return values[np.searchsorted(keys, names)][codes] if len(names) else np.zeros(0)
+        codes, names = pd.factorize(wanted)
+        if not len(names):
+            return np.zeros(0)
+        order = np.argsort(names)
+        found = np.empty(len(names))
+        found[order] = values[np.searchsorted(keys, names[order])]
+        return found[codes]
 
     return find
 
