@@ -33,7 +33,7 @@ from panelwright.sources.writers import settle
 
 #: 7 bytes a run leave room in a 64-bit key; every byte of depth multiplies the distinct runs.
 DEPTH = 6
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 MAX_RANGES = 4096
 
 #: Context bytes that name a subtree, and bytes of text for each part that subtrees and words are dealt to.
@@ -44,7 +44,7 @@ PART_BYTES = 32 << 20
 HELD_ROWS = 2_000_000
 
 #: Bytes of text whose words and runs are looked up at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 WORDS, RUNS = 0, 1
 _RUN = DEPTH + 1
@@ -91,11 +91,12 @@ def byte_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
     begin = np.concatenate([[0], np.cumsum(sizes + _RUN)])
-    padded = np.zeros(begin[-1], dtype=np.int64)
+    padded = np.zeros(begin[-1], dtype=np.uint8)
     padded[np.arange(len(data)) + np.repeat(begin[:-1] + DEPTH - (offsets[:-1] - offsets[0]), sizes)] = _LOWER[data]
     runs = np.zeros(max(0, len(padded) - DEPTH), dtype=np.int64)
     for j in range(_RUN):
-        runs = (runs << 8) | padded[j:len(padded) - DEPTH + j]
+        runs <<= 8
+        runs |= padded[j:len(padded) - DEPTH + j]
     real = np.ones(len(padded), dtype=bool)
     real[(begin[:-1][:, None] + np.arange(DEPTH)).reshape(-1)] = False
     return runs[real[DEPTH:]], np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -161,8 +162,11 @@ def _near_first(keys: np.ndarray) -> np.ndarray:
     """Runs with the nearest context byte in the highest place: in that order neighbours share more, and they pack better."""
     near = np.zeros_like(keys)
     for j in range(DEPTH):
-        near = (near << 8) | ((keys >> (8 + 8 * j)) & 255)
-    return (near << 8) | (keys & 255)
+        near <<= 8
+        near |= (keys >> (8 + 8 * j)) & 255
+    near <<= 8
+    near |= keys & 255
+    return near
 
 
 def _stored(values: np.ndarray) -> bytes:
@@ -416,10 +420,16 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             return pa.schema(list(zip(names, kinds))).empty_table()
         hasher, out = WordHasher(), []
         chunks = [part for batch in texts.to_batches() for part in row_chunks(batch, "text", CHUNK_BYTES)]
-        hashed = [hasher(part.column("text")) for part in chunks]
-        counts = _word_counts([h for h, _ in hashed], model.filter(pc.equal(model["kind"], WORDS)), n_parts)
+        coded, firsts = [], []
+        for part in chunks:
+            words, first = hasher(part.column("text"))
+            codes, found = pd.factorize(words.view(np.int64))
+            coded.append((codes.astype(np.int32), found))
+            firsts.append(first)
+        counts = _word_counts(coded, model.filter(pc.equal(model["kind"], WORDS)), n_parts)
         value_of = _run_values(model.filter(pc.equal(model["kind"], RUNS)))
-        for part, (_, first), c in zip(chunks, hashed, counts):
+        del model
+        for part, first, c in zip(chunks, firsts, counts):
             n = np.diff(first)
             base = _sums(np.log10(c + 0.1), first) + end[0] - (n + 1) * floor
             runs, at = byte_runs(part.column("text"))
@@ -436,22 +446,23 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     return rows.groupBy("block", "part").cogroup(slices.groupBy("of", "of_part")).applyInArrow(run, schema)
 
 
-def _word_counts(hashed: list[np.ndarray], model: pa.Table, n_parts: int) -> list[np.ndarray]:
-    """Training count of every word of a block's chunks.
+def _word_counts(coded: list[tuple[np.ndarray, np.ndarray]], model: pa.Table, n_parts: int) -> Iterator[np.ndarray]:
+    """Training count of every word of a block's chunks, given as (code of every word, distinct words); chunk by chunk.
 
     Without keys the counts are those of all distinct words of the block, by part and key, which its texts give again.
     """
-    codes, names = pd.factorize(np.concatenate(hashed).view(np.int64))
+    names = np.unique(np.concatenate([found for _, found in coded]))
     model = model.sort_by("part")
-    values = [_loaded(v.as_py(), np.int64) for v in model["v"]]
+    values = np.concatenate([np.zeros(0, dtype=np.int64), *[_loaded(v.as_py(), np.int64) for v in model["v"]]])
     if model.num_rows and model["keys"][0].is_valid:
-        keys, counts = np.concatenate([_loaded(k.as_py(), np.int64) for k in model["keys"]]), np.concatenate(values)
+        keys = np.concatenate([_loaded(k.as_py(), np.int64) for k in model["keys"]])
         order = np.argsort(keys, kind="stable")
-        found = counts[order][np.searchsorted(keys[order], names)]
+        count = values[order][np.searchsorted(keys[order], names)]
     else:
-        found = np.empty(len(names), dtype=np.int64)
-        found[np.lexsort((names, _part(WORDS, names, n_parts)))] = np.concatenate([np.zeros(0, dtype=np.int64), *values])
-    return np.split(found[codes], np.cumsum([len(h) for h in hashed])[:-1])
+        count = np.empty(len(names), dtype=np.int64)
+        count[np.lexsort((names, _part(WORDS, names, n_parts)))] = values
+    for codes, found in coded:
+        yield count[np.searchsorted(names, found)][codes]
 
 
 def _run_values(model: pa.Table):
@@ -460,6 +471,7 @@ def _run_values(model: pa.Table):
     values = np.concatenate([np.zeros(0, dtype=np.float32), *[_loaded(v.as_py(), np.float32) for v in model["v"]]])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
+    del order
 
     def find(wanted: np.ndarray) -> np.ndarray:
         codes, names = pd.factorize(wanted)
