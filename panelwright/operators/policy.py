@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright import constants as C
 from panelwright.functions.recode import recode
+from panelwright.operators.intervals import interval_join
 from panelwright.operators.skew import broadcast_if_small
 
 
@@ -22,11 +23,12 @@ def policy_table(spark: SparkSession) -> DataFrame:
 
 
 def attach_policy(panel: DataFrame, policy: DataFrame, run_month: str) -> DataFrame:
-    """Add ``parity`` (ever), ``parity_month`` (in force) and ``parity_group``. ``policy``: one row per state."""
+    """Add ``parity`` (ever), ``parity_month`` (in force) and ``parity_group``. ``policy``: one row per state; several are an error (``attach_episodes`` takes them)."""
     on_or_after = F.coalesce(F.col(run_month) >= F.col("start_run"), F.lit(True))
     on_or_before = F.coalesce(F.col(run_month) <= F.col("end_run"), F.lit(True))
     ever = F.col("policy_group").isNotNull()
-    joined = panel.join(broadcast_if_small(policy), "state", "left")
+    one = policy.groupBy("state").agg(*[F.any_value(c).alias(c) for c in ("start_run", "end_run", "policy_group")], F.count(F.lit(1)).alias("_n"))
+    joined = panel.join(broadcast_if_small(one, reject=F.col("_n") > 1).drop("_n"), "state", "left")
     return joined.withColumns({
         "parity": ever,
         "parity_month": ever & on_or_after & on_or_before,
@@ -34,6 +36,22 @@ def attach_policy(panel: DataFrame, policy: DataFrame, run_month: str) -> DataFr
     }).drop("start_run", "end_run", "policy_group")
 
 
+def attach_episodes(panel: DataFrame, episodes: DataFrame, run_month: str) -> DataFrame:
+    """Policies that start, stop and start again: adds ``parity`` (ever), ``parity_month`` (in force), ``episode`` (number in the
+    state, from 1), ``months_in`` (since the episode's start; NULL where that is open) and ``parity_group`` (of the first episode).
+
+    ``episodes``: (state, start_run, end_run, policy_group), any number per state, ends included, NULL open. Two that overlap
+    are an error. A panel row comes out once.
+    """
+    order = Window.partitionBy("state").orderBy(F.col("start_run").asc_nulls_first())
+    numbered = episodes.select("state", "start_run", "end_run", F.row_number().over(order).alias("episode"))
+    first = F.struct(F.coalesce("start_run", F.lit(-(2 ** 31))).alias("s"), "policy_group")
+    ever = episodes.groupBy("state").agg(F.min(first)["policy_group"].alias("_group"))
+    joined = interval_join(panel, numbered, ["state"], run_month, "start_run", "end_run").join(broadcast_if_small(ever), "state", "left")
+    return joined.select(*panel.columns, F.col("_group").isNotNull().alias("parity"), F.col("episode").isNotNull().alias("parity_month"), "episode",
+                         (F.col(run_month) - F.col("start_run")).alias("months_in"), F.coalesce("_group", F.lit(C.GROUP_NEVER)).alias("parity_group"))
+
+
 def policy_start_label(state: Column) -> Column:
     """Display label of the policy start."""
     return (

@@ -10,11 +10,13 @@ from panelwright.functions.codes import clean_code
 from panelwright.functions.dates import month_start, parse_visit_date, quarter_label, run_month, run_quarter
 from panelwright.functions.means import safe_log
 from panelwright.functions.recode import band, flag
-from panelwright.operators import cleaning, describe, panel, patient_days, policy, quantiles, shares
+from panelwright.functions.sql_functions import register_cause_days, register_means
+from panelwright.operators import batches, cleaning, describe, panel, patient_days, policy, quantiles, shares
 from panelwright.plans.registry import query
 from panelwright.plans.role_sql import CLEAN_DX, case, lenient_wmean, quote, r6, strict_mean, strict_wmean
 from panelwright.plans.roles import STUDY, Roles
 from panelwright.plans.study import PATIENT
+from panelwright.sources.writers import fresh_path
 
 # --- cohort ---------------------------------------------------------------------------------------------------------
 
@@ -95,6 +97,86 @@ def causes_regrouped(t: Roles) -> DataFrame:
     return patient_days.cause_share(merged, keys, "family_name", "units")
 
 
+@query("ptdays_by_cause_lateral", "UDF-1", "UDF-2", "OP-6", sql=f"""
+    SELECT cast(plot_date AS varchar) AS plot_date, family_name, {r6('weight')} AS weight, {r6('prop')} AS prop
+    FROM cause_share WHERE NOT remote""")
+def ptdays_by_cause_lateral(t: Roles) -> DataFrame:
+    """The table function of the study, called from SQL for every month at once."""
+    weights = t.study.care_weights.where("care_type = 'In-Person'")
+    register_cause_days(t.spark, "ptdays_by_cause", weights, "panelwright_in_person_weights")
+    return t.spark.sql("""
+        SELECT m.plot_date, d.family_name, d.weight, d.prop
+        FROM (SELECT DISTINCT plot_date FROM panelwright_in_person_weights) m, LATERAL ptdays_by_cause(m.plot_date) d""")
+
+
+@query("means_from_sql", "UDF-2", "AGG-7", "AGG-8", sql=f"""
+    SELECT state, {r6("CASE WHEN count(mental_telehealth) = count(*) THEN avg(mental_telehealth) END")} AS strict, {r6('avg(mental_telehealth)')} AS lenient,
+           {r6("CASE WHEN count(*) FILTER (WHERE mental_telehealth IS NULL) = 0 THEN sum(mental_telehealth * mpatients) / sum(mpatients) END")} AS strict_w,
+           {r6("sum(mental_telehealth * mpatients) / nullif(sum(mpatients) FILTER (WHERE mental_telehealth IS NOT NULL), 0)")} AS lenient_w
+    FROM network_months GROUP BY state""")
+def means_from_sql(t: Roles) -> DataFrame:
+    register_means(t.spark)
+    t.study.network_months.createOrReplaceTempView("panelwright_network_months")
+    return t.spark.sql("""
+        SELECT state, strict_mean(sum(x), count(x), count(*)) AS strict, lenient_mean(sum(x), count(x)) AS lenient,
+               strict_weighted_mean(sum(x * w), sum(w), count_if(x IS NULL)) AS strict_w,
+               lenient_weighted_mean(sum(x * w), sum(w) FILTER (WHERE x IS NOT NULL)) AS lenient_w
+        FROM (SELECT state, mental_telehealth AS x, CAST(mpatients AS DOUBLE) AS w FROM panelwright_network_months) GROUP BY state""")
+
+
+RUN_MONTHS = [f"{STUDY.years[0]}-0{m}-01" for m in (1, 2, 3)]
+
+
+@query("months_taken_up_again", "OP-6", "SET-3", "SNK-5", sql=f"""
+    SELECT cast(plot_date AS varchar) AS plot_date, family_name, {r6('weight')} AS weight, {r6('prop')} AS prop,
+           CASE WHEN plot_date = date '{RUN_MONTHS[1]}' THEN 2 ELSE 1 END AS attempt
+    FROM cause_share WHERE NOT remote AND plot_date IN ({', '.join(f"date '{m}'" for m in RUN_MONTHS)})""")
+def months_taken_up_again(t: Roles) -> DataFrame:
+    """Three months of in-person care: the second one fails in the first run, the second run does only that one."""
+    facts, out, book = (fresh_path(t.spark, label) for label in ("facts", "months", "ledger"))
+    batches.lay_out(t.study.care_rows(False).withColumn("plot_date", month_start(F.col("visit_date"))), "plot_date", facts)
+    ledger, attempts = batches.Ledger(t.spark, book), {}
+
+    def compute(rows: DataFrame) -> DataFrame:
+        month = rows.select("plot_date").first()["plot_date"].isoformat()
+        attempts[month] = attempts.get(month, 0) + 1
+        if month == RUN_MONTHS[1] and attempts[month] == 1:
+            raise RuntimeError("cut off")
+        return t.study.cause_shares(rows.drop("plot_date")).drop("remote").withColumn("attempt", F.lit(attempts[month]))
+
+    try:
+        batches.run_months(t.spark, facts, "plot_date", RUN_MONTHS, compute, out, ledger)
+    except batches.MonthFailed as failure:
+        assert list(failure.months) == [RUN_MONTHS[1]]
+    batches.run_months(t.spark, facts, "plot_date", RUN_MONTHS, compute, out, ledger)
+    return t.spark.read.parquet(out).drop("batch")
+
+
+#: A stop and a new start for every state with a policy window: in force for six months, off for three, then on for good.
+EPISODE_MONTHS, EPISODE_GAP = 6, 3
+
+
+@query("policy_episodes", "OP-13", "JN-9", sql=f"""
+    WITH episodes AS (
+      SELECT state, start_run, start_run + {EPISODE_MONTHS - 1} AS end_run, 1 AS episode, policy_group FROM policy WHERE start_run IS NOT NULL
+      UNION ALL SELECT state, start_run + {EPISODE_MONTHS + EPISODE_GAP}, NULL, 2, policy_group FROM policy WHERE start_run IS NOT NULL
+      UNION ALL SELECT state, NULL, end_run, 1, policy_group FROM policy WHERE start_run IS NULL),
+    rows AS (SELECT client_id, month, state, cast((year(month) - {STUDY.anchor.year}) * 12 + month(month) - {STUDY.anchor.month} AS int) AS run_month
+             FROM network_months)
+    SELECT client_id, month::varchar AS month, p.state IS NOT NULL AS parity, e.state IS NOT NULL AS parity_month, e.episode::int AS episode,
+           (run_month - e.start_run)::int AS months_in, coalesce(p.policy_group, '{C.GROUP_NEVER}') AS parity_group
+    FROM rows r LEFT JOIN episodes e ON e.state = r.state AND run_month >= coalesce(start_run, run_month) AND run_month <= coalesce(end_run, run_month)
+         LEFT JOIN policy p ON p.state = r.state""")
+def policy_episodes(t: Roles) -> DataFrame:
+    table = policy.policy_table(t.spark)
+    first = table.where("start_run IS NOT NULL").withColumn("end_run", F.col("start_run") + EPISODE_MONTHS - 1)
+    again = table.where("start_run IS NOT NULL").withColumns({"start_run": F.col("start_run") + EPISODE_MONTHS + EPISODE_GAP, "end_run": F.lit(None).cast("int")})
+    episodes = first.unionByName(again).unionByName(table.where("start_run IS NULL"))
+    rows = t.study.network_months.withColumn("run_month", run_month(F.col("month"), STUDY.anchor))
+    out = policy.attach_episodes(rows, episodes, "run_month")
+    return out.select("client_id", "month", "parity", "parity_month", "episode", "months_in", "parity_group")
+
+
 @query("resolved_code_map", "OP-3", "OP-4", sql="""
     SELECT icd_code AS dx,
            CASE WHEN b THEN n_acause ELSE t_acause END AS acause, CASE WHEN b THEN n_name ELSE t_name END AS icd_name
