@@ -38,7 +38,7 @@ MAX_RANGES = 4096
 
 #: Context bytes that name a subtree, and bytes of text for each part that subtrees and words are dealt to.
 ROOT = 3
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 
 #: Counted words and byte runs that a task holds before it passes them on.
 HELD_ROWS = 2_000_000
