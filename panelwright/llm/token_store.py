@@ -7,14 +7,17 @@ what comes before, so that a block is decoded in all lanes at once from one tabl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.llm.text import row_chunks
 from panelwright.sources.writers import settle
 
 MAX_BITS = 18
@@ -143,21 +146,27 @@ class _WordEncoder(dict):
         cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), begins)
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    def table(self, stems: list[bytes]) -> list[bytes]:
+        """Ids of every stem; those not met by this worker are encoded first."""
+        known = self.stems
+        if len(known) > CACHED_STEMS:
+            known.clear()
+        known[b""] = b""
+        new = [x for x in dict.fromkeys(stems) if x not in known]
+        for i in range(0, len(new), 4096):
+            known.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
+        return [known[x] for x in stems]
+
     def learn(self, found: set[bytes]) -> None:
         if len(self) > CACHED_FORMS:
             self.clear()
-        if len(self.stems) > CACHED_STEMS:
-            self.stems.clear()
         pending = []
         for w in found.difference(self):
             stem = w.rstrip(MARKS)
             pending.append((w, stem, w[len(stem):]) if stem[-1:].isalpha() and b"<" not in w else (w, w, b""))
-        stems = self.stems
-        new = list({stem for _, stem, _ in pending}.union(mark for _, _, mark in pending if mark).difference(stems))
-        for i in range(0, len(new), 4096):
-            stems.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
-        for w, stem, mark in pending:
-            self[w] = stems[stem] + stems[mark] if mark else stems[stem]
+        ids = self.table([x for _, stem, mark in pending for x in (stem, mark)])
+        for (w, _, _), stem, mark in zip(pending, ids[::2], ids[1::2]):
+            self[w] = stem + mark
 
     def words(self, text: str) -> list[bytes]:
         """A-Z in lower case, as the tokenizer has it too, except where a special token may be spelled out."""
@@ -165,6 +174,64 @@ class _WordEncoder(dict):
         return (raw if b"<|" in raw else raw.lower()).split()
 
 
+#: What ``_WordEncoder`` relies on, as tokenizer files put it: blanks and lower case, and the pattern that cuts texts.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks_and_marks(tokenizer_json: str) -> bool:
+    """Whether a tokenizer file has the rules by which a text's ids are those of its words, stems and marks."""
+    rules = json.loads(tokenizer_json)
+    cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ((rules.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and cut[0].get("pattern") == {"Regex": _CUTS}
+            and cut[0].get("type") == "Split" and cut[0].get("invert") is True and not rules.get("truncation")
+            and all(t["content"].startswith("<|") and not t["normalized"] for t in rules.get("added_tokens", [])))
+
+
+class _TextEncoder:
+    """(ids of all texts, ids of each text) of Arrow arrays of texts.
+
+    A chunk's distinct words are found by Arrow, and their distinct stems are looked up or, once each, sent through the tokenizer;
+    ids are then gathered by code for all words at once. With a tokenizer of other rules whole texts go through it.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        self.words = _WordEncoder(tokenizer_json)
+        self.by_word = cuts_at_blanks_and_marks(tokenizer_json)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            ids = [e.ids for e in self.words.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
+        plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        stem, mark = self._parts(coded.dictionary)
+        found = [x.dictionary_encode() for x in (stem, mark)]
+        ids = self.words.table([x for f in found for x in f.dictionary.cast(pa.binary()).to_pylist()])
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), dtype="<u4")
+        items = np.empty((len(codes), 2), dtype=np.int64)
+        items[:, 0] = found[0].indices.to_numpy(zero_copy_only=False)[codes]
+        items[:, 1] = (found[1].indices.to_numpy(zero_copy_only=False) + len(found[0].dictionary))[codes]
+        items = items.reshape(-1)
+        n = size[items]
+        behind = np.cumsum(n)
+        total = int(behind[-1]) if len(n) else 0
+        out = flat[np.repeat(start[items] - (behind - n), n) + np.arange(total)] if total else np.zeros(0, dtype="<u4")
+        ends = 2 * (split.offsets.to_numpy() - split.offsets[0].as_py())
+        return out, np.diff(np.concatenate([[0], behind])[ends])
+
+    @staticmethod
+    def _parts(forms: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Stem and marks at the end of every form; a form that does not come apart is its own stem."""
+        stem = pc.ascii_rtrim(forms, characters=MARKS.decode())
+        apart = pc.and_(pc.match_substring_regex(stem, r"[A-Za-z]\z"), pc.invert(pc.match_substring(forms, "<")))
+        marks = pc.struct_field(pc.extract_regex(forms, r"(?s)(?P<m>[.,;:!?#$%&*|]*)\z"), "m")
+        return pc.if_else(apart, stem, forms), pc.if_else(apart, marks, "")
+
+
 def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, before, id, n, ids) in order of id, then of text's hash: part by part, and in a part by ``before``, the ids
     before the document in its part. ids: little-endian 32-bit numbers, ``end_id`` last. NULL is an empty text.
@@ -176,21 +243,19 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
     base = base.withColumn("_key", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     base = base.select(F.spark_partition_id().alias("part"), "id", "text")
     kind = base.schema["id"].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, before = _WordEncoder(tokenizer_json), 0
+        encode, before = _TextEncoder(tokenizer_json), 0
         for batch in batches:
-            raw = []
-            for i in range(0, batch.num_rows, 512):
-                split = [known.words(t) for t in batch.column("text").slice(i, 512).to_pylist()]
-                known.learn(set().union(*split))
-                raw += [b"".join(map(known.__getitem__, w)) + end for w in split]
-            n = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(starts), batch.column("id"), pa.array(n), pa.array(raw, pa.binary())],
-                                             ["part", "before", "id", "n", "ids"])
+            for part in row_chunks(batch, "text"):
+                ids, n = encode(part.column("text"))
+                ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
+                starts = before + np.cumsum(n) - n
+                before += int(n.sum())
+                cuts = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int64)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("part"), pa.array(starts), part.column("id"), pa.array(n), raw.cast(pa.binary())],
+                                                 ["part", "before", "id", "n", "ids"])
 
     return base.mapInArrow(run, f"part int, before bigint, id {kind}, n bigint, ids binary")
 

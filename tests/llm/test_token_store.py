@@ -1,14 +1,16 @@
 import heapq
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelwright.llm.token_store import (_WordEncoder, canonical_codes, code_lengths, decode_block, decoding_table, encode_block,
+from panelwright.llm.token_store import (_TextEncoder, _WordEncoder, canonical_codes, code_lengths, decode_block, decoding_table, encode_block,
                                          read_tokens, write_tokens)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -72,3 +74,22 @@ def test_files_give_back_all_documents(spark, tmp_path):
     write_tokens(docs.where("false"), str(tmp_path / "none"), open(PATH).read(), 2)
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
     assert spark.read.parquet(str(tmp_path / "t/blocks")).agg(F.count("*")).first()[0] >= 2
+
+
+def test_chunks_of_texts_have_the_ids_of_the_tokenizer():
+    rules, whole, draw = open(PATH).read(), Tokenizer.from_file(PATH), random.Random(11)
+    pieces = ["a", "B", "é", "'s", ".", ",", "...", "3.14", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "\u0301", "#", "*.", "&&&", "|", "ß", "\x1c", "漢", "😀", "-", " ", " ", "\n",
+              "\xa0", "’", "<", "word", "Word!?", "\t", "\x0b"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(14))) for _ in range(3000)] + ["", " ", "\n a \n"]
+    encode = _TextEncoder(rules)
+    assert encode.by_word
+    other = json.loads(rules)
+    other["normalizer"] = None
+    plain = _TextEncoder(json.dumps(other))
+    assert not plain.by_word
+    for encoder, tokenizer in ((encode, whole), (plain, Tokenizer.from_str(json.dumps(other)))):
+        for cut in (0, 700):
+            ids, n = encoder(pa.array(texts)[cut:])
+            cuts = np.cumsum(n)[:-1]
+            assert [x.tolist() for x in np.split(ids, cuts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[cut:]]
+    assert encode(pa.array([], pa.string()))[0].size == 0
