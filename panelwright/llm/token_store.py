@@ -121,7 +121,7 @@ def decode_block(payload: bytes, lane_bits: bytes, n: int, table: tuple[np.ndarr
 MARKS = b".,;:!?#$%&*|"
 
 #: Stems met by this Python process, by tokenizer; tasks that follow on the same worker find them.
-_STEMS: dict[str, dict[bytes, bytes]] = {}
+_STEMS: dict[str, dict[str, bytes]] = {}
 
 
 class _WordEncoder(dict):
@@ -138,21 +138,20 @@ class _WordEncoder(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.stems = _STEMS.setdefault(md5(tokenizer_json.encode()).hexdigest(), {})
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        part = [w.decode() for w in words]
-        begins = np.cumsum([0] + [len(w) + 1 for w in part])
-        e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+    def _encode(self, words: list[str]) -> list[bytes]:
+        begins = np.cumsum([0] + [len(w) + 1 for w in words])
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         raw = np.array(e.ids, dtype="<u4").tobytes()
-        cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), begins)
+        cuts = 4 * np.searchsorted(np.array(next(zip(*e.offsets)), dtype=np.int64), begins)
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    def table(self, stems: list[bytes]) -> list[bytes]:
+    def table(self, stems: list[str]) -> list[bytes]:
         """Ids of every stem; those not met by this worker are encoded first."""
         known = self.stems
         if len(known) > CACHED_STEMS:
             known.clear()
-        known[b""] = b""
-        new = [x for x in dict.fromkeys(stems) if x not in known]
+        known[""] = b""
+        new = [x for x in stems if x not in known]
         for i in range(0, len(new), 4096):
             known.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
         return [known[x] for x in stems]
@@ -164,7 +163,7 @@ class _WordEncoder(dict):
         for w in found.difference(self):
             stem = w.rstrip(MARKS)
             pending.append((w, stem, w[len(stem):]) if stem[-1:].isalpha() and b"<" not in w else (w, w, b""))
-        ids = self.table([x for _, stem, mark in pending for x in (stem, mark)])
+        ids = self.table([x.decode() for _, stem, mark in pending for x in (stem, mark)])
         for (w, _, _), stem, mark in zip(pending, ids[::2], ids[1::2]):
             self[w] = stem + mark
 
@@ -209,7 +208,7 @@ class _TextEncoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         stem, mark = self._parts(coded.dictionary)
         found = [x.dictionary_encode() for x in (stem, mark)]
-        ids = self.words.table([x for f in found for x in f.dictionary.cast(pa.binary()).to_pylist()])
+        ids = self.words.table([x for f in found for x in f.dictionary.to_pylist()])
         size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), dtype="<u4")
         items = np.empty((len(codes), 2), dtype=np.int64)
@@ -247,7 +246,7 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = _TextEncoder(tokenizer_json), 0
         for batch in batches:
-            for part in row_chunks(batch, "text"):
+            for part in row_chunks(batch, "text", 8 << 20):
                 ids, n = encode(part.column("text"))
                 ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
                 starts = before + np.cumsum(n) - n
