@@ -10,7 +10,7 @@ from panelwright.functions.codes import is_missing_code
 from panelwright.functions.means import (percent_se, safe_log, strict_mean, strict_sum, weighted_mean,
                                          weighted_mean_lenient)
 from panelwright.functions.recode import band
-from panelwright.operators import cleaning, describe, impute, panel, policy, quantiles
+from panelwright.operators import cleaning, day_sets, describe, impute, panel, policy, quantiles
 from panelwright.operators.joins import suffixed_left_join
 from panelwright.operators.reshape import lengthen
 from panelwright.plans.registry import query
@@ -213,6 +213,18 @@ def count_buckets(t: Roles) -> DataFrame:
     return describe.count_buckets(people, "state", [(4, "1-3"), (7, "4-6"), (15, "7-15")], "Over 15")
 
 
+@query("visit_days_from_sets", "AGG-1", "AGG-14", "OP-1", sql="""
+    SELECT client_id, patient_id, count(DISTINCT visit_date) AS n_days, count(DISTINCT date_trunc('month', visit_date)) AS n_months
+    FROM outpatient GROUP BY ALL""")
+def visit_days_from_sets(t: Roles) -> DataFrame:
+    """Distinct visit days of every patient from the monthly sets of two batches, which share days."""
+    keys = ["client_id", "patient_id"]
+    odd = F.col("line_no") % 2 == 1
+    batches = [day_sets.day_sets(t.study.outpatient.where(part), keys, "visit_date") for part in (odd, ~odd)]
+    merged = day_sets.merge_sets(batches[0].unionByName(batches[1]), keys)
+    return merged.groupBy(*keys).agg(F.sum(day_sets.n_days(F.col("days"))).alias("n_days"), F.count(F.lit(1)).alias("n_months"))
+
+
 @query("sum_by_cause_and_month", "AGG-24", "FN-4", sql=f"""
     SELECT family_name, plot_date::varchar AS plot_date, {r6('sum(units) / any_value(whole)')} AS weight FROM care_comparison
     GROUP BY ALL""")
