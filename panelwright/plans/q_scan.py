@@ -18,6 +18,7 @@ from panelwright.plans.role_sql import M, MISSING_DX, REMOTE, REMOTE_OR_PLACE, V
 from panelwright.plans.roles import STUDY, Roles
 from panelwright.plans.study import MODIFIERS, PATIENT
 from panelwright.sources import readers, writers
+from panelwright.sources.commits import SharedTable
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------
@@ -95,6 +96,19 @@ def append_to_shared_table(t: Roles) -> DataFrame:
     return t.spark.table(table).groupBy("third").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("append_in_commits", "SNK-4", sql="""
+    SELECT client_id % 3 AS third, count(*) AS n FROM patients GROUP BY ALL""")
+def append_in_commits(t: Roles) -> DataFrame:
+    """Two writers start from the same table, their rows overlap, and one sends its batch twice."""
+    rows = t.study.patients.select(*PATIENT, (F.col("client_id") % 3).alias("third"))
+    table = SharedTable(t.spark, writers.fresh_path(t.spark, "shared"), rows.schema, PATIENT)
+    one, other = table.stage(rows.where("third < 2"), "one"), table.stage(rows.where("third > 0"), "other")
+    table.commit(one)
+    table.commit(other)
+    table.append(rows.where("third < 2"), "one")
+    return table.read().groupBy("third").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("inline_reference_rows", "SRC-7", "SET-1", sql="""
     SELECT icd_code, code_system, acause, family_name FROM code_dimension WHERE family_name = 'COVID-19'""")
 def inline_reference_rows(t: Roles) -> DataFrame:
