@@ -26,17 +26,17 @@ def weight_rows(df: DataFrame, keys: Sequence[str], missing: Column, output: str
 
 
 def weight_codes(df: DataFrame, keys: Sequence[str], code: str, missing: Column,
-                 output: str = "weight", whole: str | None = None) -> DataFrame:
+                 output: str = "weight", whole: str | None = None, times: str | None = None) -> DataFrame:
     """The same weights at (patient-day, code) grain.
 
     Rows are counted per code first, with map-side partial counts, so the window below sees at most one row per
     distinct code of a patient-day however many rows that day holds. ``whole`` names a column for the denominator: the
-    weight is n_rows / whole.
+    weight is n_rows / whole. ``times`` names the number of rows that a row of ``df`` stands for, if it was counted before.
     """
     counted = (
-        df.select(*keys, F.when(~missing, F.col(code)).alias(code))
+        df.select(*keys, F.when(~missing, F.col(code)).alias(code), F.col(times) if times else F.lit(1).alias("_times"))
         .groupBy(*keys, code)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("n_rows"))
     )
     known = F.sum(F.when(F.col(code).isNotNull(), F.col("n_rows"))).over(Window.partitionBy(*keys))
     total = counted.withColumn("_ok", known)

@@ -13,6 +13,7 @@ from panelwright.plans.registry import query
 from panelwright.plans.role_sql import M, MISSING_DX, YEARS, quote, r6
 from panelwright.plans.roles import Roles
 from panelwright.plans.study import PATIENT
+from panelwright.sources.bucketed import lay_out_by_key
 from panelwright.sources.writers import settle
 
 
@@ -41,6 +42,32 @@ def left_join_demographics(t: Roles) -> DataFrame:
     return joined.select("claim_id", "line_no", "gender", "birth_year")
 
 
+@query("joins_without_exchange", "JN-1", "JN-3", "WIN-6", sql=f"""
+    SELECT w.client_id, w.patient_id, p.gender, p.birth_year, d.n_listed, count(DISTINCT w.visit_date) AS days, {r6('sum(w.weight)')} AS weight
+    FROM weighted_rows w LEFT JOIN patients p ON p.client_id = w.client_id AND p.client_patient_id = w.patient_id
+    JOIN (SELECT client_id, client_patient_id, count(*) AS n_listed FROM demographic GROUP BY ALL) d
+      ON d.client_id = w.client_id AND d.client_patient_id = w.patient_id WHERE NOT w.remote GROUP BY ALL""")
+def joins_without_exchange(t: Roles) -> DataFrame:
+    """Weights, demographics and cohort over tables of one layout: split, joined and added up bucket by bucket."""
+    key = ["client_id", "patient_id"]
+    facts, people, listed = co_located(t)
+    weighted = patient_days.weight_codes(facts, [*key, "visit_date"], "dx1_code", is_missing_code(F.col("dx1_code"), C.REDACTED),
+                                         times="n_times")
+    days = weighted.groupBy(*key, "visit_date").agg(F.sum("weight").alias("weight"))
+    patients = days.groupBy(*key).agg(F.count(F.lit(1)).alias("days"), F.sum("weight").alias("weight"))
+    joined = patients.join(people.hint("merge"), key, "left").join(listed.hint("merge"), key)
+    return joined.select(*key, "gender", "birth_year", "n_listed", "days", "weight")
+
+
+def co_located(t: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """In-person facts counted by patient, day and code, patients, and the listed cohort, all in the same buckets."""
+    key = ["client_id", "patient_id"]
+    facts = t.study.care_rows().where("NOT remote").groupBy(*key, "visit_date", "dx1_code").agg(F.count(F.lit(1)).alias("n_times"))
+    renamed = t.study.patients.select("client_id", F.col("client_patient_id").alias("patient_id"), "gender", "birth_year")
+    listed = t.demographic.groupBy("client_id", F.col("client_patient_id").alias("patient_id")).agg(F.count(F.lit(1)).alias("n_listed"))
+    return tuple(lay_out_by_key(df, key, label) for df, label in ((facts, "facts"), (renamed, "people"), (listed, "listed")))
+
+
 @query("join_dimension_inner", "JN-4", "AGG-21", sql="""
     SELECT m.icd_code, m.code_system, c.cause_name, c.family FROM (SELECT DISTINCT * FROM icd_map) m
     JOIN causelist c USING (acause)""")
