@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.draws import draw_int
 from panelwright.operators.cleaning import complete_cases
+from panelwright.operators.resampling import redrawn_sums
 from panelwright.operators.softmax import fit_softmax
 
 SET = ("period", "history")
@@ -116,3 +117,32 @@ def bootstrap_se(contributions: DataFrame, unit_ids: DataFrame, leads: Sequence[
     long = redrawn.unpivot([*keys, "replicate"], [str(h) for h in leads], "lead", "estimate")
     return long.groupBy(*keys, F.col("lead").cast("int").alias("lead")).agg(
         F.stddev_samp("estimate").alias("std_error"))
+
+
+def redrawn_se(contributions: DataFrame, unit_ids: DataFrame, leads: Sequence[int], replicates: int, seed: int,
+               keys: Sequence[str] = ("imp",)) -> DataFrame:
+    """(keys, lead, std_error) as ``bootstrap_se``, with counts from recursive splitting in place of a row for each draw."""
+    keys = list(keys)
+    n = unit_ids.agg(F.max("unit_id")).scalar()
+    by_id = contributions.join(unit_ids, [*keys, "unit"]).withColumn("n_units", n)
+    sums = redrawn_sums(by_id, [*[f"s_{h}" for h in leads], "d"], "n_units", replicates, seed, keys)
+    estimates = sums.select(*keys, "replicate", *[F.try_divide(f"s_{h}", "d").alias(str(h)) for h in leads])
+    long = estimates.unpivot([*keys, "replicate"], [str(h) for h in leads], "lead", "estimate")
+    return long.groupBy(*keys, F.col("lead").cast("int").alias("lead")).agg(F.stddev_samp("estimate").alias("std_error"))
+
+
+def linear_se(contributions: DataFrame, leads: Sequence[int], keys: Sequence[str] = ("imp",)) -> DataFrame:
+    """(keys, lead, linear_error): the error of a ratio of sums by its first-order expansion, from sums of squares and products."""
+    keys = list(keys)
+    sums = contributions.groupBy(*keys).agg(
+        F.sum("d").cast("double").alias("_d"), F.sum(F.col("d") * F.col("d")).cast("double").alias("_dd"),
+        *[F.sum(f"s_{h}").alias(f"_s{h}") for h in leads], *[F.sum(F.col(f"s_{h}") * F.col(f"s_{h}")).alias(f"_ss{h}") for h in leads],
+        *[F.sum(F.col(f"s_{h}") * F.col("d")).alias(f"_sd{h}") for h in leads])
+
+    def error(h: int) -> Column:
+        ratio = F.try_divide(f"_s{h}", "_d")
+        squares = F.col(f"_ss{h}") - 2 * ratio * F.col(f"_sd{h}") + ratio * ratio * F.col("_dd")
+        return F.try_divide(F.sqrt(F.greatest(squares, F.lit(0.0))), "_d").alias(str(h))
+
+    long = sums.select(*keys, *[error(h) for h in leads]).unpivot(keys, [str(h) for h in leads], "lead", "linear_error")
+    return long.withColumn("lead", F.col("lead").cast("int"))

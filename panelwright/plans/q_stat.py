@@ -339,6 +339,20 @@ def matched_bootstrap_errors(t: Roles) -> DataFrame:
     return matching.bootstrap_se(sums, unit_ids(t, 3), LEADS, REPLICATES, STUDY.seed)
 
 
+@query("matched_errors_two_ways", "ST-9", sql=f"""
+    WITH {CONTRIBUTIONS_SQL}
+    {' UNION ALL '.join(f"""SELECT cast(imp AS int) AS imp, {h} AS lead, round(sqrt(greatest(sum(s_{h} * s_{h})
+        - 2 * sum(s_{h}) / sum(d) * sum(s_{h} * d) + (sum(s_{h}) / sum(d)) ** 2 * sum(d * d), 0)) / sum(d), 6) + 0.0 AS linear_error,
+        true AS redrawn_error_agrees FROM contrib GROUP BY imp""" for h in LEADS)}""")
+def matched_errors_two_ways(t: Roles) -> DataFrame:
+    """Errors by the first-order expansion, and whether those of redrawn units are within half of them."""
+    sums = settle(matching.unit_contributions(matching.equal_weights(outcome_members(t)), LEADS), "contributions")
+    redrawn = matching.redrawn_se(sums, unit_ids(t, 3), LEADS, REPLICATES, STUDY.seed)
+    both = matching.linear_se(sums, LEADS).join(redrawn, ["imp", "lead"])
+    close = F.abs(F.col("std_error") - F.col("linear_error")) <= 0.5 * F.col("linear_error")
+    return both.select("imp", "lead", "linear_error", close.alias("redrawn_error_agrees"))
+
+
 def pooled_matching(t: Roles, outcome: str, covariates: list[str], drop_wave: bool, first: int | None) -> DataFrame:
     """Propensity-weighted matched effects over all copies, with bootstrap errors, pooled."""
     rows = t.study.matching_panel(drop_wave, first)
@@ -347,7 +361,7 @@ def pooled_matching(t: Roles, outcome: str, covariates: list[str], drop_wave: bo
     weighted = matching.propensity_weights(members, covariates)
     sums = settle(matching.unit_contributions(weighted, LEADS), "contributions")
     estimates = matching.att(sums, LEADS)
-    errors = matching.bootstrap_se(sums, unit_ids(t, M), LEADS, REPLICATES, STUDY.seed)
+    errors = matching.redrawn_se(sums, unit_ids(t, M), LEADS, REPLICATES, STUDY.seed)
     both = estimates.join(errors, ["imp", "lead"])
     return pool(both, ["lead"], "estimate", "std_error", M)
 
