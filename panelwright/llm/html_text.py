@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -18,14 +18,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("head script style noscript template title textarea iframe object svg math canvas select datalist audio video".split())
 #: Silent elements whose content is plain characters up to their own end tag: no tags, no comments.
 RAW = frozenset("script style noscript title textarea iframe".split())
+#: What may stand in a head; any other tag ends one that is not closed.
+HEAD = frozenset("base link meta title style script noscript template head".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr br""".split())
 #: A start tag of the key closes an open element of the values, up to the nearest element of ``SCOPE``.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table ul ol dl article section div main body html td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Pieces of running text, which in an article only the name of an advert or of readers' comments makes something else.
+RUNNING = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
+#: Elements that give text a form inside a container and are no containers themselves.
+FORMS_OF_TEXT = RUNNING | frozenset("ul ol dl table thead tbody tfoot tr caption figure hr".split())
+#: Blocks that are text of their own also when all of it is a link.
+STANDING = HEADINGS | frozenset("p dt dd blockquote pre figcaption caption".split())
 # Parts of a page that are not its article -----------------------------------------------------------------------------
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+#: Aside tags that some pages wrap around all they have.
+WRAPPERS = frozenset("form fieldset dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 ASIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie
 cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu
@@ -33,252 +44,412 @@ breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar related reco
 comment comments commentlist disqus reply replies respond pagination pager skip""".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored".split())
+#: Names that make an inline element something else than text.
+INLINE_NAMES = ADVERTS | {"skip", "share", "sharing"}
+#: Words that say where or what shape a named element is; a compound counts only if all its words are these or names above.
+SHAPES = frozenset("""site page main left right top bottom box container wrapper wrap list block section area bar item items inner outer primary
+secondary global slot unit zone links link buttons button icons posts form thread user mobile desktop text message bottom header""".split())
 KEPT_FRAMES = frozenset("html body main article".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Pieces of running text, which in an article only the name of an advert or of readers' comments makes something else.
-RUNNING = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
-#: A name with one of these words before or behind it says how a page looks, not what an element is.
-STATES_BEFORE, STATES_BEHIND = frozenset("has no with without".split()), frozenset("open opened closed enabled disabled".split())
 # ----------------------------------------------------------------------------------------------------------------------
 
 #: A path is content if its fused ratio reaches this share of the page's mean, weighted by text length.
 MIN_SHARE = 0.05
+#: An <article> or <main> frames the page's text unless the text outside it, weighted by its ratios, is so many times as much.
+OUTWEIGHS = 3.0
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME_OF_TAG = re.compile(r"[^\s/>]*")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_TOLD = frozenset("class id role hidden aria-hidden style".split())
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-@dataclass
+@dataclass(eq=False)
 class _Mark:
-    """An element whose class or id names something other than the article."""
+    """An element whose tag, role, class or id names something other than the article; ``outer`` is the mark around it."""
 
+    outer: _Mark | None
     readers: bool
+    firm: bool
+    among_readers: bool = False
 
+    def __post_init__(self):
+        self.among_readers = self.readers or self.outer is not None and self.outer.among_readers
 
-@dataclass
+
+@dataclass(eq=False)
 class _Node:
-    """An open element: the path of tags down to it, and whether it is outside the article or inside one."""
+    """An open element. ``path`` and ``container`` number tag paths, ``scope`` counts the open tags down to the next scope."""
 
     tag: str
-    path: tuple[str, ...]
-    aside: bool
+    path: int
+    container: int
+    mark: _Mark | None
     article: int | None
     main: int | None
-    marks: tuple[_Mark, ...]
-
-    @property
-    def framed(self) -> bool:
-        return self.article is not None or self.main is not None
+    scope: Counter
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
-    """Text between two block boundaries; ``article`` and ``main`` number the elements it lies in."""
+    """Text between two block boundaries; ``article`` and ``main`` number the elements it lies in, ``linked`` says that all
+    of it is link text."""
 
-    path: tuple[str, ...]
-    aside: bool
+    path: int
+    container: int
+    mark: _Mark | None
     article: int | None
     main: int | None
-    marks: tuple[_Mark, ...]
+    standing: bool
+    linked: bool = True
     pieces: list[str] = field(default_factory=list)
     text: str = ""
+    aside: bool = False
 
     @property
     def framed(self) -> bool:
         return self.article is not None or self.main is not None
 
+    @property
+    def key(self) -> tuple[int, bool]:
+        """The tag path; that of text that is nothing but links goes on to the link."""
+        return self.path, self.linked and not self.standing
+
+
+class _Scanner:
+    """Finds tags from left to right. Each character is looked for once however often it is asked for, so no page takes
+    more than time in proportion to its length."""
+
+    def __init__(self, html: str):
+        self.html, self._at = html, {}
+
+    def next(self, what: str, begin: int) -> int:
+        """Where ``what`` comes next; the length of the page if it does not."""
+        at = self._at.get(what, -1)
+        if at < begin:
+            at = self.html.find(what, begin)
+            at = self._at[what] = len(self.html) if at < 0 else at
+        return at
+
+    def end_of_tag(self, begin: int) -> int:
+        """The > that ends a tag. A quote after = protects a value, unless it is never closed: then the tag ends at the next >."""
+        html, i = self.html, begin
+        while True:
+            end = self.next(">", i)
+            quote = min(self.next('"', i), self.next("'", i))
+            if end <= quote:
+                return end
+            i = quote + 1
+            before = quote - 1
+            while before > begin and html[before].isspace():
+                before -= 1
+            if html[before] == "=":
+                close = self.next(html[quote], i)
+                plain = close < min(end, self.next("<", i))
+                if close == len(html) or not plain and html[close + 1:close + 2] not in ("", " ", "\n", "\t", "\r", "\f", "/", ">"):
+                    return end
+                i = close + 1
+
+    def tokens(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text, tag, is an end tag, attributes) in order; comments and declarations give an empty tag."""
+        html, done, look = self.html, 0, 0
+        while (at := html.find("<", look)) >= 0:
+            head = html[at + 1:at + 3]
+            if html.startswith("<!--", at):
+                end = self.next("-->", at + 4)
+                yield html[done:at], "", False, ""
+                done = look = min(end + 3, len(html))
+            elif head[:1] in ("!", "?"):
+                yield html[done:at], "", False, ""
+                done = look = min(self.next(">", at) + 1, len(html))
+            elif (name := head[1:] if head[:1] == "/" else head[:1]).isascii() and name.isalpha():
+                closing = head[0] == "/"
+                m = _NAME_OF_TAG.match(html, at + 1 + closing)
+                end = self.end_of_tag(m.end())
+                tag, attributes = m[0].lower(), html[m.end():end]
+                text, done = html[done:at], min(end + 1, len(html))
+                if tag in RAW and not closing and not attributes.endswith("/"):
+                    stop = _RAW_END[tag].search(html, done)
+                    done = stop.end() if stop else len(html)
+                yield text, tag, closing, attributes
+                look = done
+            else:
+                look = at + 1
+        yield html[done:], "", False, ""
+
+
+def _told(attributes: str) -> dict[str, str]:
+    if not attributes or attributes.isspace():
+        return {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name in _TOLD:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
+
 
 def _names(value: str) -> set[str]:
-    """Words of a class or id, without those that only name a state of the page."""
+    """Words of those names of a class or id that say what an element is."""
     found: set[str] = set()
     for token in value.split():
-        parts = [x.lower() for x in _NAME.findall(token)]
-        if len(parts) < 2 or parts[0] not in STATES_BEFORE and parts[-1] not in STATES_BEHIND:
-            found.update(parts)
+        words = {x.lower() for x in _WORD.findall(token)}
+        if words <= ASIDE_NAMES | SHAPES:
+            found |= words & ASIDE_NAMES
     return found
 
 
-def _is_aside(tag: str, attributes: str, framed: bool) -> bool:
-    """Whether tag, role or visibility put an element outside the article."""
-    if tag in ASIDE_TAGS or tag == "header" and not framed:
-        return True
-    if not attributes or attributes.isspace():
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in ASIDE_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
-
-
-def _mark(tag: str, attributes: str, framed: bool) -> _Mark | None:
-    """The mark that the class or id of an element gives it."""
-    if top_is_plain(attributes):
-        return None
-    found: set[str] = set()
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "class" or name == "id" and tag not in HEADINGS:
-            found |= _names(value)
-    telling = READERS if tag in KEPT_FRAMES else ADVERTS | READERS if framed and tag in RUNNING else ASIDE_NAMES
-    return _Mark(bool(found & READERS)) if found & telling else None
+def _hidden(told: dict[str, str]) -> bool:
+    return "hidden" in told or told.get("aria-hidden") == "true" or bool(_HIDDEN.search(told.get("style", "")))
+
 
+def _mark(tag: str, attributes: str, framed: bool, outer: _Mark | None) -> _Mark | None:
+    """The mark of an element, or the one around it. Marks of hidden elements, menus and footers are firm: only an article in
+    them makes them void."""
+    told = _told(attributes)
+    names = _names(told.get("class", ""))
+    if tag not in HEADINGS:
+        names |= _names(told.get("id", ""))
+    names &= READERS if tag in KEPT_FRAMES else ADVERTS | READERS if framed and tag in RUNNING else ASIDE_NAMES
+    by_tag = tag in ASIDE_TAGS or tag == "header" and not framed
+    if tag in KEPT_FRAMES:
+        if not names:
+            return outer
+        return _Mark(outer, True, False)
+    firm = by_tag and tag not in WRAPPERS or _hidden(told)
+    if firm or by_tag or names or told.get("role", "").strip().lower() in ASIDE_ROLES:
+        return _Mark(outer, bool(names & READERS), firm)
+    return outer
 
-def _drop_marked(found: list[Block]) -> None:
+
+def _outside(found: list[Block], opened: dict[int, _Mark | None], marks: list[_Mark]) -> None:
     """Puts blocks under a mark outside the article, unless what the mark names holds the page's article or most of its text.
 
     The page's article is the longest <article> outside all marks, else the longest under a mark that is not readers', else
-    the longest of all; without any, the longest <main> in the same order. Marks around it, and its own, are void. A mark
-    that holds more than half of the text of a page without an article is void if it is not readers', and the largest is
-    void where nothing is left outside.
+    the longest of all; without any, the longest <main> in the same order. Marks around it, and those in it that hold all of it,
+    are void. On a page without either, a mark that holds more than half of the text is void if it is neither firm nor readers',
+    and the largest is void where nothing is left outside. A page's form is an example of the first and of the second.
     """
-    ours = [b for b in found if not b.aside]
-    articles = [b for b in ours if b.article is not None]
-    within: dict[tuple, list[Block]] = defaultdict(list)
-    for b in articles or [b for b in ours if b.main is not None]:
-        within[("article", b.article) if articles else ("main", b.main)].append(b)
-    size = lambda of: sum(len(b.text) for b in of)
-    void: set[int] = set()
+    def held(blocks: list[Block]) -> Counter:
+        """Text under each mark; inner marks come after outer ones in ``marks``."""
+        sizes = Counter()
+        for b in blocks:
+            if b.mark is not None:
+                sizes[b.mark] += len(b.text)
+        for m in reversed(marks):
+            if m.outer is not None:
+                sizes[m.outer] += sizes[m]
+        return sizes
+
+    within: dict[int, list[Block]] = defaultdict(list)
+    for b in found:
+        frame = b.article if b.article is not None else None
+        if frame is not None:
+            within[frame].append(b)
+    if not within:
+        for b in found:
+            if b.main is not None:
+                within[b.main].append(b)
+    void: set[_Mark] = set()
+    whole = sum(len(b.text) for b in found)
     if within:
-        def common(of: list[Block]) -> list[_Mark]:
-            return [m for m in of[0].marks if all(any(m is x for x in b.marks) for b in of)]
-
-        def rank(of: list[Block]) -> tuple[int, int]:
-            around = common(of)
-            return (0 if any(m.readers for m in around) else 1 if around and 2 * size(of) <= size(ours) else 2), size(of)
-
-        void = {id(m) for m in common(max(within.values(), key=rank))}
+        size = {f: sum(len(b.text) for b in bs) for f, bs in within.items()}
+
+        def rank(f: int) -> tuple[int, int]:
+            around = opened[f]
+            return (2 if around is None else 0 if around.among_readers else 1 if 2 * size[f] <= whole else 2), size[f]
+
+        ours = max(within, key=rank)
+        around = opened[ours]
+        while around is not None:
+            void.add(around)
+            around = around.outer
+        void |= {m for m, n in held(within[ours]).items() if n == size[ours] and not m.firm}
     else:
-        held: dict[int, tuple[_Mark, int]] = {}
-        for b in ours:
-            for m in b.marks:
-                held[id(m)] = m, held.get(id(m), (m, 0))[1] + len(b.text)
-        void = {i for i, (m, n) in held.items() if not m.readers and 2 * n > size(ours)}
-        if held and all(any(id(m) not in void for m in b.marks) for b in ours):
-            largest = max(n for _, n in held.values())
-            void |= {i for i, (_, n) in held.items() if n == largest}
-    for b in ours:
-        b.aside = any(id(m) not in void for m in b.marks)
+        sizes = held(found)
+        firm_or_readers: set[_Mark] = set()
+        for m in marks:
+            if m.firm or m.readers or m.outer in firm_or_readers:
+                firm_or_readers.add(m)
+        free = sum(len(b.text) for b in found if b.mark not in firm_or_readers)
+        loose = {m: n for m, n in sizes.items() if m not in firm_or_readers and n}
+        void = {m for m, n in held([b for b in found if b.mark not in firm_or_readers]).items() if 2 * n > free and m in loose}
+        dropped = _dropped(marks, void)
+        if loose and all(b.mark in dropped for b in found):
+            largest = max(loose.values())
+            void |= {m for m, n in loose.items() if n == largest}
+    dropped = _dropped(marks, void)
+    for b in found:
+        b.aside = b.mark in dropped
+
+
+def _dropped(marks: list[_Mark], void: set[_Mark]) -> set[_Mark]:
+    """Marks that stand, and marks within them."""
+    out: set[_Mark] = set()
+    for m in marks:
+        if m not in void or m.outer in out:
+            out.add(m)
+    return out
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks of a page in order. Tags that are never closed, or closed out of order, are tolerated."""
-    root = _Node("", (), False, None, None, ())
-    stack, out, frames = [root], [], 0
-    current: Block | None = None
-    silent = None
+    """Text blocks of a page in order. Tags that are never closed, or closed out of order, are tolerated, and a page of any
+    shape takes time and memory in proportion to its length."""
+    numbers: dict[tuple[int, str], int] = {}
 
-    def add(text: str) -> None:
-        nonlocal current
-        if silent is None and text:
-            if current is None:
-                top = stack[-1]
-                current = Block(top.path, top.aside, top.article, top.main, top.marks)
-                out.append(current)
-            current.pieces.append(text)
+    def number(above: int, tag: str) -> int:
+        return numbers.setdefault((above, tag), len(numbers) + 1)
 
-    def end_tag(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
+    stack = [_Node("", 0, 0, None, None, None, Counter())]
+    is_open, frames, marks = Counter(), {}, []
+    out: list[Block] = []
+    current: Block | None = None
+    silent, depth = None, 0
+    link = 0                                    # depth of the stack where a link was opened, 0 outside links
+
+    def pop_from(i: int) -> None:
+        nonlocal link
+        for node in stack[i:]:
+            node.scope[node.tag] -= 1
+            is_open[node.tag] -= 1
+        del stack[i:]
+        if len(stack) < link:
+            link = 0
 
     def close_for(tag: str) -> None:
-        doomed = CLOSES.get(tag, set()) | (set() if tag in INLINE else {"p"})
-        at = len(stack)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in doomed:
-                at = i
-            elif stack[i].tag in SCOPE:
+        """Closes the elements that a start tag ends, up to the nearest scope that has none of them."""
+        doomed = CLOSES.get(tag, set()) | {"p"}
+        i, at = len(stack) - 1, len(stack)
+        while i > 0:
+            scope = stack[i].scope
+            left = sum(scope[x] for x in doomed)
+            if not left:
                 break
-        del stack[at:]
-
-    done = 0
-    while m := _TOKEN.search(html, done):
-        add(html[done:m.start()])
-        done = m.end()
-        tag = m[2].lower() if m[2] else None
-        if tag in RAW and not m[1] and not m[3].endswith("/"):
-            end = _RAW_END[tag].search(html, done)
-            done = end.end() if end else len(html)
-            if silent is None:
+            while left:
+                if stack[i].tag in doomed:
+                    at, left = i, left - 1
+                i -= 1
+            root = stack[at]
+            if not (root.tag in SCOPE and i >= 0 and stack[i].scope is not scope):
+                break
+        pop_from(at)
+
+    for text, tag, closing, attributes in _Scanner(html).tokens():
+        if text and silent is None:
+            if current is None and not text.isspace():
+                top = stack[-1]
+                current = Block(top.path, top.container, top.mark, top.article, top.main, top.tag in STANDING)
+                out.append(current)
+            if current is not None:
+                current.pieces.append(text)
+                current.linked &= bool(link) or text.isspace()
+        if silent == "head" and tag and not closing and tag not in HEAD or silent in INLINE and tag and tag not in INLINE:
+            silent = None
+        if not tag:
+            continue
+        if tag in RAW and not closing:
+            if silent is None and not attributes.endswith("/"):
                 current = None
             continue
         if silent is not None:
-            if m[1] and tag == silent:
-                silent = None
-            continue
-        if tag is None:
+            if tag == silent and not attributes.endswith("/"):
+                depth += -1 if closing else 1
+                if depth == 0:
+                    silent = None
             continue
         if tag == "br":
-            add(" ")
+            if current is not None:
+                current.pieces.append(" ")
             continue
-        if tag not in INLINE:
-            current = None
-        if m[1]:
-            if tag not in INLINE:
-                end_tag(tag)
-        elif tag in SILENT and not m[3].endswith("/"):
-            silent = tag
-        elif tag not in VOID and tag not in INLINE:
+        if tag in INLINE:
+            if tag == "a":
+                link = 0 if closing else len(stack)
+            if not closing and tag not in VOID and attributes:
+                told = _told(attributes)
+                if _hidden(told) or told.get("role", "").lower() in ASIDE_ROLES or _names(told.get("class", "")) & INLINE_NAMES:
+                    silent, depth = tag, 1
+            continue
+        current = None
+        if closing:
+            if is_open[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                pop_from(i)
+        elif tag in SILENT:
+            if not attributes.endswith("/"):
+                silent, depth = tag, 1
+        elif tag not in VOID:
             close_for(tag)
             top = stack[-1]
-            mark = _mark(tag, m[3], top.framed)
-            frames += 1
-            stack.append(_Node(tag, (*top.path, tag), top.aside or _is_aside(tag, m[3], top.framed),
-                               frames if tag == "article" else top.article, frames if tag == "main" else top.main,
-                               top.marks if mark is None else (*top.marks, mark)))
-        elif tag in INLINE and not top_is_plain(m[3]) and (_is_aside(tag, m[3], True) or _mark(tag, m[3], True)):
-            silent = tag
-    add(html[done:])
+            mark = _mark(tag, attributes, top.article is not None or top.main is not None, top.mark)
+            if mark is not top.mark:
+                marks.append(mark)
+            place = len(frames)
+            if tag in ("article", "main"):
+                frames[place] = mark
+            scope = Counter() if tag in SCOPE else top.scope
+            scope[tag] += 1
+            is_open[tag] += 1
+            stack.append(_Node(tag, number(top.path, tag), top.container if tag in FORMS_OF_TEXT else number(top.container, tag), mark,
+                               place if tag == "article" else top.article, place if tag == "main" else top.main, scope))
     for b in out:
         b.text = " ".join(unescape("".join(b.pieces)).split())
     out = [b for b in out if b.text]
-    _drop_marked(out)
+    _outside(out, frames, marks)
     return out
 
 
-def top_is_plain(attributes: str) -> bool:
-    return not attributes or "=" not in attributes and "hidden" not in attributes
-
-
-def content(found: list[Block]) -> list[Block]:
-    """The blocks of content paths.
+def path_ratios(found: list[Block]) -> tuple[dict[tuple[int, bool], float], float]:
+    """Fused ratio of every tag path of blocks that are not aside, and the ratio that content needs.
 
-    Text length and punctuation are added up by root-to-leaf tag path, and divided by the path's blocks. Along the page
-    each ratio is smoothed with those of its neighbours, the two are fused to length * (1 + punctuation), and a path is
-    content if the mean over its blocks reaches ``MIN_SHARE`` of the page's mean. Blocks of menus, notices, adverts and
-    the like have ratio 0 and form paths of their own, and so do blocks outside the article where a page marks one. Inside
-    <article> every other block is content, short ones as in lists and tables too; inside <main> alone, so is every path
-    with a block between two of content.
+    Text length and punctuation are added up by path and divided by the path's blocks. Along the page each of the two is
+    smoothed with those of the neighbours (one part, two, one part; aside blocks count 0, the ends repeat), and fused to
+    length * (1 + punctuation). A path's ratio is the mean over its blocks; the threshold is ``MIN_SHARE`` of the page's mean,
+    weighted by text length.
     """
-    framed = any(b.framed and not b.aside for b in found)
-    inside = [not b.aside and (b.framed or not framed) for b in found]
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b, ok in zip(found, inside):
-        if ok:
-            length[b.path] += len(b.text)
-            marks[b.path] += len(_PUNCTUATION.findall(b.text))
-            count[b.path] += 1
-    ratio = [(length[b.path] / count[b.path], marks[b.path] / count[b.path]) if ok else (0.0, 0.0) for b, ok in zip(found, inside)]
+    for b in found:
+        if not b.aside:
+            length[b.key] += len(b.text)
+            marks[b.key] += len(_PUNCTUATION.findall(b.text))
+            count[b.key] += 1
+    ratio = [(0.0, 0.0) if b.aside else (length[b.key] / count[b.key], marks[b.key] / count[b.key]) for b in found]
     padded = [ratio[0], *ratio, ratio[-1]] if ratio else []
     fused, total, weight = defaultdict(float), 0.0, 0
-    for i, (b, ok) in enumerate(zip(found, inside)):
-        if ok:
+    for i, b in enumerate(found):
+        if not b.aside:
             text, punctuation = ((padded[i][j] + 2 * padded[i + 1][j] + padded[i + 2][j]) / 4 for j in (0, 1))
             value = text * (1 + punctuation)
-            fused[b.path] += value / count[b.path]
+            fused[b.key] += value / count[b.key]
             total += value * len(b.text)
             weight += len(b.text)
-    limit = MIN_SHARE * total / weight if weight else 0.0
-    chosen = [i for i, (b, ok) in enumerate(zip(found, inside)) if ok and fused[b.path] >= limit]
-    between = {found[i].path for i in range(chosen[0], chosen[-1]) if inside[i] and found[i].framed} if chosen else set()
-    return [b for b, ok in zip(found, inside) if ok and (fused[b.path] >= limit or b.article is not None or b.path in between)]
+    return fused, MIN_SHARE * total / weight if weight else 0.0
+
+
+def content(found: list[Block]) -> list[Block]:
+    """The blocks of content paths.
+
+    A path is content if its ratio (``path_ratios``) reaches the threshold. Lists, tables and headings, whose texts are short,
+    go with their container: a path that is not all links is content too if another path of the same container is. An <article>,
+    else a <main>, frames the text: blocks outside it are left out, and what is not all links inside it is content; but a frame is
+    void if the text outside, weighted by ratio, is ``OUTWEIGHS`` times that inside. Links alone, as in lists of
+    pages to share or to go on to, are content only by the ratio of their own path.
+    """
+    fused, limit = path_ratios(found)
+    ours = [b for b in found if not b.aside]
+    article = any(b.article is not None for b in ours)
+    inside = [b for b in ours if (b.article if article else b.main) is not None]
+    if inside:
+        worth = sum(fused[b.key] * len(b.text) for b in inside)
+        if sum(fused[b.key] * len(b.text) for b in ours) - worth > OUTWEIGHS * worth:
+            inside = []
+    chosen = inside or ours
+    good = {key for key in {b.key for b in chosen} if fused[key] >= limit}
+    containers = {b.container for b in chosen if b.key in good and not b.key[1]}
+    return [b for b in chosen if b.key in good or not b.key[1] and (bool(inside) or b.container in containers)]
 
 
 def main_text(html: str | None) -> str:
@@ -289,7 +460,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """(``keep``, text, n_chars) of every row, repeated rows included.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by one line break.
-    A NULL or empty page, or one without an article, gives empty text. The whole page is read, whatever its length.
+    A NULL or empty page, or one of menus and the like alone, gives empty text. The whole page is read, whatever its length.
     """
     kept = pages.select(*keep, F.col(html_col).alias("_html"))
     fields = [f for f in kept.schema.fields if f.name != "_html"]

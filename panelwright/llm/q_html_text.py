@@ -11,7 +11,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op10_main_text": op10_main_text}
 
-#: Where every page has one <article> of block elements with inline tags only, its text can be stated in SQL. The check data
-#: are such pages; the operator itself does not rely on it.
-_BLOCKS = "string_split_regex(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?i)</?(p|h1|h2|h3|li|ul|ol|div|section)[^>]*>')"
 SQL: dict[str, str] = {}
