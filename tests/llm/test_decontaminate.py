@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from panelwright.llm.decontaminate import benchmark_matches, drop_contaminated, tiles
+from panelwright.llm import decontaminate
+from panelwright.llm.decontaminate import ItemIndex, _windows, benchmark_matches, drop_contaminated, tiles
 
 
 def naive_tiles(doc, item, k):
@@ -65,9 +66,47 @@ def test_empty_tables(spark):
     assert drop_contaminated(d, b.where("false")).count() == 1
 
 
-def test_slices_of_a_large_benchmark(spark, monkeypatch):
-    from panelwright.llm import decontaminate
+def test_matches_by_their_ends_equal_all_seeds():
+    """Beginnings and ends of matches over several items at once, against tiles of every seed."""
+    draw, k = random.Random(8), 3
+    for n in range(150):
+        letters = 1 + n % 4
+        doc, *items = (np.array([draw.randrange(letters) for _ in range(draw.randrange(1, 40))], dtype=np.uint64) for _ in range(4))
+        index = ItemIndex([0, 1, 2], items, k)
+        found = dict(index.matches(doc, {s: _windows(doc, np.arange(max(0, len(doc) - s + 1)), s) for s in index.sizes}))
+        for i, item in enumerate(items):
+            size = min(k, len(item))
+            seeds = [(d, j) for d in range(len(doc) - size + 1) for j in range(len(item) - size + 1) if (doc[d:d + size] == item[j:j + size]).all()]
+            at = np.array(seeds, dtype=np.int64).reshape(-1, 2)
+            assert sorted(found.get(i, [])) == sorted(tiles(doc, item, at[:, 0], at[:, 1], size))
+
+
+def test_repeats_on_both_sides_cost_by_their_length(spark):
+    for unit in ("ha ", "one two three "):
+        d = spark.createDataFrame([(1, unit * 200_000), (2, unit * 30)], "doc_id long, text string")
+        b = spark.createDataFrame([(1, unit * 3_000)], "item_id long, text string")
+        assert [(r["doc_id"], r["n_tiles"], r["coverage"]) for r in benchmark_matches(d, b).collect()] == [(1, 1, 1.0)]
+
+
+def test_large_benchmark_is_joined_and_gives_the_same(spark, monkeypatch):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(draw.choice([0, 2, 4, 9, 30]))) for _ in range(60)]
+    bench = spark.createDataFrame([*enumerate(texts[:30]), (3, texts[3]), (None, texts[4]), (99, None)], "item_id long, text string")
+    docs = [(i, f"{t} {draw.choice(texts)} {draw.choice(texts)}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*docs, docs[0], (None, texts[7]), (70, None), (71, "")], "doc_id long, text string")
+    small = sorted(map(str, benchmark_matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 60)
+    assert sorted(map(str, benchmark_matches(docs, bench).collect())) == small and len(small) > 60
+    kept = drop_contaminated(docs, bench)
+    assert 0 < kept.count() < docs.count() and benchmark_matches(docs.where("false"), bench).count() == 0
+
+
+def test_large_benchmark_is_not_collected(spark, monkeypatch):
+    """The driver gets seed sizes and rows of the bit table only."""
     monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 60)
+    seen, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: (seen.append(df.columns), collect(df))[1])
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x y a{i} b{i} c{i} d{i} e{i} f{i} z") for i in range(9)], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in benchmark_matches(docs, bench).collect()) == [(i, i) for i in range(9)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in benchmark_matches(docs, bench).toLocalIterator()) == [(i, i) for i in range(9)]
+    assert ["size"] in seen and ["row", "bits"] in seen and not any("t" in c for c in seen)
