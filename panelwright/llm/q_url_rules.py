@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.url_rules import MIN_CONFIDENCE, MIN_COUNT, MIN_SUPPORT, judge_urls, mine_rules
+from panelwright.llm.url_rules import BOUND, MIN_CONFIDENCE, MIN_COUNT, judge_urls, mine_rules
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -16,7 +16,7 @@ def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mined = mine_rules(labelled_urls(spark, sf_dir))
+    mined = mine_rules(labelled_urls(spark, sf_dir), bound=BOUND)
     out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), mined, RULES)
     return out.withColumn("confidence", F.round("confidence", 6))
 
@@ -45,10 +45,11 @@ baskets AS MATERIALIZED (
 subsets AS (
   SELECT bad, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s
   FROM (SELECT bad, t, unnest(range(1, (1 << len(t))::BIGINT)) AS m FROM baskets)),
+counted AS (SELECT s, count(*) AS m, count(*) FILTER (bad) AS n, count(*) FILTER (bad) / count(*) AS confidence FROM subsets GROUP BY s),
 rules AS MATERIALIZED (
-  SELECT s, count(*) FILTER (bad) / count(*) AS confidence FROM subsets GROUP BY s
-  HAVING count(*) FILTER (bad) >= ceil(greatest({MIN_SUPPORT}, {MIN_COUNT} / (SELECT count(*) FROM baskets)) * (SELECT count(*) FROM baskets))
-     AND confidence >= {MIN_CONFIDENCE}),
+  SELECT s, confidence FROM counted WHERE n >= {MIN_COUNT} AND confidence >= {MIN_CONFIDENCE}
+     AND (confidence + {BOUND} ** 2 / (2 * m) - {BOUND} * sqrt(confidence * (1 - confidence) / m + {BOUND} ** 2 / (4 * m * m)))
+         / (1 + {BOUND} ** 2 / m) >= (SELECT avg(bad::INT) FROM baskets)),
 found AS (SELECT url, count(*) AS n, max(confidence) AS c FROM tokens JOIN rules ON list_has_all(t, s) WHERE url IS NOT NULL GROUP BY url),
 fixed AS (
   SELECT page_id, url, host, path, {_CASE.format(*[r for _, r in RULES])} AS rule, {_CASE.format(*[v for v, _ in RULES])} AS v FROM parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 from panelwright.operators.skew import broadcast_if_small
 from panelwright.sources.writers import settle
 
-#: A mined rule needs this share of the labelled URLs, at least so many of them, and this share of bad ones among those it
-#: fits.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.6
+#: A mined rule needs so many bad labelled URLs, whatever their number in all, and this share of bad ones among those it fits.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0, 20, 0.6
+#: That share, lowered by so many standard errors (Wilson's bound), must still reach the share of bad ones among all URLs.
+BOUND = 5.0
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
-_BAD = "label=bad"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -63,22 +64,39 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT,
-               min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, confidence, n): sets of URL tokens that make a URL bad, by FP-growth over the labelled URLs.
+               min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, bound: float = 0.0) -> DataFrame:
+    """(tokens, confidence, n): sets of URL tokens that make a URL bad.
 
-    A rule's tokens and the label bad occur together in ``min_support`` of the rows and ``min_count`` of them at least
-    (n), and in ``min_confidence`` of the rows with these tokens. A NULL label is not bad. No labels give no rules.
+    FP-growth mines the bad URLs, and the sets it finds are then counted in all of them. A rule's tokens occur in
+    ``min_count`` bad rows (n) and in ``min_support`` of all rows at least; ``min_confidence`` of the rows with these tokens are bad, and
+    Wilson's lower bound of that share, at ``bound`` standard errors, is not below the share of all rows. The bar is a count, so a
+    host that is caught among few labels is caught among many. A NULL label is not bad. No labels give no rules.
     """
-    baskets = labelled.select(F.concat(url_tokens(F.col(url_col)), F.when(F.coalesce(F.col(bad_col), F.lit(False)), F.array(F.lit(_BAD)))
-                                       .otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = settle(baskets, "baskets")
-    n = baskets.count()
-    support = max(min_support, min_count / max(n, 1))
-    if support > 1:
+    bad = F.coalesce(F.col(bad_col), F.lit(False))
+    baskets = settle(labelled.select(url_tokens(F.col(url_col)).alias("items"), bad.alias("bad")), "baskets")
+    size = baskets.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
+    need = max(min_count, ceil(min_support * size["n"]), 1)
+    if size["bad"] < need:
         return baskets.sparkSession.createDataFrame([], "tokens array<string>, confidence double, n bigint")
-    rules = FPGrowth(minSupport=support, minConfidence=min_confidence).fit(baskets).associationRules
-    chosen = rules.where(F.col("consequent")[0] == _BAD)
-    return settle(chosen.select(F.sort_array("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("n")), "rules")
+    sets = FPGrowth(minSupport=(need - 0.5) / size["bad"], minConfidence=1.0).fit(baskets.where("bad")).freqItemsets
+    sets = settle(sets.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("n")), "sets")
+    has = baskets.select(F.col("items").alias("has"), F.explode("items").alias("t"))
+    met = has.join(_filed(sets), "t").where(F.size(F.array_except("tokens", "has")) == 0)
+    counted = met.groupBy("tokens", "n").agg(F.count(F.lit(1)).alias("_all"))
+    share, m = F.col("n") / F.col("_all"), F.col("_all")
+    spread = F.sqrt(share * (1 - share) / m + bound ** 2 / (4 * m * m))
+    lower = (share + bound ** 2 / (2 * m) - bound * spread) / (1 + bound ** 2 / m)
+    chosen = counted.where((share >= min_confidence) & (lower >= size["bad"] / size["n"]))
+    return settle(chosen.select("tokens", share.alias("confidence"), "n"), "rules")
+
+
+def _filed(sets: DataFrame) -> DataFrame:
+    """Inverted index of token sets: each filed under that of its tokens which the fewest sets have."""
+    rest = [c for c in sets.columns if c != "tokens"]
+    spread = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    filed = sets.select("tokens", *rest, F.explode("tokens").alias("t")).join(spread, "t")
+    filed = filed.groupBy("tokens", *rest).agg(F.min(F.struct("k", "t"))["t"].alias("t"))
+    return broadcast_if_small(settle(filed.select("t", "tokens", *rest), "index"))
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -88,10 +106,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Da
     Inverted index: every rule is filed under its rarest token, so a URL meets only rules that share that token, and the
     rest of the rule is compared there.
     """
-    spread = rules.select("tokens", F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
-    filed = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(spread, "t")
-    filed = filed.groupBy("tokens", "confidence").agg(F.min(F.struct("k", "t"))["t"].alias("t"))
-    index = broadcast_if_small(settle(filed.select("t", "tokens", "confidence"), "index"))
+    index = _filed(rules.select("tokens", "confidence"))
     mine = urls.select(F.col(url_col).alias("u")).where("u IS NOT NULL").distinct().select("u", url_tokens(F.col("u")).alias("has"))
     met = mine.select("u", "has", F.explode("has").alias("t")).join(index, "t").where(F.size(F.array_except("tokens", "has")) == 0)
     return met.groupBy(F.col("u").alias(url_col)).agg(F.count(F.lit(1)).alias("n_rules"), F.max("confidence").alias("confidence"))

@@ -55,3 +55,22 @@ def test_rules_equal_all_token_sets(spark):
 
 def test_no_labels(spark):
     assert mine_rules(labelled(spark).where("false")).count() == 0
+
+
+def test_a_host_is_caught_at_every_size(spark):
+    """Twenty bad pages of a host make a rule among few labels and among many; half of them bad, or too few, make none."""
+    for others in (500, 20_000):
+        rows = [(f"http://spam.org/{i}", True) for i in range(20)] + [(f"http://few.org/{i}", True) for i in range(19)]
+        rows += [(f"http://half.org/{i}", i % 2 == 0) for i in range(60)] + [(f"http://site{i % 7}.com/{i}", i % 10 == 0) for i in range(others)]
+        rules = mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), bound=5.0)
+        found = {tuple(r["tokens"]): (r["confidence"], r["n"]) for r in rules.collect()}
+        assert found[("host:spam",)] == (1.0, 20) and not any({"host:few", "host:half"} & set(t) for t in found)
+        assert not any(t[0].startswith("host:site") for t in found)
+
+
+def test_bound_prunes_what_chance_explains(spark):
+    """20 of 33 bad where 3 of 10 are: sixty in a hundred, but within five standard errors of the base."""
+    rows = [(f"http://odd.org/{i}", i < 20) for i in range(33)] + [(f"http://rest.com/{i}", i % 10 < 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert ("host:odd",) in {tuple(r["tokens"]) for r in mine_rules(df).collect()}
+    assert mine_rules(df, bound=5.0).count() == 0
