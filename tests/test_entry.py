@@ -35,9 +35,10 @@ def test_flagship(spark):
     assert df.count() > 0 and df.columns == ["plot_date", "family_name", "weight", "prop"]
 
 
-ON_LARGER = ["matched_att_even_weights", "matched_bootstrap_errors", "causes_regrouped"]
+ON_LARGER = ["matched_att_even_weights", "matched_bootstrap_errors", "matched_errors_two_ways", "causes_regrouped"]
 SAMPLE = ["cohort_selection", "cause_share_by_month", "split_weight_over_rows", "wide_measures", "panel_assembled",
-          "series_by_size_quintile", "medians_by_group", "pooled_group_rates", "impute_by_hot_deck", "stratified_table", "dense_group_id"]
+          "series_by_size_quintile", "medians_by_group", "pooled_group_rates", "impute_by_hot_deck", "stratified_table", "dense_group_id",
+          "append_in_commits", "joins_without_exchange"]
 
 
 @pytest.fixture(scope="module")
