@@ -24,8 +24,8 @@ MAX_BITS = 18
 LANE = 64
 BLOCK_IDS = 1 << 16
 
-#: Encoded word forms that a task, and stems that a worker, remember at a time; beyond, they start anew.
-CACHED_FORMS, CACHED_STEMS = 300_000, 1_000_000
+#: Encoded word forms that a task, and bytes of stems and their ids that a worker, remember at a time; beyond, they start anew.
+CACHED_FORMS, CACHED_BYTES = 300_000, 24 << 20
 
 
 # Huffman code ---------------------------------------------------------------------------------------------------------
@@ -120,8 +120,55 @@ def decode_block(payload: bytes, lane_bits: bytes, n: int, table: tuple[np.ndarr
 #: Marks that are cut off the end of a word, where they form a token run of their own.
 MARKS = b".,;:!?#$%&*|"
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all items of runs, each given by its first place and its size."""
+    behind = np.cumsum(size)
+    total = int(behind[-1]) if len(size) else 0
+    return np.repeat((start - (behind - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)
+
+
+class _Stems:
+    """Ids of stems, those met before from memory.
+
+    Stems and ids are held in Arrow and numpy arrays, about 35 bytes a stem where Python objects take 200. When they exceed
+    ``CACHED_BYTES``, only the stems asked for last are kept.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.forms, self.size, self.start, self.flat = pa.array([], pa.string()), *[np.zeros(0, dtype=t) for t in ("i4", "i4", "<u4")]
+
+    def __call__(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size, first place, ids): the ids of every form are as many as its size says, from its first place on."""
+        at = pc.fill_null(pc.index_in(forms, value_set=self.forms), -1).to_numpy(zero_copy_only=False).copy()
+        new = at < 0
+        if new.any():
+            coded = forms.filter(pa.array(new)).dictionary_encode()
+            ids, size = self._encode(coded.dictionary.to_pylist())
+            if self.forms.nbytes + self.flat.nbytes + coded.dictionary.nbytes + ids.nbytes > CACHED_BYTES:
+                kept, at[~new] = np.unique(at[~new], return_inverse=True)
+                self.forms, self.flat, self.size = self.forms.take(pa.array(kept)), self.flat[_places(self.start[kept], self.size[kept])], self.size[kept]
+            at[new] = len(self.forms) + coded.indices.to_numpy()
+            self.forms, self.flat = pa.concat_arrays([self.forms, coded.dictionary]), np.concatenate([self.flat, ids])
+            self.size = np.concatenate([self.size, size])
+            self.start = (np.cumsum(self.size) - self.size).astype("i4")
+        return self.size[at], self.start[at], self.flat
+
+    def _encode(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stems, number of each one's)."""
+        ids, sizes = [], []
+        for i in range(0, len(stems), 4096):
+            words = stems[i:i + 4096]
+            begins = np.cumsum([0] + [len(w) + 1 for w in words])
+            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids.append(np.array(e.ids, dtype="<u4"))
+            sizes.append(np.diff(np.searchsorted(np.array([a for a, _ in e.offsets], dtype=np.int64), begins)).astype("i4"))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+
 #: Stems met by this Python process, by tokenizer; tasks that follow on the same worker find them.
-_STEMS: dict[str, dict[str, bytes]] = {}
+_STEMS: dict[str, _Stems] = {}
 
 
 class _WordEncoder(dict):
@@ -134,27 +181,15 @@ class _WordEncoder(dict):
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.stems = _STEMS.setdefault(md5(tokenizer_json.encode()).hexdigest(), {})
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        raw = np.array(e.ids, dtype="<u4").tobytes()
-        cuts = 4 * np.searchsorted(np.array(next(zip(*e.offsets)), dtype=np.int64), begins)
-        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        key = md5(tokenizer_json.encode()).hexdigest()
+        if key not in _STEMS:
+            _STEMS[key] = _Stems(tokenizer_json)
+        self.stems = _STEMS[key]
 
     def table(self, stems: list[str]) -> list[bytes]:
         """Ids of every stem; those not met by this worker are encoded first."""
-        known = self.stems
-        if len(known) > CACHED_STEMS:
-            known.clear()
-        known[""] = b""
-        new = [x for x in stems if x not in known]
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
-        return [known[x] for x in stems]
+        size, start, flat = self.stems(pa.array(stems, pa.string()))
+        return [flat[a:a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())]
 
     def learn(self, found: set[bytes]) -> None:
         if len(self) > CACHED_FORMS:
@@ -200,7 +235,7 @@ class _TextEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
-            ids = [e.ids for e in self.words.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            ids = [e.ids for e in self.words.stems.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
         plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(plain)
@@ -208,19 +243,15 @@ class _TextEncoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         stem, mark = self._parts(coded.dictionary)
         found = [x.dictionary_encode() for x in (stem, mark)]
-        ids = self.words.table([x for f in found for x in f.dictionary.to_pylist()])
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), dtype="<u4")
-        items = np.empty((len(codes), 2), dtype=np.int64)
+        size, start, flat = self.words.stems(pa.concat_arrays([f.dictionary for f in found]))
+        items = np.empty((len(codes), 2), dtype=np.int32)
         items[:, 0] = found[0].indices.to_numpy(zero_copy_only=False)[codes]
         items[:, 1] = (found[1].indices.to_numpy(zero_copy_only=False) + len(found[0].dictionary))[codes]
         items = items.reshape(-1)
         n = size[items]
-        behind = np.cumsum(n)
-        total = int(behind[-1]) if len(n) else 0
-        out = flat[np.repeat(start[items] - (behind - n), n) + np.arange(total)] if total else np.zeros(0, dtype="<u4")
+        out = flat[_places(start[items], n)]
         ends = 2 * (split.offsets.to_numpy() - split.offsets[0].as_py())
-        return out, np.diff(np.concatenate([[0], behind])[ends])
+        return out, np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
 
     @staticmethod
     def _parts(forms: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -246,7 +277,7 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = _TextEncoder(tokenizer_json), 0
         for batch in batches:
-            for part in row_chunks(batch, "text", 8 << 20):
+            for part in row_chunks(batch, "text"):
                 ids, n = encode(part.column("text"))
                 ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
                 starts = before + np.cumsum(n) - n

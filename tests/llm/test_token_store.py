@@ -1,6 +1,7 @@
 import heapq
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from panelwright.llm import token_store
 from panelwright.llm.token_store import (_TextEncoder, _WordEncoder, canonical_codes, code_lengths, decode_block, decoding_table, encode_block,
                                          read_tokens, write_tokens)
 
@@ -93,3 +95,25 @@ def test_chunks_of_texts_have_the_ids_of_the_tokenizer():
             cuts = np.cumsum(n)[:-1]
             assert [x.tolist() for x in np.split(ids, cuts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[cut:]]
     assert encode(pa.array([], pa.string()))[0].size == 0
+
+
+def test_remembered_stems_take_little_memory(monkeypatch):
+    rules, whole, draw = open(PATH).read(), Tokenizer.from_file(PATH), random.Random(13)
+    monkeypatch.setattr(token_store, "_STEMS", {})
+    encode = _TextEncoder(rules)
+    encode(pa.array(["warm up"]))
+    stems = {"".join(draw.choice("abcdefghij") for _ in range(9)) for _ in range(100_000)}
+    texts = pa.array([" ".join(sorted(stems))])
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    encode(texts)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 80 * len(stems)
+    monkeypatch.setattr(token_store, "CACHED_BYTES", 3000)
+    for _ in range(60):
+        texts = [" ".join(draw.choice("abcdeé") * draw.randrange(1, 4) + draw.choice("xyz.,") for _ in range(draw.randrange(20))) for _ in range(4)]
+        texts.append("".join(draw.choice("klmno") for _ in range(30)))
+        ids, n = encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encode.words.stems.forms.nbytes + encode.words.stems.flat.nbytes <= 3000
