@@ -13,12 +13,14 @@ import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.text import crc_bucket
@@ -26,11 +28,9 @@ from panelwright.sources.writers import settle
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Labelled candidates that the trees and the thresholds are fitted on, taken in hash order.
-FIT_ROWS = 40_000
 #: Share of right candidates that a threshold must reach on held-out documents (one in ``HELD_OUT`` by id).
 MIN_PRECISION, HELD_OUT = 0.99, 5
-TREES, DEPTH = 12, 4
+TREES, DEPTH, BINS = 12, 4, 32
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -269,11 +269,11 @@ class PiiModel:
         return "".join(out) + text[done:]
 
 
-def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> PiiModel:
-    """Trees from the labelled candidates of the documents that are not held out, thresholds from those that are.
+def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PiiModel:
+    """Trees from all labelled candidates of the documents that are not held out, thresholds from all of those that are.
 
-    All documents are searched; of their labelled candidates ``fit_rows`` of either side are used, in hash order, so more
-    documents change the sample but not its size. Without candidates of both labels the model adds nothing.
+    Equal candidates are counted and weigh by their number, so what Spark fits on grows with their variety. Without
+    candidates of both labels the model adds nothing.
     """
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,25 +283,42 @@ def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["held", "kind", "label", "x"])
 
     texts = docs.select((crc_bucket(F.col(id_col), HELD_OUT) == 0).alias("held"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    known = settle(texts.mapInArrow(label, "held boolean, kind string, label double, x array<double>"), "candidates")
-    some = lambda held: known.where(F.col("held") == held).orderBy(F.xxhash64("kind", "label", "x"), "x").limit(fit_rows)
-    train = settle(some(False).select("label", array_to_vector("x").alias("features")), "labelled")
-    if train.select("label").distinct().count() < 2:
+    found = texts.mapInArrow(label, "held boolean, kind string, label double, x array<double>")
+    found = found.groupBy("held", "kind", "label", "x").agg(F.count("*").cast("double").alias("n"))
+    known = settle(found.orderBy("held", F.xxhash64("kind", "label", "x"), "x"), "candidates")
+    train = known.where("NOT held").select("label", array_to_vector("x").alias("features"), "n")
+    sides = train.agg(F.count_distinct("label").alias("labels"), F.count("*").alias("rows")).first()
+    if sides["labels"] < 2:
         return PiiModel()
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
-    trees = [(w, read_tree(t.toDebugString)) for w, t in zip(fitted.treeWeights, fitted.trees)]
-    held = some(True).select("kind", "label", "x").toArrow()
-    model = PiiModel(trees)
-    if not held.num_rows:
-        return model
-    scores = model.probability(np.array(held["x"].to_pylist()))
-    kinds, labels = np.array(held["kind"].to_pylist()), held["label"].to_numpy()
-    return PiiModel(trees, {k: t for k in KINDS if (t := threshold(scores[kinds == k], labels[kinds == k])) is not None})
+    # Spark looks for the trees' bounds in a sample where there are more rows than the square of the bins.
+    bins = max(BINS, isqrt(sides["rows"]) + 1) if sides["rows"] > 10_000 else BINS
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=1, weightCol="n").fit(train)
+    model = PiiModel([(w, read_tree(t.toDebugString)) for w, t in zip(fitted.treeWeights, fitted.trees)])
+    return PiiModel(model.trees, thresholds(known.where("held"), model))
+
+
+def thresholds(held: DataFrame, model: PiiModel, precision: float = MIN_PRECISION) -> dict[str, float]:
+    """``threshold`` of every kind over rows (kind, label, x, n), n equal candidates each; kinds without one are left out.
+
+    Candidates are added up by score first, and running sums are taken over the distinct scores.
+    """
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, len(FEATURES))
+            n, good = batch.column("n"), pc.multiply(batch.column("n"), batch.column("label"))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(model.probability(x)), n, good], ["kind", "score", "n", "good"])
+
+    scored = held.select("kind", "label", "x", "n").mapInArrow(score, "kind string, score double, n double, good double")
+    down = Window.partitionBy("kind").orderBy(F.desc("score"))
+    upto = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
+        "kind", "score", F.lead("score", 1, 0.0).over(down).alias("below"), (F.sum("good").over(down) >= precision * F.sum("n").over(down)).alias("ok"))
+    least = upto.where("ok").groupBy("kind").agg(F.min(F.struct("score", "below")).alias("at"))
+    return {r["kind"]: max(0.5, (r["at"]["score"] + r["at"]["below"]) / 2) for r in least.collect()}
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray, precision: float = MIN_PRECISION) -> float | None:
-    """Score from which on the share of right candidates is at least ``precision``: half way between the least score accepted and
-    the next lower one, 0.5 at least; None if no score is accepted."""
+    """Score from which on the share of right candidates of one kind is at least ``precision``: half way between the least
+    score accepted and the next lower one, 0.5 at least; None if no score is accepted."""
     values = np.unique(scores)[::-1]
     order = np.argsort(-scores, kind="stable")
     right, upto = np.cumsum(labels[order]), np.searchsorted(-scores[order], -values, side="right")

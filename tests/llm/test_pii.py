@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 
-from panelwright.llm.pii import FEATURES, KINDS, PiiModel, base_spans, candidates, features, find_pii, fit_pii, labelled, luhn, read_tree, redact_pii, threshold
+from panelwright.llm.pii import (FEATURES, KINDS, PiiModel, base_spans, candidates, features, find_pii, fit_pii, labelled, luhn, read_tree, redact_pii,
+                                 threshold, thresholds)
 from panelwright.llm.q_pii import op12_personal_data
 
 DATA = "/root/testdata/sf0.001"
@@ -129,3 +130,30 @@ def test_query_digests(spark):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
     assert sum(r[f"n_{k}"] for r in out for k in KINDS) > 0
+
+
+@pytest.mark.parametrize("flood", ["see a.b@c.de now. ", "see 10.20.30.40 now. "])
+def test_frequent_candidates_crowd_out_no_other_kind(spark, flood):
+    other = ["a.b@c.de", "10.20.30.40", "call 030 555 1234 now", "id 9807915762804490 now"]
+    rows = [(i, flood * 1000) for i in range(230)] + [(1000 + i, f"see {x} now. ") for i, x in enumerate(other * 30)]
+    model = fit_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {"email", "ip"} <= set(model.thresholds)
+    assert [s[:3] for s in model.find("id 9807915762804490 now") if not s[3]] == []
+
+
+def test_thresholds_equal_those_of_single_candidates(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (300, len(FEATURES))).astype(float)
+    rows = [(KINDS[i % 3], float(rng.random() < 0.97 if v[1] > 2 else rng.random() < 0.1), v.tolist(), float(rng.integers(1, 9))) for i, v in enumerate(x)]
+    train = spark.createDataFrame([r[1:3] for r in rows], "label double, x array<double>").withColumn("features", array_to_vector("x"))
+    fitted = GBTClassifier(maxIter=3, maxDepth=3, seed=1).fit(train)
+    model = PiiModel([(w, read_tree(t.toDebugString)) for w, t in zip(fitted.treeWeights, fitted.trees)])
+    held = spark.createDataFrame(rows, "kind string, label double, x array<double>, n double")
+    for precision in (0.5, 0.9, 0.99):
+        wanted = {}
+        for k in KINDS:
+            each = [r for r in rows if r[0] == k for _ in range(int(r[3]))]
+            t = threshold(model.probability(np.array([r[2] for r in each]).reshape(-1, len(FEATURES))), np.array([r[1] for r in each]), precision) if each else None
+            wanted |= {} if t is None else {k: t}
+        assert thresholds(held, model, precision) == pytest.approx(wanted)
+    assert wanted != {k: 0.5 for k in KINDS}
